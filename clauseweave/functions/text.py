@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from clauseweave import settings as S
 
 # Bodies of regex character classes.
-SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
-SPACE_IN_LINE = r"\t\x0b-\r\x1c-\x20\x85\xa0  -     　"
+_WIDE = r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = r"\t-\r\x1c-\x20\x85\xa0" + _WIDE
+SPACE_IN_LINE = r"\t\x0b-\r\x1c-\x20\x85\xa0" + _WIDE
 WORD = r"\p{L}\p{N}_"
 
 # The same whitespace set as a plain string, for trim().
-SPACE_CHARS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    + "".join(chr(c) for c in range(0x2000, 0x200B))
-    + "    　"
+SPACE_CHARS = "".join(
+    chr(c)
+    for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 )
 
 # A header line, tested on a line that may still carry outer whitespace:
@@ -54,7 +55,7 @@ def is_header(line: Column) -> Column:
 def clean_extracted(text: Column) -> Column:
     """Clean text taken from a PDF: drop control characters, squeeze gaps."""
     printable = F.regexp_replace(
-        text, r"[^\x09\x0A\x0D\x20-\x7E -￿]", " "
+        text, r"[^\x09\x0A\x0D\x20-\x7E\xA0-\x{FFFF}]", " "
     )
     return _squeeze(printable)
 
