@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from clauseweave import settings as S
 from clauseweave.functions.lexical import party_leverage
-from clauseweave.functions.text import words as split_words
 
 FEATURES = [
     "sentiment_score", "modal_score", "obligation_score", "assertiveness_score", "length_score",
@@ -63,17 +62,6 @@ def masked_text(words: Column, keep: Column) -> Column:
     )
 
 
-def leave_one_out(clauses: DataFrame, text_col: str = "clause_text") -> DataFrame:
-    """One masked text per word: (..., word_idx, word, masked_text)."""
-    staged = clauses.withColumn("_words", split_words(F.col(text_col)))
-    kept = [c for c in clauses.columns if c != text_col]
-    exploded = staged.select(*kept, "_words", F.posexplode("_words").alias("word_idx", "word"))
-    masked = F.transform(
-        "_words", lambda w, i: F.when(i == F.col("word_idx"), F.lit("[MASK]")).otherwise(w)
-    )
-    return exploded.select(*kept, "word_idx", "word", F.array_join(masked, " ").alias("masked_text"))
-
-
 def top_words(words: Column, values: Column, k: int = 20) -> Column:
     """The k words of largest absolute value, as (word, value) structs."""
     rows = F.transform(
