@@ -6,7 +6,7 @@ import io
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseweave import settings as S
@@ -18,7 +18,14 @@ from clauseweave.operators.keyed import absent_rows
 def read_filings(spark: SparkSession, folder: str) -> DataFrame:
     """All ``*.txt`` files of a folder as (file_name, text); bad bytes replaced."""
     raw = spark.read.format("text").option("wholetext", "true").option("pathGlobFilter", "*.txt").load(folder)
-    return raw.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
+    return raw.select(
+        F.col("_metadata.file_name").alias("file_name"), unix_lines(F.col("value")).alias("text")
+    )
+
+
+def unix_lines(text: Column) -> Column:
+    """Line ends as a text-mode reader would give them."""
+    return F.regexp_replace(text, r"\r\n?", "\n")
 
 
 def new_filings(filings: DataFrame, contracts: DataFrame) -> DataFrame:

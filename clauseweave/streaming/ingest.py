@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from clauseweave.operators.segmentation import filing_clauses
+from clauseweave.sources.filings import unix_lines
 from clauseweave.sources.store import ClauseStore, contract_rows
 
 
@@ -22,7 +23,7 @@ def filing_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> Da
     )
     return raw.select(
         F.col("_metadata.file_name").alias("file_name"),
-        F.col("value").alias("text"),
+        unix_lines(F.col("value")).alias("text"),
         F.col("_metadata.file_modification_time").alias("arrived_at"),
     )
 
