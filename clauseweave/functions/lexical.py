@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,11 +12,13 @@ from clauseweave.functions.text import SPACE, WORD
 
 
 def _whole_words(terms: list[str]) -> str:
-    return rf"(?<![{WORD}])(?:{'|'.join(terms)})(?![{WORD}])"
+    """Any of the terms as a whole word; the first letter is tested first."""
+    letters = "".join(sorted({t[0] for t in terms}))
+    return rf"(?=[{letters}])(?<![{WORD}])(?:{'|'.join(terms)})(?![{WORD}])"
 
 
 def _any_of(text: Column, terms: list[str]) -> Column:
-    return text.rlike("|".join(terms))
+    return reduce(lambda a, b: a | b, [text.contains(t) for t in terms])
 
 
 def _present(text: Column, terms: list[str]) -> Column:
@@ -36,12 +40,13 @@ def with_lexical_features(df: DataFrame, text_col: str = "clause_text") -> DataF
     evaluates the regex work once per row.
     """
     low = F.col("_low")
+    modals = S.OBLIGATION_WORDS + S.DISCRETION_WORDS
     step = df.withColumn("_low", F.lower(F.col(text_col)))
     sentence_kind = F.when(
         _any_of(low, S.OBLIGATION_WORDS),
         F.transform(
             F.filter(
-                F.split(low, rf"[.;][{SPACE}]+"),
+                F.split(low, rf"(?U)[.;][{SPACE}]+"),
                 lambda s: _any_of(s, S.OBLIGATION_WORDS),
             ),
             lambda s: _any_of(s, S.PARTY_A_TERMS).cast("int")
@@ -50,8 +55,7 @@ def with_lexical_features(df: DataFrame, text_col: str = "clause_text") -> DataF
     ).otherwise(F.array().cast("array<int>"))
     step = step.withColumns(
         {
-            "_obliging": F.regexp_count(low, F.lit(_whole_words(S.OBLIGATION_WORDS))),
-            "_discretion": F.regexp_count(low, F.lit(_whole_words(S.DISCRETION_WORDS))),
+            "_modals": F.regexp_extract_all(low, F.lit(_whole_words(modals)), F.lit(0)),
             "_kinds": sentence_kind,
             "_absolute": _present(low, S.ABSOLUTE_TERMS),
             "_conditional": _present(low, S.CONDITIONAL_TERMS),
@@ -59,14 +63,19 @@ def with_lexical_features(df: DataFrame, text_col: str = "clause_text") -> DataF
     )
     on_a = F.size(F.filter("_kinds", lambda k: k == 1))
     on_b = F.size(F.filter("_kinds", lambda k: k == -1))
-    step = step.withColumns({"_on_a": on_a, "_on_b": on_b})
+    obliging = F.size(F.filter("_modals", lambda w: w.isin(*S.OBLIGATION_WORDS)))
+    step = step.withColumns(
+        {"_on_a": on_a, "_on_b": on_b, "_obliging": obliging, "_n_modals": F.size("_modals")}
+    )
     return step.withColumns(
         {
-            "modal_score": _share(F.col("_obliging"), F.col("_discretion")),
+            "modal_score": _share(F.col("_obliging"), F.col("_n_modals") - F.col("_obliging")),
             "obligation_score": _share(F.col("_on_b"), F.col("_on_a")),
             "assertiveness_score": _share(F.col("_absolute"), F.col("_conditional")),
         }
-    ).drop("_low", "_obliging", "_discretion", "_kinds", "_absolute", "_conditional", "_on_a", "_on_b")
+    ).drop(
+        "_low", "_modals", "_obliging", "_n_modals", "_kinds", "_absolute", "_conditional", "_on_a", "_on_b"
+    )
 
 
 def sentiment_score(probabilities: Column) -> Column:

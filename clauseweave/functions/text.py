@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from clauseweave import settings as S
 
-# Bodies of regex character classes.
-_WIDE = r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-SPACE = r"\t-\r\x1c-\x20\x85\xa0" + _WIDE
-SPACE_IN_LINE = r"\t\x0b-\r\x1c-\x20\x85\xa0" + _WIDE
+# Bodies of regex character classes, for patterns that start with (?U).
+SPACE = r"\s\x1c-\x1f"
+SPACE_IN_LINE = SPACE + r"&&[^\n]"
 WORD = r"\p{L}\p{N}_"
 
 # The same whitespace set as a plain string, for trim().
@@ -31,10 +30,11 @@ HEADER_LINE = (
     rf"[{SPACE_IN_LINE}]*+(?:"
     rf"(?:ARTICLE|SECTION|CLAUSE)[{SPACE_IN_LINE}]+\p{{Nd}}"
     rf"|\p{{Nd}}+\.\p{{Nd}}*[{SPACE_IN_LINE}]+[A-Z]"
-    rf"|(?=[A-Z{SPACE_IN_LINE}]++(?:\n|\z))[A-Z][A-Z{SPACE_IN_LINE}]{{3,}}[A-Z]"
+    rf"|(?=[[A-Z][{SPACE_IN_LINE}]]++(?:\n|\z))[A-Z][[A-Z][{SPACE_IN_LINE}]]{{3,}}[A-Z]"
     rf")"
 )
-HEADER_BREAK = rf"\n(?={HEADER_LINE})"
+HEADER_BREAK = rf"(?U)\n(?={HEADER_LINE})"
+WITH_GAP_BEFORE = rf"(?U)[{SPACE}]*+[^{SPACE}]++"
 
 
 def strip(text: Column) -> Column:
@@ -43,13 +43,17 @@ def strip(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Number of whitespace-separated words; 0 for blank text."""
-    return F.regexp_count(text, F.lit(rf"[^{SPACE}]+"))
+    """Number of whitespace-separated words; 0 for blank text.
+
+    Every word with the gap before it becomes one character, so no array of
+    words is built.
+    """
+    return F.length(F.regexp_replace(strip(text), WITH_GAP_BEFORE, "x"))
 
 
 def is_header(line: Column) -> Column:
     """True when one line reads as a section header."""
-    return line.rlike(rf"\A{HEADER_LINE}")
+    return line.rlike(rf"(?U)\A{HEADER_LINE}")
 
 
 def clean_extracted(text: Column) -> Column:
@@ -83,7 +87,7 @@ def clean_clause(text: Column) -> Column:
 def strip_omitted(text: Column) -> Column:
     """Replace inline <omitted> tags by one space; other text stays untouched."""
     tag = r"(?iu)<omitted>"
-    replaced = F.regexp_replace(F.regexp_replace(text, tag, " "), rf"[{SPACE}]{{2,}}", " ")
+    replaced = F.regexp_replace(F.regexp_replace(text, tag, " "), rf"(?U)[{SPACE}]{{2,}}", " ")
     return F.when(text.rlike(tag), strip(replaced)).otherwise(text)
 
 
@@ -104,7 +108,7 @@ def valid_clauses(pieces: Column, min_words: int = S.MIN_CLAUSE_WORDS) -> Column
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"[^{SPACE}]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"(?U)[^{SPACE}]+"), F.lit(0))
 
 
 def party(text: Column, quoted: list[str], plain: list[str]) -> Column:

@@ -8,7 +8,6 @@ lies; only the rows of that bucket are sorted.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,7 +97,7 @@ def exact_quantiles(
     if not count:
         return [float("nan")] * len(probabilities)
     ranks = sorted({r for p in probabilities for r in _neighbour_ranks(p, count)})
-    found = {r: _value_at(slim, r, low, high, count, leaf_rows, cells) for r in ranks}
+    found = _values_at(slim, ranks, low, high, count, 0, leaf_rows, cells)
     out = []
     for p in probabilities:
         lo, hi = _neighbour_ranks(p, count)
@@ -113,36 +112,29 @@ def _neighbour_ranks(p: float, count: int) -> tuple[int, int]:
     return lo, min(lo + (1 if at > lo else 0), count - 1)
 
 
-def _value_at(slim, rank, low, high, count, leaf_rows, cells) -> float:
-    skipped = 0
-    while low < high and count > leaf_rows:
-        width = (high - low) / cells
-        if width == 0 or low + width == low:
-            break
-        cell = F.least(F.floor((F.col("v") - low) / width), F.lit(cells - 1))
-        rows = (
-            slim.where(F.col("v").between(low, high))
-            .groupBy(cell.alias("cell"))
-            .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("cell")
-            .collect()  # at most ``cells`` rows
-        )
-        for row in rows:
-            if skipped + row.n > rank:
-                low, high, count = row.lo, row.hi, row.n
-                break
-            skipped += row.n
+def _values_at(slim, ranks, low, high, count, skipped, leaf_rows, cells) -> dict[int, float]:
+    """Values at global ``ranks`` that lie in [low, high] after ``skipped`` rows."""
     if low == high:
-        return low
-    distinct = slim.where(F.col("v").between(low, high)).groupBy("v").count()
-    upto = F.sum("count").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        distinct.withColumn("upto", upto + skipped)
-        .where(F.col("upto") > rank)
-        .agg(F.min("v"))
-        .first()[0]
+        return dict.fromkeys(ranks, low)
+    inside = slim.where(F.col("v").between(low, high))
+    width = (high - low) / cells
+    if count <= leaf_rows or low + width == low:
+        distinct = inside.groupBy("v").count()
+        upto = F.sum("count").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        picks = [F.min(F.when(F.col("upto") > r, F.col("v"))) for r in ranks]
+        row = distinct.withColumn("upto", upto + skipped).agg(*picks).first()
+        return dict(zip(ranks, row, strict=True))
+    cell = F.least(F.floor((F.col("v") - low) / width), F.lit(cells - 1))
+    rows = (
+        inside.groupBy(cell.alias("cell"))
+        .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .orderBy("cell")
+        .collect()  # at most ``cells`` rows
     )
-
-
-def all_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+    found: dict[int, float] = {}
+    for row in rows:
+        here = [r for r in ranks if skipped <= r < skipped + row.n]
+        if here:
+            found |= _values_at(slim, here, row.lo, row.hi, row.n, skipped, leaf_rows, cells)
+        skipped += row.n
+    return found

@@ -48,3 +48,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to reliable storage so later passes do not recompute it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a source that is read in fewer splits than there are cores.
+
+    Text and vector work is row-local, so a source of one large row group would
+    leave most cores idle. Sources with enough splits are returned unchanged:
+    at scale this adds no shuffle.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

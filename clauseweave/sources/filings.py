@@ -48,8 +48,10 @@ def submission_exhibits(submissions: DataFrame) -> DataFrame:
     typed = blocks.select(
         "accession", "cik", "file_date", "block_no",
         T.strip(F.regexp_extract("block", r"(?i)<TYPE>([^\n<]+)", 1)).alias("doc_type"),
-        T.strip(F.regexp_extract("block", r"(?is)<TEXT>(.*?)(?:</TEXT>|</DOCUMENT>)", 1)).alias("text"),
+        F.split(F.get(F.split("block", "(?i)<TEXT>", 2), F.lit(1)), "(?i)</TEXT>|</DOCUMENT>", 2).alias("_body"),
     )
+    # A text part counts only when something closes it.
+    typed = typed.where(F.size("_body") == 2).withColumn("text", T.strip(F.get("_body", F.lit(0))))
     wanted = typed.where(
         F.upper("doc_type").startswith("EX-10") & (F.length("text") >= S.MIN_EXHIBIT_CHARS)
     )
