@@ -85,12 +85,12 @@ filing_rows AS (
 @query(
     "filing_clauses",
     f"""WITH {_FILINGS_SQL}
-    SELECT contract_id, clause_id, clause_text, 'EDGAR' AS source, position FROM filing_rows
+    SELECT contract_id, clause_id, clause_text, 'EDGAR' AS source FROM filing_rows
     QUALIFY row_number() OVER (PARTITION BY clause_id ORDER BY position) = 1""",
 )
 def filing_clause_rows(spark, folder):
     return filing_clauses(_filings(spark, folder)).select(
-        "contract_id", "clause_id", "clause_text", "source", "position"
+        "contract_id", "clause_id", "clause_text", "source"
     )
 
 

@@ -100,13 +100,6 @@ def paragraph_pieces(text: Column) -> Column:
     return F.split(text, "\n\n+")
 
 
-def valid_clauses(pieces: Column, min_words: int = S.MIN_CLAUSE_WORDS) -> Column:
-    """Clean every piece and keep those with enough words."""
-    return F.filter(
-        F.transform(pieces, clean_clause), lambda c: word_count(c) >= min_words
-    )
-
-
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?U)[^{SPACE}]+"), F.lit(0))
 

@@ -21,6 +21,7 @@ from clauseweave.functions import ids
 from clauseweave.functions import labels as L
 from clauseweave.functions import text as T
 from clauseweave.operators.selection import key_cutoffs
+from clauseweave.session import cut_lineage, small_side
 
 
 def clean_labelled(clauses: DataFrame, taxonomy: Sequence[str] = S.CLAUSE_TYPES) -> DataFrame:
@@ -57,7 +58,8 @@ def stratified_split(
             "_auto": F.coalesce(F.col("source").startswith(S.AUTO_SOURCE_PREFIX), F.lit(False)),
         }
     )
-    slim = keyed.select("primary_type", "_key", "_auto")
+    # The cutoffs take several passes, so their narrow input is stored once.
+    slim = cut_lineage(keyed.select("primary_type", "_key", "_auto"))
     by_type = slim.groupBy("primary_type", "_auto").agg(F.count(F.lit(1)).alias("n"))
     held_out = (
         F.when(F.col("n") < S.MIN_TYPE_COUNT_FOR_EVAL, F.lit(0))
@@ -74,8 +76,10 @@ def stratified_split(
         "primary_type", F.explode(F.array("_val", "_held")).alias("k")
     )
     cutoffs = key_cutoffs(slim.where(~F.col("_auto")), ["primary_type"], "_key", targets)
-    per_type = cutoffs.groupBy("primary_type").agg(
-        F.min("cutoff").alias("_val_cut"), F.max("cutoff").alias("_held_cut")
+    per_type = small_side(
+        cutoffs.groupBy("primary_type").agg(
+            F.min("cutoff").alias("_val_cut"), F.max("cutoff").alias("_held_cut")
+        )
     )
 
     # Machine-labelled rows allowed next to the human training rows.
@@ -104,13 +108,14 @@ def stratified_split(
     out = keyed.join(per_type, "primary_type", "left").withColumn("split", split)
     out = out.where("split IS NOT NULL").drop("_val_cut", "_held_cut", "_auto")
     if train_cap_per_type is not None:
-        out = _cap_training(out, train_cap_per_type)
+        trained = slim.join(per_type, "primary_type", "left").where(split == "train")
+        out = _cap_training(out, trained, train_cap_per_type)
     return out.drop("_key")
 
 
-def _cap_training(split: DataFrame, cap: int) -> DataFrame:
+def _cap_training(split: DataFrame, trained: DataFrame, cap: int) -> DataFrame:
     """Keep the ``cap`` training rows of each type with the smallest hash."""
-    slim = split.where("split = 'train'").select("primary_type", "_key")
+    slim = trained.select("primary_type", "_key")
     targets = (
         slim.groupBy("primary_type").agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > cap)
@@ -118,7 +123,7 @@ def _cap_training(split: DataFrame, cap: int) -> DataFrame:
     )
     cut = key_cutoffs(slim, ["primary_type"], "_key", targets).select("primary_type", "cutoff")
     return (
-        split.join(cut, "primary_type", "left")
+        split.join(small_side(cut), "primary_type", "left")
         .where((F.col("split") != "train") | F.col("cutoff").isNull() | (F.col("_key") <= F.col("cutoff")))
         .drop("cutoff")
     )

@@ -24,15 +24,18 @@ def with_length_score(clauses: DataFrame, fitted: DataFrame | None = None) -> Da
     """Add length_score from ``n_words``.
 
     ``fitted`` is a one-row result of length_statistics on a training corpus.
-    Without it each contract is its own corpus: small per-contract statistics
-    are joined back (no window, so one huge contract stays spread out).
+    Without it each contract is its own corpus. Statistics taken while the
+    contract was one row (mean_words, std_words) are used when present; else
+    they are aggregated and joined back (no window, so one huge contract stays
+    spread out).
     """
     if fitted is not None:
         mean, std = fitted.select("mean_words").scalar(), fitted.select("std_words").scalar()
         return clauses.withColumn("length_score", X.length_score(F.col("n_words"), mean, std))
-    stats = length_statistics(clauses, ["contract_id"])
+    if "mean_words" not in clauses.columns:
+        clauses = clauses.join(length_statistics(clauses, ["contract_id"]), "contract_id")
     return (
-        clauses.join(stats, "contract_id")
+        clauses
         .withColumn(
             "length_score", X.length_score(F.col("n_words"), F.col("mean_words"), F.col("std_words"))
         )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "clauseweave", **overrides: str) -> SparkSession:
@@ -50,6 +51,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Store a narrow result and broadcast it only when its counted size allows.
+
+    Beyond the limit it is returned as a plain table for a shuffled join.
+    """
+    stored = cut_lineage(df)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Redistribute a source that is read in fewer splits than there are cores.
 

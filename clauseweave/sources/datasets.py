@@ -77,12 +77,14 @@ def qa_clauses(rows: DataFrame, taxonomy: Sequence[str] = S.CLAUSE_TYPES) -> Dat
     the text, so its labels are collected as a set (bounded by the taxonomy)
     and partly merged before the shuffle.
     """
-    answers = rows.select(
+    # Type the row before its answers are exploded: once per question.
+    typed = rows.select(
         contract_name(F.col("title"), F.col("id")).alias("contract_name"),
         question_type(F.col("id"), F.col("question"), taxonomy).alias("clause_type"),
-        F.explode(F.col("answers.text")).alias("answer"),
-    ).where("clause_type IS NOT NULL")
-    cleaned = answers.withColumn("clause_text", T.strip(F.col("answer"))).where(
+        F.col("answers.text").alias("texts"),
+    )
+    answers = typed.select("contract_name", "clause_type", F.explode_outer("texts").alias("answer"))
+    cleaned = answers.where("clause_type IS NOT NULL AND answer IS NOT NULL").withColumn("clause_text", T.strip(F.col("answer"))).where(
         T.word_count(F.col("clause_text")) >= S.MIN_CLAUSE_WORDS
     )
     grouped = cleaned.groupBy("contract_name", "clause_text").agg(
