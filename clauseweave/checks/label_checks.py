@@ -92,9 +92,7 @@ def qa_clauses(spark, folder):
     f"WITH {_QA_SQL} SELECT id, question, clause_type, count(*) AS n FROM matched GROUP BY ALL",
 )
 def question_types(spark, folder):
-    typed = _qa_rows(spark, folder).select(
-        "id", "question", datasets.question_type(F.col("id"), F.col("question")).alias("clause_type")
-    )
+    typed = datasets.with_question_type(_qa_rows(spark, folder))
     return typed.groupBy("id", "question", "clause_type").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -49,17 +49,27 @@ def _first_matching(text: Column, taxonomy: Sequence[str]) -> Column:
     return F.get(hits, F.lit(0))["name"]
 
 
-def question_type(id_col: Column, question: Column, taxonomy: Sequence[str] = S.CLAUSE_TYPES) -> Column:
-    """Clause type of a QA row: from the id's last part, else from the question.
+def with_question_type(
+    rows: DataFrame, output: str = "clause_type", taxonomy: Sequence[str] = S.CLAUSE_TYPES
+) -> DataFrame:
+    """Add the clause type of QA rows: from the id's last part, else the question.
 
     An empty question is contained in every name and so gets the first one.
+    The compared texts are a step of their own, made once per row.
     """
-    raw_id = F.coalesce(id_col, F.lit(""))
+    raw_id = F.coalesce("id", F.lit(""))
     last = F.element_at(F.split(raw_id, "__"), -1)
-    candidate = F.lower(T.strip(F.replace(last, F.lit("_"), F.lit(" "))))
-    from_id = F.when(raw_id.contains("__"), _first_matching(candidate, taxonomy))
-    from_question = _first_matching(F.lower(T.strip(F.coalesce(question, F.lit("")))), taxonomy)
-    return F.coalesce(from_id, from_question)
+    staged = rows.withColumns(
+        {
+            "_candidate": F.when(
+                raw_id.contains("__"), F.lower(T.strip(F.replace(last, F.lit("_"), F.lit(" "))))
+            ),
+            "_asked": F.lower(T.strip(F.coalesce("question", F.lit("")))),
+        }
+    )
+    from_id = _first_matching(F.col("_candidate"), taxonomy)
+    from_question = _first_matching(F.col("_asked"), taxonomy)
+    return staged.withColumn(output, F.coalesce(from_id, from_question)).drop("_candidate", "_asked")
 
 
 def contract_name(title: Column, id_col: Column) -> Column:
@@ -77,14 +87,20 @@ def qa_clauses(rows: DataFrame, taxonomy: Sequence[str] = S.CLAUSE_TYPES) -> Dat
     the text, so its labels are collected as a set (bounded by the taxonomy)
     and partly merged before the shuffle.
     """
-    # Type the row before its answers are exploded: once per question.
-    typed = rows.select(
-        contract_name(F.col("title"), F.col("id")).alias("contract_name"),
-        question_type(F.col("id"), F.col("question"), taxonomy).alias("clause_type"),
-        F.col("answers.text").alias("texts"),
+    # Type the row before its answers are exploded: once per question. Answers
+    # without a type are emptied here, not filtered, because a filter on the
+    # type would be pushed down and evaluate it twice.
+    typed = with_question_type(
+        rows.select(
+            contract_name(F.col("title"), F.col("id")).alias("contract_name"),
+            "id", "question", F.col("answers.text").alias("texts"),
+        ),
+        "clause_type",
+        taxonomy,
     )
-    answers = typed.select("contract_name", "clause_type", F.explode_outer("texts").alias("answer"))
-    cleaned = answers.where("clause_type IS NOT NULL AND answer IS NOT NULL").withColumn("clause_text", T.strip(F.col("answer"))).where(
+    wanted = typed.withColumn("texts", F.when(F.col("clause_type").isNotNull(), F.col("texts")))
+    answers = wanted.select("contract_name", "clause_type", F.explode_outer("texts").alias("answer"))
+    cleaned = answers.where("answer IS NOT NULL").withColumn("clause_text", T.strip(F.col("answer"))).where(
         T.word_count(F.col("clause_text")) >= S.MIN_CLAUSE_WORDS
     )
     grouped = cleaned.groupBy("contract_name", "clause_text").agg(
