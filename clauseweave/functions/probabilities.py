@@ -38,13 +38,16 @@ def blend(vectors: Sequence[Column], weights: Sequence[float]) -> Column:
     active = [(v, w) for v, w in zip(vectors, weights, strict=True) if w > 0]
     if not active:
         raise ValueError("at least one weight must be positive")
-    first, weight = active[0]
-    out = F.transform(first, lambda p, w=weight: p * F.lit(float(w)))
+    out = _scaled(*active[0])
     for vector, weight in active[1:]:
-        out = F.zip_with(out, vector, lambda acc, p, w=weight: acc + p * F.lit(float(w)))
+        out = F.zip_with(out, _scaled(vector, weight), lambda a, b: a + b)
     return out
 
 
+def _scaled(vector: Column, weight: float) -> Column:
+    return F.transform(vector, lambda p: p * F.lit(float(weight)))
+
+
 def decode(
     probabilities: Column,
     thresholds: Column,
