@@ -24,7 +24,7 @@ from clauseweave.functions.lexical import clip
 from clauseweave.operators.selection import (
     discrete_quantiles,
     exact_quantiles,
-    key_cutoffs,
+    key_cutoff,
     numbered_by_key,
 )
 from clauseweave.session import cut_lineage
@@ -53,13 +53,10 @@ def sample_for_trees(
         F.col(vector_col).alias("vector"), ids.order_key(F.col(id_col), seed).alias("_key")
     )
     slots = trees * rows_per_tree
-    slim = keyed.select(F.lit(0).alias("_all"), "_key")
-    size = slim.count()
+    size = keyed.count()
     pool = keyed
     if size > slots:
-        target = slim.sparkSession.createDataFrame([(0, slots)], "_all int, k long")
-        cutoff = key_cutoffs(slim, ["_all"], "_key", target).first()["cutoff"]
-        pool = keyed.where(F.col("_key") <= cutoff)
+        pool = keyed.where(F.col("_key") <= key_cutoff(keyed, "_key", slots))
     pool_size = min(size, slots)
     per_tree = min(rows_per_tree, pool_size)
     numbered = numbered_by_key(pool, "_key")
@@ -81,7 +78,7 @@ def fit_isolation_forest(
     """One row per tree, nodes in heap order; each tree sees a bounded sample."""
     depth = max(1, math.ceil(math.log2(max(rows_per_tree, 2))))
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         rng = np.random.default_rng([seed, tree])
         points = np.array(sorted(map(tuple, pdf["vector"])), dtype=float)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,24 +71,26 @@ def upload_clauses(docs: DataFrame, source: str = "text_input") -> DataFrame:
     )
 
 
-def filing_clauses(filings: DataFrame) -> DataFrame:
+def filing_clauses(filings: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Clauses of raw filings (file_name, text), one row per file.
 
+    ``carry`` names further columns to keep on every clause.
     Short files are dropped after cleaning. Ids leave the position out, so a
     clause repeated inside one file has one id; repeats go before the explode
     and no shuffle is needed.
     """
     cleaned = filings.select(
         ids.contract_id(F.col("file_name")).alias("contract_id"),
+        *carry,
         T.clean_filing(F.col("text")).alias("text"),
     )
     long_enough = cleaned.where(T.word_count(F.col("text")) >= S.MIN_FILING_WORDS)
     staged = with_clause_array(long_enough).withColumn("clauses", F.array_distinct("clauses"))
     return _processed(
-        _exploded(staged, ["contract_id"]),
+        _exploded(staged, ["contract_id", *carry]),
         ids.clause_id("EDGAR", F.col("contract_id"), F.col("clause_text")),
         "EDGAR",
-        "position", "n_words",
+        "position", "n_words", *carry,
     )
 
 

@@ -44,6 +44,20 @@ def key_cutoffs(df: DataFrame, groups: Sequence[str], key: str, targets: DataFra
     )
 
 
+def key_cutoff(df: DataFrame, key: str, k: int) -> str | None:
+    """The k-th smallest hash key of a whole table; None when there is none."""
+    slim = df.select(F.col(key).alias("_key"), _bucket(key).alias("_bucket"))
+    counts = slim.groupBy("_bucket").count().orderBy("_bucket").collect()  # at most 4096 rows
+    before = 0
+    for row in counts:
+        if before + row["count"] >= k > before:
+            inside = slim.where(F.col("_bucket") == row["_bucket"])
+            nth = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key"))
+            return inside.withColumn("_at", nth).where(F.col("_at") == k - before).first()["_key"]
+        before += row["count"]
+    return None
+
+
 def numbered_by_key(df: DataFrame, key: str, position: str = "position") -> DataFrame:
     """Global 0-based numbering in hash-key order, sorted bucket by bucket."""
     staged = df.withColumn("_bucket", _bucket(key))

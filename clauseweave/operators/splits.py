@@ -20,7 +20,7 @@ from clauseweave import settings as S
 from clauseweave.functions import ids
 from clauseweave.functions import labels as L
 from clauseweave.functions import text as T
-from clauseweave.operators.selection import key_cutoffs
+from clauseweave.operators.selection import key_cutoff, key_cutoffs
 from clauseweave.session import cut_lineage, small_side
 
 
@@ -83,21 +83,15 @@ def stratified_split(
     )
 
     # Machine-labelled rows allowed next to the human training rows.
-    room = sizes.agg(
-        F.floor(
-            F.coalesce(F.sum(F.col("n") - F.col("_held")), F.lit(0)) * F.lit(auto_share) / F.lit(1 - auto_share)
-        ).cast("long").alias("k")
-    )
-    auto_rows = by_type.where("_auto").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    auto_target = room.where((F.col("k") >= 1) & (F.col("k") < auto_rows.scalar())).select(
-        F.lit(True).alias("_auto"), "k"
-    )
-    auto_cut = key_cutoffs(slim.where("_auto"), ["_auto"], "_key", auto_target).select("cutoff")
-    keep_auto = (
-        F.when(room.scalar() >= auto_rows.scalar(), F.lit(True))
-        .when(room.scalar() < 1, F.lit(False))
-        .otherwise(F.col("_key") <= auto_cut.scalar())
-    )
+    human_train = F.coalesce(F.sum(F.col("n") - F.col("_held")), F.lit(0))
+    room = sizes.agg(F.floor(human_train * F.lit(auto_share) / F.lit(1 - auto_share)).cast("long")).first()[0]
+    machine = slim.where("_auto")
+    if room >= machine.count():
+        keep_auto = F.lit(True)
+    elif room < 1:
+        keep_auto = F.lit(False)
+    else:
+        keep_auto = F.col("_key") <= key_cutoff(machine, "_key", room)
 
     split = (
         F.when(F.col("_auto"), F.when(keep_auto, F.lit("train")))
