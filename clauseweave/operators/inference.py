@@ -17,31 +17,48 @@ BATCH_ROWS = 32
 
 
 def with_model_output(
-    df: DataFrame, make_model: Callable, input_col: str, output_col: str, batch_rows: int = BATCH_ROWS
+    df: DataFrame,
+    make_model: Callable,
+    input_col: str,
+    output_col: str,
+    batch_rows: int = BATCH_ROWS,
+    input_length: int | None = None,
 ) -> DataFrame:
     """Add an array<double> computed by ``make_model()(batch of inputs)``.
 
     ``make_model`` runs once per Python worker, where it loads the weights.
+    Array inputs need their (fixed) ``input_length``.
     """
     run = predict_batch_udf(
-        make_model, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_rows
+        make_model,
+        return_type=T.ArrayType(T.DoubleType()),
+        batch_size=batch_rows,
+        input_tensor_shapes=None if input_length is None else [[input_length]],
     )
     return df.withColumn(output_col, run(F.col(input_col)))
 
 
 def classify_tokens(
-    clauses: DataFrame, make_model: Callable, tokens_col: str, key: str = "clause_id",
+    clauses: DataFrame,
+    make_model: Callable,
+    tokens_col: str,
+    key: str = "clause_id",
+    pad: int = 0,
     prepare: Callable | None = None,
 ) -> DataFrame:
     """Class probabilities of tokenised clauses: windows, inference, max-pool.
 
-    ``prepare`` may turn the window column into what the model takes (padding,
-    joining); by default the model gets the window itself.
+    Windows of token ids are padded to full length for the model. ``prepare``
+    replaces the padding by another column function, say one joining tokens.
     """
     windows = clauses.select(key, F.explode(P.window_tokens(F.col(tokens_col))).alias("window"))
-    if prepare is not None:
+    if prepare is None:
+        missing = F.array_repeat(F.lit(pad), F.lit(S.WINDOW_TOKENS) - F.size("window"))
+        windows = windows.withColumn("window", F.concat("window", missing))
+        scored = with_model_output(windows, make_model, "window", "probabilities", input_length=S.WINDOW_TOKENS)
+    else:
         windows = windows.withColumn("window", prepare(F.col("window")))
-    scored = with_model_output(windows, make_model, "window", "probabilities")
+        scored = with_model_output(windows, make_model, "window", "probabilities")
     return max_pool(scored, key)
 
 

@@ -89,7 +89,7 @@ def test_growth_end_to_end(spark):
         rows, "clause_id string, contract_id string, clause_text string, embedding array<double>"
     )
     types = spark.createDataFrame(
-        [("Notices", 0, [5.0, 0, 0, 0, 0, 0, 0, 0]), ("Payments", 1, [0.0, 5, 5, 0, 0, 0, 0, 0])],
+        [("Notices", 0, [float(x) for x in axes[0]]), ("Payments", 1, [float(x) for x in axes[1] + axes[2]])],
         "name string, position long, embedding array<double>",
     )
     known = types.select("name")
@@ -143,7 +143,7 @@ def test_batched_model_sees_every_row(spark):
     def make():
         return lambda batch: np.asarray(batch) * 2.0
 
-    rows = I.with_model_output(df, make, "x", "y", batch_rows=7).collect()
+    rows = I.with_model_output(df, make, "x", "y", batch_rows=7, input_length=2).collect()
     assert all(list(r.y) == [2.0 * r.id, 2.0] for r in rows)
 
 
@@ -155,3 +155,14 @@ def test_decode_edges(spark):
     assert got == [["Other"], ["A", "B"], ["Other"], ["Other"]]
     low = F.array(F.lit(0.3), F.lit(0.3))
     assert [r[0] for r in df.select(P.decode(F.col("p"), low, names)).collect()][3] == ["A"]
+
+
+def test_token_windows_through_a_model(spark):
+    rows = [("a", list(range(1, 401))), ("b", [5, 9]), ("c", [])]
+    df = spark.createDataFrame(rows, "clause_id string, t array<int>")
+
+    def make():
+        return lambda batch: np.stack([batch.max(axis=1), (np.asarray(batch) > 0).sum(axis=1)], axis=1) / 1.0
+
+    got = {r.clause_id: list(r.probabilities) for r in I.classify_tokens(df, make, "t").collect()}
+    assert got == {"a": [400.0, 254.0], "b": [9.0, 2.0], "c": [0.0, 0.0]}

@@ -120,7 +120,7 @@ def test_segments_and_ids(spark):
 
 
 def test_filing_clauses(spark):
-    body = "\n".join(f"{i}. Alpha " + " ".join(f"word{i % 3}" for _ in range(12)) for i in (1, 2, 1, 3, 4, 5, 1))
+    body = "\n".join(f"{i}. Alpha " + " ".join(f"word{i % 3}" for _ in range(15)) for i in (1, 2, 1, 3, 4, 5, 1))
     files = [("a.txt", "<p>" + body + "</p>"), ("short.txt", "too short")]
     df = spark.createDataFrame(files, "file_name string, text string")
     rows = filing_clauses(df).orderBy("position").collect()
