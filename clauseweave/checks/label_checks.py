@@ -112,7 +112,7 @@ _MAPPED = [(k, v) for k, v in S.PROVISION_LABELS.items() if v is not None]
 )
 def provision_clauses(spark, folder):
     rows = table(spark, folder, "documents").select(
-        "doc_id", F.explode(F.split("text", "\n")).alias("text"), (F.col("doc_id") % len(LABEL_NAMES)).alias("label")
+        "doc_id", F.explode_outer(F.split("text", "\n")).alias("text"), (F.col("doc_id") % len(LABEL_NAMES)).alias("label")
     )
     names = spark.createDataFrame(list(enumerate(LABEL_NAMES)), "label long, label_name string")
     out = datasets.provision_clauses(rows, names, [F.col("doc_id")])
@@ -253,9 +253,9 @@ def insert_new_clauses(spark, folder):
     def with_id(rows):
         return rows.withColumn("clause_id", ids.clause_id("LEDGAR", F.col("clause_text")))
 
-    stored = with_id(table(spark, folder, "benchmark").select(F.explode(F.split("text", "\n")).alias("clause_text")))
+    stored = with_id(table(spark, folder, "benchmark").select(F.explode_outer(F.split("text", "\n")).alias("clause_text")))
     incoming = with_id(
-        table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "clause_text"))
+        table(spark, folder, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "clause_text"))
     )
     return store.insert_if_absent(stored, incoming, "clause_id", [F.col("doc_id"), F.col("line_no")])
 

@@ -85,7 +85,7 @@ def review_clauses(spark, folder):
 )
 def top_probabilities(spark, folder):
     tops = P.top_probabilities(F.col("probabilities"))
-    out = _predicted(spark, folder).select("vec_id", F.posexplode(tops).alias("at", "t"))
+    out = _predicted(spark, folder).select("vec_id", F.posexplode_outer(tops).alias("at", "t"))
     return out.select("vec_id", (F.col("at") + 1).alias("rank"), "t.name", F.round("t.p", 6).alias("p"))
 
 

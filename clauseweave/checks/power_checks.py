@@ -320,7 +320,7 @@ def top_attributed_words(spark, folder):
     values = F.transform(
         "words", lambda w, i: F.when(i % 2 == 0, 1).otherwise(-1) * F.length(w).cast("double") / 10
     )
-    tops = docs.select("doc_id", F.posexplode(top_words(F.col("words"), values)).alias("p", "t"))
+    tops = docs.select("doc_id", F.posexplode_outer(top_words(F.col("words"), values)).alias("p", "t")).where("p IS NOT NULL")
     return tops.select("doc_id", (F.col("p") + 1).alias("rank"), "t.word", "t.value")
 
 

@@ -150,7 +150,7 @@ def _routes(spark, folder):
 )
 def cluster_centroids(spark, folder):
     out = C.centroids(_clustered(spark, folder), "embedding")
-    return out.select("cluster_id", F.posexplode("centroid").alias("dim", "value"), "cluster_size").withColumn(
+    return out.select("cluster_id", F.posexplode_outer("centroid").alias("dim", "value"), "cluster_size").withColumn(
         "value", F.round("value", 6)
     )
 

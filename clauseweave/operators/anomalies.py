@@ -61,7 +61,7 @@ def sample_for_trees(
     per_tree = min(rows_per_tree, pool_size)
     numbered = numbered_by_key(pool, "_key")
     last = F.lit(trees * per_tree - 1).cast("long")
-    own = F.explode(F.sequence(F.col("position"), last, F.lit(pool_size).cast("long")))
+    own = F.explode_outer(F.sequence(F.col("position"), last, F.lit(pool_size).cast("long")))
     return numbered.where(F.col("position") <= last).select("vector", own.alias("slot")).select(
         F.floor(F.col("slot") / per_tree).cast("int").alias("tree"), "vector"
     )
@@ -180,7 +180,7 @@ def fuse(scored: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     rows themselves are the training set.
     """
     bounds = score_bounds(scored) if bounds is None else bounds
-    bound = {c: bounds.select(c).scalar() for c in bounds.columns}
+    bound = bounds.select(F.struct(*bounds.columns)).scalar()
 
     def scaled(value: Column, low: Column, high: Column) -> Column:
         width = F.when(high - low == 0, F.lit(1.0)).otherwise(high - low)
@@ -222,11 +222,12 @@ def precision_recall_at_k(
     totals = labelled.agg(
         F.count(F.lit(1)).alias("test_size"), F.coalesce(F.sum(label_col), F.lit(0)).alias("proxy_anomalies")
     )
-    positives = totals.select("proxy_anomalies").scalar()
+    known = totals.select(F.struct("test_size", "proxy_anomalies")).scalar()
+    positives = known["proxy_anomalies"]
     return top.agg(
         F.avg(label_col).alias("precision_at_k"),
         (F.sum(label_col) / F.greatest(positives, F.lit(1))).alias("recall_at_k"),
         F.lit(k).alias("k"),
-        F.max(totals.select("test_size").scalar()).alias("test_size"),
+        F.max(known["test_size"]).alias("test_size"),
         F.max(positives).alias("proxy_anomalies"),
     )

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import factorial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseweave import settings as S
-from clauseweave.functions.lexical import party_leverage
 
 FEATURES = [
     "sentiment_score", "modal_score", "obligation_score", "assertiveness_score", "length_score",
@@ -30,29 +30,43 @@ def _subset_weights(feature: int, count: int) -> list[float]:
 def with_feature_attribution(scored: DataFrame, background: float = S.NEUTRAL_SCORE) -> DataFrame:
     """Exact Shapley values of the five features against a neutral background.
 
-    All 32 subsets are evaluated inside the row: bit i of the mask says whether
-    feature i has its own value or the background's.
+    All 32 subsets are evaluated inside the row as plain columns (bit i of the
+    subset number says whether feature i has its own value or the background's),
+    so the whole computation is compiled.
     """
-
-    def imbalance(mask: Column) -> Column:
-        values = [
-            F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.col(c)).otherwise(F.lit(background))
-            for i, c in enumerate(FEATURES)
-        ]
-        a, b = party_leverage(*values)
-        return a - b
-
     n = len(FEATURES)
-    staged = scored.withColumn(
-        "_subsets", F.transform(F.sequence(F.lit(0), F.lit(2**n - 1)), imbalance)
-    )
-    shares = {}
-    for i, c in enumerate(FEATURES):
-        weights = F.array(*[F.lit(w) for w in _subset_weights(i, n)])
-        shares[f"{c}_contribution"] = F.aggregate(
-            F.zip_with("_subsets", weights, lambda v, w: v * w), F.lit(0.0), lambda acc, x: acc + x
+    *tones, length = FEATURES
+    weights = [S.WEIGHT_SENTIMENT, S.WEIGHT_MODAL, S.WEIGHT_OBLIGATION, S.WEIGHT_ASSERTIVENESS]
+
+    # Sentiment works for party B, the other features for party A.
+    def raw(mask: int, for_a: bool) -> Column:
+        parts = []
+        for i, (c, w) in enumerate(zip(tones, weights, strict=True)):
+            value = c if mask >> i & 1 else f"{background}D"
+            parts.append(f"{w}D * " + (value if (i > 0) == for_a else f"(1D - {value})"))
+        return F.expr(" + ".join(parts))
+
+    def imbalance(mask: int) -> Column:
+        inner = mask % 2 ** (n - 1)
+        own_length = length if mask >> (n - 1) else f"{background}D"
+        amplifier = f"((0.8D + 0.4D * {own_length}) * 100D)"
+        a, b = (
+            f"greatest(0D, least(100D, _raw_{p}{inner} * {amplifier}))" for p in "ab"
+        )
+        return F.expr(f"{a} - {b}")
+
+    sums = {f"_raw_{p}{m}": raw(m, p == "a") for m in range(2 ** (n - 1)) for p in "ab"}
+    values = {f"_subset{m}": imbalance(m) for m in range(2**n)}
+    shares = {
+        f"{c}_contribution": F.expr(
+            " + ".join(f"{w}D * _subset{m}" for m, w in enumerate(_subset_weights(i, n)))
         )
-    return staged.withColumns(shares).drop("_subsets")
+        for i, c in enumerate(FEATURES)
+    }
+    complete = F.expr(" AND ".join(f"{c} IS NOT NULL" for c in FEATURES))
+    staged = scored.withColumns(sums).withColumns(values)
+    staged = staged.withColumns({c: F.when(complete, v) for c, v in shares.items()})
+    return staged.drop(*sums, *values)
 
 
 def masked_text(words: Column, keep: Column) -> Column:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from clauseweave import settings as S
 from clauseweave.functions.text import WORD
 from clauseweave.operators.keyed import first_k_per_key
+from clauseweave.session import cut_lineage
 
 NOISE = -1
 BLOCK_BYTES = 64 * 1024 * 1024
@@ -73,7 +74,8 @@ def centroids(clauses: DataFrame, vector_col: str) -> DataFrame:
 
 def terms(text: Column) -> Column:
     """Lower-case tokens of two or more word characters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"[{WORD}]{{2,}}"), F.lit(0))
+    # ASCII letters are tested first; the class as a whole is unchanged by that.
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"[[a-z][{WORD}]]{{2,}}"), F.lit(0))
 
 
 def term_lists(clauses: DataFrame, text_col: str, stop_words: Sequence[str]) -> DataFrame:
@@ -104,14 +106,17 @@ def cluster_keywords(
     stop_words = english_stop_words() if stop_words is None else stop_words
     listed = term_lists(clauses.select("cluster_id", text_col), text_col, stop_words)
     frequent = (
-        listed.select(F.explode("terms").alias("term"))
+        listed.select(F.explode_outer("terms").alias("term"))
+        .where("term IS NOT NULL")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "term")
         .limit(vocabulary_size)
     )
     vocabulary = [r.term for r in frequent.collect()]
-    counted = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="_tf").transform(listed)
+    model = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="_tf")
+    # Sparse counts are read twice below; store them instead of parsing again.
+    counted = cut_lineage(model.transform(listed).select("cluster_id", "_tf"))
     idf = IDF(inputCol="_tf", outputCol="_unused").fit(counted)
     scale = ElementwiseProduct(
         scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="_tf", outputCol="_weighted"
@@ -121,7 +126,7 @@ def cluster_keywords(
         unit.where(F.col("cluster_id") != NOISE)
         .groupBy("cluster_id")
         .agg(Summarizer.mean(F.col("_unit")).alias("m"))
-        .select("cluster_id", F.posexplode(vector_to_array("m")).alias("idx", "weight"))
+        .select("cluster_id", F.posexplode_outer(vector_to_array("m")).alias("idx", "weight"))
         .where("weight > 0")
     )
     names = clauses.sparkSession.createDataFrame(list(enumerate(vocabulary)), "idx int, term string")

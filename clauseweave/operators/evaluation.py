@@ -27,8 +27,8 @@ def class_counts(predictions: DataFrame, taxonomy: Sequence[str]) -> DataFrame:
     outside the taxonomy are ignored. Only labels that occur are exploded.
     """
     used = predictions.select(
-        "y_true", "y_pred", F.explode(F.array_union("y_true", "y_pred")).alias("class")
-    )
+        "y_true", "y_pred", F.explode_outer(F.array_union("y_true", "y_pred")).alias("class")
+    ).where("class IS NOT NULL")
     truth = F.array_contains("y_true", F.col("class"))
     guess = F.array_contains("y_pred", F.col("class"))
     flags = used.select(
@@ -113,7 +113,8 @@ def _prf() -> list[Column]:
 def _long(scored: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """(extra..., class_idx, p, y) from arrays ``probabilities`` and ``labels``."""
     pairs = F.arrays_zip(F.col("probabilities").alias("p"), F.col("labels").alias("y"))
-    return scored.select(*extra, F.posexplode(pairs).alias("class_idx", "z")).select(
+    rows = scored.select(*extra, F.posexplode_outer(pairs).alias("class_idx", "z")).where("z IS NOT NULL")
+    return rows.select(
         *extra, "class_idx", F.col("z.p").alias("p"), F.col("z.y").alias("y")
     )
 
@@ -221,7 +222,7 @@ def ensemble_search(scored: DataFrame, models: Sequence[str], labels: str = "lab
     )
     # Model vectors to per-class rows first (narrow), then every candidate.
     zipped = F.arrays_zip(*[F.col(m) for m in models], F.col(labels).alias("y"))
-    per_class = scored.select(F.posexplode(zipped).alias("class_idx", "z")).select(
+    per_class = scored.select(F.posexplode_outer(zipped).alias("class_idx", "z")).where("z IS NOT NULL").select(
         "class_idx", *[F.col(f"z.{m}").alias(m) for m in models], F.col("z.y").alias("y")
     )
     weights = F.array(*[
@@ -269,7 +270,8 @@ def metric_rows(report: DataFrame, component: str) -> DataFrame:
 def max_pool(chunk_probabilities: DataFrame, key: str, column: str = "probabilities") -> DataFrame:
     """Largest probability per class over all chunks of a clause."""
     peaks = (
-        chunk_probabilities.select(key, F.posexplode(column).alias("class_idx", "p"))
+        chunk_probabilities.select(key, F.posexplode_outer(column).alias("class_idx", "p"))
+        .where("p IS NOT NULL")
         .groupBy(key, "class_idx")
         .agg(F.max("p").alias("p"))
     )

@@ -51,7 +51,7 @@ def classify_tokens(
     Windows of token ids are padded to full length for the model. ``prepare``
     replaces the padding by another column function, say one joining tokens.
     """
-    windows = clauses.select(key, F.explode(P.window_tokens(F.col(tokens_col))).alias("window"))
+    windows = clauses.select(key, F.explode_outer(P.window_tokens(F.col(tokens_col))).alias("window"))
     if prepare is None:
         missing = F.array_repeat(F.lit(pad), F.lit(S.WINDOW_TOKENS) - F.size("window"))
         windows = windows.withColumn("window", F.concat("window", missing))

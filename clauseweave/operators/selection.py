@@ -98,16 +98,22 @@ def discrete_quantiles(
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probabilities: Sequence[float], leaf_rows: int = 50_000, cells: int = 4096
+    df: DataFrame,
+    value: str,
+    probabilities: Sequence[float],
+    leaf_rows: int = 50_000,
+    cells: int = 4096,
+    known: tuple[float, float, int] | None = None,
 ) -> list[float]:
     """Linear-interpolated quantiles of a double column, exact at any size.
 
     Narrows the value range around each wanted rank with histogram passes until
     few distinct values remain. Each pass is one scan with a small aggregate.
-    Give it a stored column (see ``cut_lineage``) when computing it is costly.
+    Give it a stored column (see ``cut_lineage``) when computing it is costly, and
+    ``known`` (min, max, count) when those are at hand.
     """
     slim = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    low, high, count = slim.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    low, high, count = known or slim.agg(F.min("v"), F.max("v"), F.count("v")).first()
     if not count:
         return [float("nan")] * len(probabilities)
     ranks = sorted({r for p in probabilities for r in _neighbour_ranks(p, count)})

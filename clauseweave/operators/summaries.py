@@ -30,8 +30,9 @@ def with_length_score(clauses: DataFrame, fitted: DataFrame | None = None) -> Da
     spread out).
     """
     if fitted is not None:
-        mean, std = fitted.select("mean_words").scalar(), fitted.select("std_words").scalar()
-        return clauses.withColumn("length_score", X.length_score(F.col("n_words"), mean, std))
+        fit = fitted.select(F.struct("mean_words", "std_words")).scalar()
+        score = X.length_score(F.col("n_words"), fit["mean_words"], fit["std_words"])
+        return clauses.withColumn("length_score", score)
     if "mean_words" not in clauses.columns:
         clauses = clauses.join(length_statistics(clauses, ["contract_id"]), "contract_id")
     return (
@@ -110,12 +111,15 @@ def feature_statistics(scored: DataFrame, features: list[str], stored: bool = Fa
         *[
             f(c).alias(f"{c}__{n}")
             for c in features
-            for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))
+            for n, f in (
+                ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max), ("count", F.count),
+            )
         ]
     ).first()
     rows = []
     for c in features:
-        q1, q2, q3 = exact_quantiles(slim, c, [0.25, 0.5, 0.75])
+        known = (wide[f"{c}__min"], wide[f"{c}__max"], wide[f"{c}__count"])
+        q1, q2, q3 = exact_quantiles(slim, c, [0.25, 0.5, 0.75], known=known)
         rows.append((c, *[wide[f"{c}__{n}"] for n in ("mean", "std", "min", "max")], q1, q2, q3))
     return scored.sparkSession.createDataFrame(
         rows, "feature string, mean double, std double, min double, max double, p25 double, p50 double, p75 double"

@@ -43,7 +43,7 @@ def submission_exhibits(submissions: DataFrame) -> DataFrame:
     """
     blocks = submissions.select(
         "accession", "cik", "file_date",
-        F.posexplode(F.split("sgml", "(?i)<DOCUMENT>")).alias("block_no", "block"),
+        F.posexplode_outer(F.split("sgml", "(?i)<DOCUMENT>")).alias("block_no", "block"),
     ).where("block_no > 0")
     typed = blocks.select(
         "accession", "cik", "file_date", "block_no",
