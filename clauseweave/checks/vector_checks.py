@@ -12,6 +12,7 @@ from clauseweave.functions import text as T
 from clauseweave.functions import vectors as V
 from clauseweave.operators import anomalies as A
 from clauseweave.operators import clusters as C
+from clauseweave.session import cut_lineage
 
 # --- Anomalies --------------------------------------------------------------------
 
@@ -52,7 +53,7 @@ proxied AS (SELECT doc_id, n_words, (n_words < 15 OR n_words > (SELECT quantile_
 
 def _proxied(spark, folder):
     sized = table(spark, folder, "documents").select("doc_id", T.word_count(F.col("text")).alias("n_words"))
-    return A.proxy_labels(sized)
+    return A.proxy_labels(cut_lineage(sized))
 
 
 @query("proxy_anomalies", f"WITH {_PROXY_SQL} SELECT doc_id, n_words, proxy_anomaly FROM proxied")
@@ -79,7 +80,7 @@ def precision_recall_at_k(spark, folder):
 def isolation_forest(spark, folder):
     rows = table(spark, folder, "embeddings")
     model = A.fit_isolation_forest(rows, "vec_id", "embedding")
-    scored = rows.withColumn("forest_raw", A.forest_score(model, "embedding"))
+    scored = cut_lineage(rows.select("vec_id", A.forest_score(model, "embedding").alias("forest_raw")))
     return A.forest_decision(scored).select("vec_id", F.round("if_score", 6).alias("if_score"))
 
 

@@ -141,7 +141,10 @@ def forest_score(model: DataFrame, vector_col: str, rows_per_tree: int = S.FORES
 def forest_decision(
     scored: DataFrame, score_col: str = "forest_raw", contamination: float = S.FOREST_CONTAMINATION
 ) -> DataFrame:
-    """Add if_score: the score less its contamination quantile (negative: outlier)."""
+    """Add if_score: the score less its contamination quantile (negative: outlier).
+
+    Finding the quantile reads the scores several times, so store them before.
+    """
     offset = exact_quantiles(scored, score_col, [contamination])[0]
     return scored.withColumn("if_score", F.col(score_col) - F.lit(offset))
 
@@ -218,6 +221,8 @@ def precision_recall_at_k(
     labelled: DataFrame, k: int, score_col: str, label_col: str, id_col: str
 ) -> DataFrame:
     """Precision and recall of the k highest scores; ties fall to the lower id."""
+    # Ranking and counting both read these three columns.
+    labelled = cut_lineage(labelled.select(id_col, score_col, label_col))
     top = labelled.orderBy(F.desc(score_col), id_col).limit(k)
     totals = labelled.agg(
         F.count(F.lit(1)).alias("test_size"), F.coalesce(F.sum(label_col), F.lit(0)).alias("proxy_anomalies")
