@@ -18,6 +18,7 @@ from clauseweave import settings as S
 from clauseweave.functions import ids
 from clauseweave.functions import text as T
 from clauseweave.operators.keyed import first_per_key
+from clauseweave.session import small_side
 
 
 def read_splits(
@@ -132,8 +133,7 @@ def provision_clauses(rows: DataFrame, label_names: DataFrame, order: Sequence[C
     cleaned = rows.withColumn("clause_text", T.strip(F.coalesce("text", F.lit("")))).where(
         T.word_count(F.col("clause_text")) >= S.MIN_CLAUSE_WORDS
     )
-    # Distinct labels of the mapping: at most its 60 entries.
-    typed = cleaned.join(F.broadcast(decoded), "label")
+    typed = cleaned.join(small_side(decoded), "label")
     out = typed.withColumn("clause_id", ids.clause_id("LEDGAR", F.col("clause_text")))
     first = first_per_key(out, ["clause_id"], order)
     return _single_label(first, ids.contract_id("LEDGAR_", F.col("label")), "LEDGAR")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from clauseweave.operators.segmentation import filing_clauses
-from clauseweave.sources.filings import unix_lines
+from clauseweave.session import cut_lineage
+from clauseweave.sources.filings import new_filings, unix_lines
 from clauseweave.sources.store import ClauseStore, contract_rows
 
 
@@ -29,12 +30,15 @@ def filing_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> Da
 
 
 def ingest_batch(batch: DataFrame, store: ClauseStore, source: str = "EDGAR") -> None:
-    """Segment one micro-batch and insert what is new. Safe to replay."""
-    clauses = filing_clauses(batch.select("file_name", "text"))
+    """Segment one micro-batch and insert what is new. Safe to replay.
+
+    Files whose contract is stored already are skipped before any segmentation.
+    """
+    fresh = new_filings(batch.select("file_name", "text"), store.contracts())
+    clauses = cut_lineage(filing_clauses(fresh))
     store.save_clauses(clauses, [F.col("position")])
-    stored = store.clauses().where(F.col("source") == source)
     # Contracts last: a contract row marks the file as fully ingested.
-    store.save_contracts(contract_rows(stored, source))
+    store.save_contracts(contract_rows(clauses, source))
 
 
 def start_ingest(
