@@ -11,11 +11,12 @@ from clauseweave import settings as S
 from clauseweave.checks import derived as D
 from clauseweave.checks.derived import rounded
 from clauseweave.checks.registry import query, table
+from clauseweave.functions import ids
 from clauseweave.functions import lexical as X
 from clauseweave.functions import text as T
 from clauseweave.operators import summaries as M
 from clauseweave.operators.attribution import FEATURES, masked_text, top_words, with_feature_attribution
-from clauseweave.plans.analysis import score_imbalance
+from clauseweave.plans.analysis import clause_listing, score_imbalance
 
 SCORES = ["sentiment_score", "modal_score", "obligation_score", "assertiveness_score", "length_score"]
 RESULTS = ["party_a_leverage", "party_b_leverage", "power_imbalance_score"]
@@ -94,8 +95,6 @@ SCORED_SQL = f"{D.CLAUSES_SQL}, {_TONE_SQL}, {LEXICAL_SQL}, {_SIZED_SQL}, {LEVER
 
 def _with_tone(spark, folder, clauses):
     """Attach class probabilities of a tone model, here from the labels table."""
-    from clauseweave.functions import ids
-
     def probabilities(neg, neu, pos):
         return F.create_map(
             F.lit("LABEL_0"), F.lit(neg), F.lit("neutral"), F.lit(neu), F.lit("Positive"), F.lit(pos)
@@ -251,6 +250,56 @@ def anomalous_clauses(spark, folder):
     return rounded(out.select("contract_id", "clause_id", "anomaly_score"), "anomaly_score")
 
 
+@query(
+    "unscored_clauses",
+    f"""WITH {_TYPED_SQL} SELECT contract_id, clause_id FROM typed WHERE {D.hex_sql('clause_id', 5)} < 6""",
+)
+def unscored_clauses(spark, folder):
+    pending = F.when(D.hex_digit("clause_id", 5) >= 6, F.col("anomaly_score"))
+    clauses = analysed_clauses(spark, folder).withColumn("anomaly_score", pending)
+    return M.unscored_clauses(clauses).select("contract_id", "clause_id")
+
+
+@query(
+    "clause_listing",
+    f"""WITH {_TYPED_SQL} SELECT contract_id, position, clause_id, primary_type, round(power_imbalance_score, 6) AS imbalance,
+      imbalance_label FROM typed""",
+)
+def listing(spark, folder):
+    return clause_listing(analysed_clauses(spark, folder)).select(
+        "contract_id", "position", "clause_id", "primary_type",
+        F.round("power_imbalance_score", 6).alias("imbalance"), "imbalance_label",
+    )
+
+
+# Party names of a contract: the newest analysis of the document's label row.
+@query(
+    "named_dominant_party",
+    f"""WITH {SCORED_SQL},
+    names AS (SELECT substr(md5('doc_'||doc_id||'.txt'), 1, 12) AS contract_id, 'Holder '||doc_id AS party_a,
+      CASE WHEN quality = 1 THEN 'Other '||doc_id ELSE 'Party B' END AS party_b FROM labels),
+    totals AS (SELECT contract_id, count(*) AS total_clauses, round(avg(power_imbalance_score), 6) AS i FROM scored GROUP BY contract_id)
+    SELECT t.contract_id, total_clauses, CASE WHEN i > 0 THEN coalesce(party_a, 'Party A') WHEN i < 0 THEN coalesce(party_b, 'Party B')
+      ELSE 'Balanced' END AS dominant_party FROM totals t LEFT JOIN names n USING (contract_id)""",
+)
+def named_dominant_party(spark, folder):
+    results = table(spark, folder, "labels").select(
+        ids.contract_id("doc_", F.col("doc_id"), ".txt").alias("contract_id"),
+        F.to_json(
+            F.struct(
+                F.concat(F.lit("Holder "), "doc_id").alias("party_a"),
+                F.when(F.col("quality") == 1, F.concat(F.lit("Other "), "doc_id")).alias("party_b"),
+            )
+        ).alias("analysis_metadata"),
+        F.col("doc_id").alias("created_at"),
+    )
+    clauses = rounded(scored_clauses(spark, folder), "power_imbalance_score", digits=9).withColumns(
+        {"clause_types": F.array().cast("array<string>"), "is_anomalous": F.lit(False)}
+    )
+    out = M.contract_summary(clauses, M.latest_parties(results))
+    return out.select("contract_id", "total_clauses", "dominant_party")
+
+
 @query(
     "feature_statistics",
     f"""WITH {SCORED_SQL},

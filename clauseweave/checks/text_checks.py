@@ -105,7 +105,7 @@ def segment_contracts(spark, folder):
 @query(
     "header_lines",
     f"""WITH {D.CONTRACTS_SQL}, {D.segment_sql('contracts')}
-    SELECT contract_id, count(*) AS n_lines, max(grp) AS n_headers FROM marked GROUP BY contract_id""",
+    SELECT contract_id, count(*) AS n_lines, max(grp)::INT AS n_headers FROM marked GROUP BY contract_id""",
 )
 def header_lines(spark, folder):
     lines = D.contract_texts(spark, folder).select("contract_id", F.split("text", "\n").alias("lines"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from clauseweave import settings as S
 from clauseweave.functions.text import WORD
 from clauseweave.operators.keyed import first_k_per_key
-from clauseweave.session import cut_lineage
+from clauseweave.session import cut_lineage, small_side
 
 NOISE = -1
 BLOCK_BYTES = 64 * 1024 * 1024
@@ -238,7 +238,7 @@ def with_route(nearest: DataFrame) -> DataFrame:
 def relabelled(clauses: DataFrame, routes: DataFrame) -> DataFrame:
     """Clauses of clusters that match an existing type, labelled with it."""
     hits = routes.where("route = 'relabel'").select("cluster_id", "best_type", "best_sim")
-    return clauses.join(hits, "cluster_id").withColumns(
+    return clauses.join(small_side(hits), "cluster_id").withColumns(
         {
             "clause_types": F.array("best_type"),
             "confidence": F.round("best_sim", 4),
@@ -249,8 +249,9 @@ def relabelled(clauses: DataFrame, routes: DataFrame) -> DataFrame:
 
 def ambiguous_review(clauses: DataFrame, routes: DataFrame, words: DataFrame) -> DataFrame:
     """One review row per ambiguous cluster: size and its first clause by id."""
-    hits = routes.where("route = 'review'").select("cluster_id", "best_type", "best_sim")
-    per_cluster = clauses.groupBy("cluster_id").agg(
+    hits = small_side(routes.where("route = 'review'").select("cluster_id", "best_type", "best_sim"))
+    wanted = clauses.join(hits.select("cluster_id"), "cluster_id", "left_semi")
+    per_cluster = wanted.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("size"), F.min_by("clause_text", "clause_id").alias("sample_1")
     )
     return hits.join(per_cluster, "cluster_id").join(words, "cluster_id", "left").select(
@@ -312,7 +313,7 @@ def expand_taxonomy(
 def new_type_clauses(clauses: DataFrame, expanded: DataFrame) -> DataFrame:
     """Clauses of auto-added clusters under their new name."""
     added = expanded.where("outcome = 'auto_add'").select("cluster_id", "type_name")
-    return clauses.join(added, "cluster_id").withColumns(
+    return clauses.join(small_side(added), "cluster_id").withColumns(
         {
             "clause_types": F.array("type_name"),
             "confidence": F.lit(0.0),

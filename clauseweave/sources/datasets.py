@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from clauseweave import settings as S
 from clauseweave.functions import ids
 from clauseweave.functions import text as T
+from clauseweave.functions.labels import join_labels, split_labels
 from clauseweave.operators.keyed import first_per_key
 from clauseweave.session import small_side
 
@@ -183,15 +184,11 @@ def read_split_csv(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.csv(
         path, header=True, schema=columns, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False
     ).fillna("")
-    from clauseweave.functions.labels import split_labels
-
     return rows.withColumn("clause_types", split_labels(F.col("clause_type")))
 
 
 def write_split_csv(split: DataFrame, folder: str) -> None:
     """One CSV folder per split name; labels are pipe-joined only here."""
-    from clauseweave.functions.labels import join_labels
-
     flat = split.select(
         "clause_id", "contract_id", "clause_text", join_labels(F.col("clause_types")).alias("clause_type"),
         "party_a", "party_b", "source", "primary_type", "split",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clauseweave import settings as S
 from clauseweave.functions import ids
 from clauseweave.functions import text as T
-from clauseweave.operators.keyed import absent_rows
+from clauseweave.operators.keyed import absent_rows, first_per_key
 
 
 def read_filings(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,8 +60,6 @@ def submission_exhibits(submissions: DataFrame) -> DataFrame:
     named = wanted.withColumn(
         "file_name", F.concat(F.concat_ws("_", "file_date", "cik", safe, digest), F.lit(".txt"))
     )
-    from clauseweave.operators.keyed import first_per_key
-
     return first_per_key(named, ["file_name"], [F.col("block_no")]).select(
         "accession", "file_name", "doc_type", "text"
     )
