@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from math import factorial
 
 from pyspark.sql import Column, DataFrame
