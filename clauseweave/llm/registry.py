@@ -1,0 +1,24 @@
+"""The queries of this package and their check SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+CHECK_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query; ``sql`` is the same question in DuckDB's dialect."""
+
+    def add(fn: Query) -> Query:
+        QUERIES[name] = fn
+        if sql is not None:
+            CHECK_SQL[name] = sql
+        return fn
+
+    return add
