@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,12 @@ from clauseweave.llm.decontamination import contaminated
 from clauseweave.llm.exact_dedup import exact_duplicates
 from clauseweave.llm.mixing import mix_sources
 from clauseweave.llm.ngram_join import near_duplicates
+from clauseweave.llm.pii import KINDS, fit, personal_data, span_text
 from clauseweave.llm.registry import query
 from clauseweave.llm.sharding import assign_shards
 from clauseweave.llm.toxicity import toxicity, train
+from clauseweave.llm.warc import archived_pages, read_warc, write_pages
+from clauseweave.session import shared_folder
 
 
 @query("op2_decontamination")
@@ -56,3 +61,36 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_ngram_join")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
+
+
+OP6_SQL = """
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), q AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS newest FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = newest THEN NULL ELSE newest END AS refers_to
+FROM q
+"""
+
+
+@query("op6_warc", OP6_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write_pages(table(spark, folder, "pages"), path)
+    return archived_pages(read_warc(spark, path)).drop("target_uri")
+
+
+@query("op1_pii")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = personal_data(docs, fit(docs))
+    return found.select(
+        "doc_id",
+        *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+        span_text(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
