@@ -33,22 +33,31 @@ def positions(key: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([mix64(key + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(bits) for i in range(HASHES)], axis=1)
 
 
+def maybe_among(filled: np.ndarray, bits: int, key: pa.Array) -> np.ndarray:
+    """Whether all cells of each key are set."""
+    cells = positions(key.to_numpy(zero_copy_only=False), bits)
+    return ((filled[cells >> np.uint64(3)] >> (np.uint8(7) - (cells & np.uint64(7)).astype(np.uint8))) & 1).all(axis=1)
+
+
+def filter_bits(rows: int, most: int = MAX_BITS) -> int:
+    """Bits of the filter for so many rows."""
+    return min(most, 1 << max(13, (rows * BITS_PER_ROW - 1).bit_length()))
+
+
 def _fill(bits: int):
     """Each task: the bits it set, and those it set twice, in pieces."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        times = np.zeros(bits, np.uint8)  # 0, 1 or 2 for more
         for batch in batches:
-            cells = positions(batch.column("key").to_numpy(zero_copy_only=False), bits).T
-            for cell in cells:
+            for cell in positions(batch.column("key").to_numpy(zero_copy_only=False), bits).T:
                 values, counts = np.unique(cell, return_counts=True)
-                twice[values] |= once[values] | (counts > 1)
-                once[values] = True
+                times[values] = np.minimum(times[values] + np.minimum(counts, 2).astype(np.uint8), 2)
         step = min(bits, PIECE_BITS)
         for piece in range(bits // step):
-            part = slice(piece * step, (piece + 1) * step)
-            if once[part].any():
-                yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "once": [np.packbits(once[part]).tobytes()], "twice": [np.packbits(twice[part]).tobytes()]})
+            part = times[piece * step : (piece + 1) * step]
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "once": [np.packbits(part > 0).tobytes()], "twice": [np.packbits(part > 1).tobytes()]})
 
     return fill
 
@@ -92,14 +101,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     narrow = cut_lineage(digests(docs, id_col, text_col).withColumn("key", F.xxhash64("digest")))
     rows = narrow.count()
-    bits = min(max_bits, 1 << max(13, (rows * BITS_PER_ROW - 1).bit_length()))
+    bits = filter_bits(rows, max_bits)
     shared = spark.sparkContext.broadcast(repeated_bits(narrow.select("key"), bits))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = shared.value
         for batch in batches:
-            cells = positions(batch.column("key").to_numpy(zero_copy_only=False), bits)
-            maybe = ((filled[cells >> np.uint64(3)] >> (np.uint8(7) - (cells & np.uint64(7)).astype(np.uint8))) & 1).all(axis=1)
+            maybe = maybe_among(shared.value, bits, batch.column("key"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(maybe)], ["doc_id", "digest", "maybe"])
 
     kind = narrow.schema["doc_id"].dataType.simpleString()

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from clauseweave.llm.common import table
 from clauseweave.llm.decontamination import contaminated
 from clauseweave.llm.exact_dedup import exact_duplicates
+from clauseweave.llm.html_extraction import fit as fit_labeller
+from clauseweave.llm.html_extraction import main_text
 from clauseweave.llm.mixing import mix_sources
 from clauseweave.llm.ngram_join import near_duplicates
 from clauseweave.llm.pii import KINDS, fit, personal_data, span_text
 from clauseweave.llm.registry import query
 from clauseweave.llm.sharding import assign_shards
+from clauseweave.llm.suffix_dedup import repeated_bytes
 from clauseweave.llm.toxicity import toxicity, train
 from clauseweave.llm.warc import archived_pages, read_warc, write_pages
 from clauseweave.session import shared_folder
@@ -94,3 +97,14 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
         span_text(F.concat("base", "added")).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
     )
+
+
+@query("op9_html_extraction")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return main_text(pages, fit_labeller(pages))
+
+
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_bytes(table(spark, folder, "documents")).drop("removed")
