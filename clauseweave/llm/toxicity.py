@@ -3,9 +3,10 @@
 Both dictionaries hold the same part trained on ordinary windows and a carrier;
 behind it the toxic one holds the strings that mark toxic training texts, the
 ordinary one as many bytes that mark nothing. A window of a text is compressed
-behind the carrier with both; the bytes that the toxic dictionary saves are the
-window's gain. Windows are words (long ones in pieces), so that each distinct
-window is compressed once a task. The windows' gains against a calibrated
+with both, before the carrier, since zstandard starts no match in the last bytes
+of its input; the bytes that the toxic dictionary saves are the window's gain.
+Windows are words (long ones in pieces), so that each distinct window is
+compressed once a task. The windows' gains against a calibrated
 threshold give a text's features, a logistic curve fitted on the same sample
 turns them into a score.
 """
@@ -27,13 +28,17 @@ from clauseweave.llm.common import text_or_empty
 #: The sample: at most so many labelled texts of each class, by a hash of their id, and so many windows of 256 bytes spread over each.
 SAMPLE_TEXTS, SAMPLE_WINDOWS = 1500, 24
 #: Bytes of the common part; shortest and longest marking string; window bytes beyond which a word is cut.
-COMMON_BYTES, SHORTEST, LONGEST, WINDOW = 4096, 5, 12, 48
-#: A marking string is in this share of toxic sample texts at least, and that many times as frequent there as in ordinary ones.
+COMMON_BYTES, SHORTEST, LONGEST, WINDOW = 4096, 7, 16, 48
+#: A marking string follows that many different words for each toxic sample text, and that many times as many as in ordinary ones.
 LEAST_SHARE, LEAST_RATIO = 0.015, 25
 #: Windows remembered by a task.
 REMEMBERED = 400_000
 MARKS = b".,;:!?\"'()[]"
 CARRIER = b"~|carrier of every window|~"
+#: Dictionaries are not searched in their last bytes.
+END = b"~" * 16
+#: Every window begins so, which weights matches of a word's beginning.
+START = b"\x02\x03 "
 FEATURES = 4
 
 
@@ -49,14 +54,14 @@ class Model:
 
 
 def windows(text: str | None) -> list[bytes]:
-    """The words, between single spaces, marks stripped; a longer word is cut into overlapping windows."""
+    """The words behind a start mark, punctuation stripped; a longer word is cut into overlapping windows."""
     out = []
     for word in (text or "").encode("utf-8", "replace").lower().split():
         word = word.strip(MARKS)
         if len(word) <= WINDOW:
-            out.append(b" " + word + b" ")
+            out.append(START + word + b" ")
         else:
-            out.extend(b" " + word[i : i + WINDOW] + b" " for i in range(0, len(word), WINDOW - LONGEST))
+            out.extend(START + word[i : i + WINDOW] + b" " for i in range(0, len(word), WINDOW - LONGEST))
     return out
 
 
@@ -68,7 +73,7 @@ class Gains:
         size = max(len(model_toxic), 1)
         with_params = lambda d: zstandard.ZstdCompressor(
             dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-            compression_params=zstandard.ZstdCompressionParameters.from_level(5, source_size=96, dict_size=size, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0),
+            compression_params=zstandard.ZstdCompressionParameters.from_level(5, source_size=96, dict_size=size, min_match=5, write_content_size=0, write_checksum=0, write_dict_id=0),
         )
         self.toxic, self.ordinary = with_params(model_toxic), with_params(model_ordinary)
 
@@ -77,7 +82,7 @@ class Gains:
         if gain is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            gain = len(self.ordinary.compress(CARRIER + window)) - len(self.toxic.compress(CARRIER + window))
+            gain = len(self.ordinary.compress(window + CARRIER)) - len(self.toxic.compress(window + CARRIER))
             self.known[window] = gain
         return gain
 
@@ -102,24 +107,27 @@ def features(counts: np.ndarray, n: int, threshold: int) -> list[float]:
     return [1.0, float(np.log1p(hits)), float(np.sqrt(hits / max(n, 1))), largest / 8]
 
 
-def _pieces(text: str) -> set[bytes]:
-    """The word beginnings that could mark a class."""
-    return {w[:n] for w in set(windows(text)) for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}
+def _contexts(texts: list[str]) -> collections.Counter:
+    """For each word beginning that could mark a class, how many different words it follows: copies of a text count once."""
+    seen: set[tuple[bytes, bytes]] = set()
+    for text in texts:
+        before = b""
+        for word in windows(text):
+            seen.update((word[:n], before) for n in range(SHORTEST, min(LONGEST, len(word)) + 1))
+            before = word
+    return collections.Counter(piece for piece, _ in seen)
 
 
 def marking_strings(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """The strings frequent in toxic and rare in ordinary texts, most frequent first; none contains another."""
-    in_toxic, in_ordinary = collections.Counter(), collections.Counter()
-    for text in toxic:
-        in_toxic.update(_pieces(text))
-    for text in ordinary:
-        in_ordinary.update(_pieces(text))
+    """The strings frequent in toxic and rare in ordinary texts, most frequent first; none begins another."""
+    in_toxic, in_ordinary = _contexts(toxic), _contexts(ordinary)
     least, share = max(3, LEAST_SHARE * len(toxic)), len(toxic) / max(1, len(ordinary))
     frequent = [p for p, n in in_toxic.items() if n >= least and n >= LEAST_RATIO * share * (in_ordinary[p] + 0.2)]
     kept: list[bytes] = []
     for piece in sorted(frequent, key=lambda p: (-in_toxic[p], -len(p), p)):
-        if not any(k in piece or piece in k for k in kept):
-            kept.append(piece)
+        if not any(k.startswith(piece) or piece.startswith(k) for k in kept):
+            # The longest string that stands for nearly all of them.
+            kept.append(max((p for p in frequent if p.startswith(piece) and in_toxic[p] >= 0.9 * in_toxic[piece]), key=lambda p: (len(p), in_toxic[p], p)))
     return kept
 
 
@@ -144,8 +152,8 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     except (zstandard.ZstdError, ValueError):  # too few samples to train on
         common = b" ".join(samples)[-COMMON_BYTES:]
     marks = marking_strings(toxic, ordinary)
-    behind, neutral = b"".join(reversed(marks)), b"".join(m[::-1] for m in reversed(marks))
-    dictionaries = common + CARRIER + behind, common + CARRIER + neutral
+    behind, neutral = b"".join(reversed(marks)), b"".join(START + m[: len(START) - 1 : -1] for m in reversed(marks))
+    dictionaries = common + CARRIER + behind + END, common + CARRIER + neutral + END
     gains = Gains(*dictionaries)
     seen = [(gains.counts(t), 1) for t in toxic] + [(gains.counts(t), 0) for t in ordinary]
     y = np.array([k for _, k in seen], float)
