@@ -283,6 +283,8 @@ OTHER_WORDS = {
     "comments": "3 comments|Great post, thanks!|I do not agree with this at all.|Reply|Posted by a reader yesterday.".split("|"),
     "share": "Share this|Tweet|By the editors|Filed under news|2 min read".split("|"),
 }
+#: Invisible; it marks main blocks in laid-out pages until they are labelled.
+MARK = "\u2063"
 OTHER_SET = frozenset(n for names in OTHER_NAMES.values() for n in names) - {"top", "bottom", "text", "body", "links", "meta", "tags"}
 
 
@@ -318,7 +320,7 @@ def laid_out(main: list[Block], other: list[str], rng: random.Random) -> str:
     body = []
     for k, block in enumerate(main):
         tag = "h1" if k == 0 and len(block.text) < 120 and rng.random() < 0.8 else rng.choice(["p"] * 12 + ["h2", "blockquote", "li", "div"])
-        text = esc(block.text)
+        text = MARK + esc(block.text)
         if rng.random() < 0.2 and " " in text:
             a, _, b = text.partition(" ")
             text = f'<a href="/y">{a}</a> {b}' if rng.random() < 0.5 else f"<b>{a}</b> {b}"
@@ -348,18 +350,16 @@ def examples(pages: list[str], seed: int = 5) -> list[tuple[np.ndarray, np.ndarr
             out.extend([(vectors.of(sequence), np.array(labels, np.float32))] * LAYOUTS)
         other = [b.text for b, y in zip(sequence, labels, strict=True) if y == 0] or ["…"]
         for _ in range(LAYOUTS):
-            made = blocks(laid_out(main, other, rng))
-            texts = {b.text for b in main}
-            # Main blocks come in order and once; the same words elsewhere are not main text.
-            wanted, y = iter([b.text for b in main]), []
-            nxt = next(wanted, None)
+            chosen = main
+            if rng.random() < 0.25:  # many short blocks, some of them alike
+                few = [" ".join(b.text.split()[: rng.randint(1, 4)]) for b in main[: rng.randint(1, 4)]]
+                chosen = [Block((), rng.choice(few), 0) for _ in range(rng.randint(3, TRAIN_BLOCKS))]
+            made = blocks(laid_out(chosen, other, rng))
+            y = [float(MARK in b.text) for b in made]
             for block in made:
-                inside = block.text == nxt
-                y.append(1.0 if inside else 0.0)
-                if inside:
-                    nxt = next(wanted, None)
-            if nxt is None and texts:
-                out.append((vectors.of(made), np.array(y, np.float32)))
+                block.text = block.text.replace(MARK, "")
+            made, y = [b for b in made if b.text], [v for b, v in zip(made, y, strict=True) if b.text]
+            out.append((vectors.of(made), np.array(y, np.float32)))
     return out
 
 
