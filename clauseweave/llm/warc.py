@@ -20,12 +20,16 @@ import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
 
+from clauseweave.llm.exact_dedup import filter_bits, maybe_among, repeated_bits
+from clauseweave.session import cut_lineage
+
 SCHEMA = "record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, payload_length long, http_content_type string, payload binary"
 HEADERS = {"warc-type": "record_type", "warc-record-id": "record_id", "warc-target-uri": "target_uri", "warc-date": "date", "warc-refers-to": "refers_to", "warc-payload-digest": "payload_digest"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -267,17 +271,27 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("target_uri"), payload.alias("payload")).withColumn("payload_length", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
-    big = rows.filter(F.col("payload_length") >= least_bytes)
+    big = cut_lineage(rows.filter(F.col("payload_length") >= least_bytes).select("page_id", "payload_digest"))
     groups = big.groupBy("payload_digest").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    newest = F.when(F.col("payload_length") >= least_bytes, F.col("newest"))
+    # Only payloads that may occur twice meet their group; the others are written where they are read.
+    bits = filter_bits(big.count())
+    filled = pages.sparkSession.sparkContext.broadcast(repeated_bits(big.select(F.xxhash64("payload_digest").alias("key")), bits))
+
+    def test(key: pd.Series) -> pd.Series:
+        return pd.Series(maybe_among(filled.value, bits, pa.array(key)))
+
+    again = (F.col("payload_length") >= least_bytes) & F.pandas_udf(test, "boolean")(F.xxhash64("payload_digest"))
+    tested = rows.withColumn("again", again)
+    alone = tested.filter("NOT again").drop("again").withColumn("newest", F.col("page_id"))
+    several = tested.filter("again").drop("again").join(groups, "payload_digest", "left").withColumn("newest", F.coalesce("newest", "page_id"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
-    revisit = newest.isNotNull() & ~F.col("page_id").eqNullSafe(newest)
-    return rows.join(groups, "payload_digest", "left").select(
+    revisit = ~F.col("page_id").eqNullSafe(F.col("newest"))
+    return alone.unionByName(several).select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         urn(F.col("page_id")).alias("record_id"),
         "target_uri",
         F.lit(None).cast("string").alias("date"),
-        F.when(revisit, urn(newest)).alias("refers_to"),
+        F.when(revisit, urn(F.col("newest"))).alias("refers_to"),
         "payload_digest",
         "payload_length",
         F.lit("text/html; charset=utf-8").alias("http_content_type"),
