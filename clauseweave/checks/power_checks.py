@@ -213,23 +213,16 @@ def imbalance_by_type(spark, folder):
 @query(
     "report_table",
     f"""WITH {_TYPED_SQL},
-    first_rows AS (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY position, clause_id) AS row_no FROM typed
-      QUALIFY row_no <= 100)
-    SELECT contract_id, row_no, coalesce(substr(primary_type, 1, 25), 'Unclassified') AS clause_type,
+    all_rows AS (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY position, clause_id) AS row_no,
+      count(*) OVER (PARTITION BY contract_id) AS total_rows FROM typed)
+    SELECT contract_id, row_no, total_rows, coalesce(primary_type, 'Unclassified') AS clause_type,
       printf('%.1f', anomaly_score) AS anomaly_score,
       CASE WHEN anomaly_score > 70 THEN 'YES' ELSE 'NO' END AS anomaly_flag,
-      round(power_imbalance_score, 6) AS imbalance, imbalance_label AS label
-    FROM first_rows""",
+      printf('%+.1f', round(power_imbalance_score, 1)) AS imbalance_score, imbalance_label AS label
+    FROM all_rows""",
 )
 def report_table(spark, folder):
-    clauses = analysed_clauses(spark, folder)
-    rows = M.report_table(clauses)
-    # The signed display text rounds halves by engine; compare the number itself.
-    exact = clauses.select(
-        "contract_id", (F.col("position") + 1).alias("row_no"),
-        F.round("power_imbalance_score", 6).alias("imbalance"),
-    )
-    return rows.drop("imbalance_score").join(exact, ["contract_id", "row_no"])
+    return M.report_table(analysed_clauses(spark, folder))
 
 
 @query(

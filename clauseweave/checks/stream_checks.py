@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 from clauseweave.checks import derived as D
 from clauseweave.checks.registry import query
 from clauseweave.operators.segmentation import filing_clauses
-from clauseweave.session import shared_folder
+from clauseweave.session import is_folder, shared_folder
 from clauseweave.sources.store import ClauseStore
 from clauseweave.streaming.ingest import ingest_batch, unique_arrivals
 
 
 def _document_stream(spark, folder):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
+    reader, path = spark.readStream.schema(schema), f"{folder}/documents.parquet"
+    # A table is a folder of part files or a single file; a missing one is an error.
+    if not is_folder(spark, path):
+        reader, path = reader.option("pathGlobFilter", "documents.parquet"), folder
     return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(folder)
+        reader.parquet(path)
         .select(
             F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("file_name"), "text",
             F.col("_metadata.file_modification_time").alias("arrived_at"),

@@ -192,7 +192,7 @@ docs AS (SELECT doc_id, substr(source, 4)::INT AS cluster_id, text,
   FROM documents),
 terms AS (SELECT doc_id, cluster_id, unnest(tokens) AS term FROM docs
   UNION ALL SELECT doc_id, cluster_id, unnest(list_transform(range(1, len(tokens)), lambda i: tokens[i]||' '||tokens[i + 1])) FROM docs),
-vocabulary AS (SELECT term FROM terms GROUP BY term ORDER BY count(*) DESC, term LIMIT 10000),
+vocabulary AS (SELECT term FROM terms GROUP BY term),
 tf AS (SELECT doc_id, cluster_id, term, count(*)::DOUBLE AS n FROM terms SEMI JOIN vocabulary USING (term) GROUP BY ALL),
 idf AS (SELECT term, ln(((SELECT count(*) FROM docs) + 1)::DOUBLE / (count(*) + 1)) + 1 AS w FROM tf GROUP BY term),
 weighted AS (SELECT doc_id, cluster_id, term, n * w AS v FROM tf JOIN idf USING (term)),
@@ -233,7 +233,7 @@ def cluster_keywords(spark, folder):
       FROM docs QUALIFY n <= 3),
     samples AS (SELECT cluster_id, max(text) FILTER (n = 1) AS sample_1, max(text) FILTER (n = 2) AS sample_2,
       max(text) FILTER (n = 3) AS sample_3 FROM shortest GROUP BY cluster_id)
-    SELECT cluster_id, size, array_to_string(words[1:6], ', ') AS keywords, coalesce(sample_1, '') AS sample_1,
+    SELECT cluster_id, size, array_to_string(words[1:6], ', ') AS keywords, array_to_string(words, ', ') AS all_keywords, coalesce(sample_1, '') AS sample_1,
       coalesce(sample_2, '') AS sample_2, coalesce(sample_3, '') AS sample_3, '' AS suggested_name, '' AS auto_route
     FROM members JOIN samples USING (cluster_id) JOIN word_lists USING (cluster_id)""",
 )
@@ -261,7 +261,7 @@ def _document_routes(spark, folder):
 @query(
     "ambiguous_review",
     f"""WITH {_DOC_ROUTES_SQL}
-    SELECT r.cluster_id, array_to_string(any_value(words)[1:6], ', ') AS cluster_keywords, any_value(best_type) AS best_match,
+    SELECT r.cluster_id, array_to_string(any_value(words)[1:6], ', ') AS cluster_keywords, array_to_string(any_value(words), ', ') AS all_keywords, any_value(best_type) AS best_match,
       round(any_value(best_sim), 4) AS best_sim, count(*) AS size, arg_min(text, doc_id::VARCHAR) AS sample_1,
       '' AS suggested_name, 'review' AS action
     FROM docs d JOIN doc_routes r USING (cluster_id) JOIN word_lists USING (cluster_id) WHERE route = 'review' GROUP BY r.cluster_id""",

@@ -24,10 +24,11 @@ def split_labels(joined: Column) -> Column:
 def known_labels(
     labels: Column,
     taxonomy: Sequence[str] = S.CLAUSE_TYPES,
-    limit: int = S.MAX_LABELS_PER_CLAUSE,
+    limit: int | None = S.MAX_LABELS_PER_CLAUSE,
 ) -> Column:
-    """First ``limit`` labels that are in the taxonomy, in stored order."""
-    return F.slice(F.filter(labels, lambda x: x.isin(*taxonomy)), 1, limit)
+    """First ``limit`` labels (None: all) that are in the taxonomy, in stored order."""
+    known = F.filter(labels, lambda x: x.isin(*taxonomy))
+    return known if limit is None else F.slice(known, 1, limit)
 
 
 def primary_label(labels: Column) -> Column:

@@ -9,15 +9,11 @@ import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import (
     PCA,
-    IDF,
-    CountVectorizerModel,
-    ElementwiseProduct,
     NGram,
     Normalizer,
     StopWordsRemover,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,44 +89,38 @@ def english_stop_words() -> list[str]:
 def cluster_keywords(
     clauses: DataFrame,
     text_col: str = "clause_text",
-    vocabulary_size: int = S.KEYWORD_VOCABULARY,
+    vocabulary_size: int | None = None,
     per_cluster: int = S.KEYWORDS_PER_CLUSTER,
     stop_words: Sequence[str] | None = None,
 ) -> DataFrame:
     """Terms of highest mean TF-IDF per cluster: (cluster_id, rank, term, weight).
 
-    The vocabulary (most frequent terms, ties by name) is bounded by its limit.
-    Term vectors are built row by row; per cluster only their mean is shuffled.
-    Noise rows count for document frequencies but get no keywords.
+    Every term counts unless ``vocabulary_size`` keeps the most frequent ones
+    (ties by name). Counts are kept per row and term, so nothing grows with the
+    vocabulary on the driver or in one task. Noise rows count for document
+    frequencies but get no keywords.
     """
     stop_words = english_stop_words() if stop_words is None else stop_words
     listed = term_lists(clauses.select("cluster_id", text_col), text_col, stop_words)
-    frequent = (
-        listed.select(F.explode_outer("terms").alias("term"))
-        .where("term IS NOT NULL")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "term")
-        .limit(vocabulary_size)
+    # Stored, so that the row numbers stay the same in every later pass.
+    listed = cut_lineage(listed.select("cluster_id", "terms", F.monotonically_increasing_id().alias("_row")))
+    exploded = listed.select("_row", "cluster_id", F.explode("terms").alias("term"))
+    counts = cut_lineage(exploded.groupBy("_row", "cluster_id", "term").agg(F.count(F.lit(1)).alias("n")))
+    rows = listed.count()
+    frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"))
+    if vocabulary_size is not None:
+        frequency = frequency.orderBy(F.desc("total"), "term").limit(vocabulary_size)
+    idf = F.log(F.lit(float(rows + 1)) / (F.col("rows") + 1)) + 1.0
+    weighted = counts.join(frequency, "term").select("_row", "cluster_id", "term", (F.col("n") * idf).alias("w"))
+    lengths = weighted.groupBy("_row").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
+    sizes = listed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    sums = (
+        weighted.where(F.col("cluster_id") != NOISE)
+        .join(lengths, "_row")
+        .groupBy("cluster_id", "term")
+        .agg(F.sum(F.col("w") / F.col("len")).alias("s"))
     )
-    vocabulary = [r.term for r in frequent.collect()]
-    model = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="_tf")
-    # Sparse counts are read twice below; store them instead of parsing again.
-    counted = cut_lineage(model.transform(listed).select("cluster_id", "_tf"))
-    idf = IDF(inputCol="_tf", outputCol="_unused").fit(counted)
-    scale = ElementwiseProduct(
-        scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="_tf", outputCol="_weighted"
-    )
-    unit = Normalizer(p=2.0, inputCol="_weighted", outputCol="_unit").transform(scale.transform(counted))
-    means = (
-        unit.where(F.col("cluster_id") != NOISE)
-        .groupBy("cluster_id")
-        .agg(Summarizer.mean(F.col("_unit")).alias("m"))
-        .select("cluster_id", F.posexplode_outer(vector_to_array("m")).alias("idx", "weight"))
-        .where("weight > 0")
-    )
-    names = clauses.sparkSession.createDataFrame(list(enumerate(vocabulary)), "idx int, term string")
-    named = means.join(names, "idx").select("cluster_id", "term", "weight")
+    named = sums.join(sizes, "cluster_id").select("cluster_id", "term", (F.col("s") / F.col("size")).alias("weight"))
     # Rounded for ranking so that equal weights tie whatever the summation order.
     order = [F.desc(F.round("weight", 12)), F.col("term")]
     return first_k_per_key(named, ["cluster_id"], order, per_cluster, "rank")
@@ -161,6 +151,7 @@ def cluster_report(clauses: DataFrame, words: DataFrame, samples: int = 3) -> Da
         "cluster_id",
         "size",
         F.coalesce(F.array_join(F.slice("words", 1, 6), ", "), F.lit("")).alias("keywords"),
+        F.coalesce(F.array_join("words", ", "), F.lit("")).alias("all_keywords"),
         *[F.coalesce(f"sample_{i}", F.lit("")).alias(f"sample_{i}") for i in range(1, samples + 1)],
         F.lit("").alias("suggested_name"),
         F.lit("").alias("auto_route"),
@@ -257,6 +248,7 @@ def ambiguous_review(clauses: DataFrame, routes: DataFrame, words: DataFrame) ->
     return hits.join(per_cluster, "cluster_id").join(words, "cluster_id", "left").select(
         "cluster_id",
         F.array_join(F.slice("words", 1, 6), ", ").alias("cluster_keywords"),
+        F.array_join("words", ", ").alias("all_keywords"),
         F.col("best_type").alias("best_match"),
         F.round("best_sim", 4).alias("best_sim"),
         "size",

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -268,13 +270,10 @@ def metric_rows(report: DataFrame, component: str) -> DataFrame:
 
 
 def max_pool(chunk_probabilities: DataFrame, key: str, column: str = "probabilities") -> DataFrame:
-    """Largest probability per class over all chunks of a clause."""
-    peaks = (
-        chunk_probabilities.select(key, F.posexplode_outer(column).alias("class_idx", "p"))
-        .where("p IS NOT NULL")
-        .groupBy(key, "class_idx")
-        .agg(F.max("p").alias("p"))
-    )
-    return peaks.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("class_idx", "p"))), lambda s: s["p"]).alias(column)
-    )
+    """Largest probability per class over all chunks of a clause, in one aggregate.
+
+    Each task sends one vector per clause. All chunks of a clause have one length.
+    """
+    chunks = chunk_probabilities.where(F.size(column) > 0)
+    vectors = chunks.select(key, array_to_vector(F.col(column).cast("array<double>")).alias("_v"))
+    return vectors.groupBy(key).agg(vector_to_array(Summarizer.max(F.col("_v"))).alias(column))

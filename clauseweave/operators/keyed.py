@@ -33,14 +33,28 @@ def absent_rows(incoming: DataFrame, existing: DataFrame, keys: Sequence[str]) -
     return incoming.join(existing.select(*keys), list(keys), "left_anti")
 
 
+def absent_from_store(incoming: DataFrame, store: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``absent_rows`` for a batch that is small against the store.
+
+    An anti join cannot broadcast the batch, so it would shuffle every stored
+    key. The stored keys that the batch has are found first: there the batch's
+    keys are the side that Spark broadcasts when their size allows, and only the
+    few hits meet the batch again. Give a stored batch: it is read twice.
+    """
+    hits = store.select(*keys).join(incoming.select(*keys), list(keys), "left_semi")
+    return incoming.join(hits.distinct(), list(keys), "left_anti")
+
+
 def merge_keep_existing(
     existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[Column]
 ) -> DataFrame:
-    """Concatenate and drop duplicate keys; the existing row wins."""
-    both = existing.withColumn("_priority", F.lit(0)).unionByName(
-        incoming.withColumn("_priority", F.lit(1)), allowMissingColumns=True
-    )
-    return first_per_key(both, keys, [F.col("_priority"), *order]).drop("_priority")
+    """Append the first incoming row of every key that is not there yet.
+
+    ``existing`` is the result of earlier merges, so its keys are unique already
+    and its rows neither move nor sort.
+    """
+    fresh = absent_from_store(first_per_key(incoming, keys, order), existing, keys)
+    return existing.unionByName(fresh, allowMissingColumns=True)
 
 
 def merge_names(known: DataFrame, added: DataFrame) -> DataFrame:

@@ -101,28 +101,78 @@ def exact_quantiles(
     df: DataFrame,
     value: str,
     probabilities: Sequence[float],
-    leaf_rows: int = 50_000,
     cells: int = 4096,
     known: tuple[float, float, int] | None = None,
 ) -> list[float]:
-    """Linear-interpolated quantiles of a double column, exact at any size.
+    """``exact_quantiles_of`` for one column."""
+    return exact_quantiles_of(df, [value], probabilities, cells, None if known is None else {value: known})[value]
 
-    Narrows the value range around each wanted rank with histogram passes until
-    few distinct values remain. Each pass is one scan with a small aggregate.
-    Give it a stored column (see ``cut_lineage``) when computing it is costly, and
-    ``known`` (min, max, count) when those are at hand.
+
+def exact_quantiles_of(
+    df: DataFrame,
+    values: Sequence[str],
+    probabilities: Sequence[float],
+    cells: int = 4096,
+    known: dict[str, tuple[float, float, int]] | None = None,
+) -> dict[str, list[float]]:
+    """Linear-interpolated quantiles of double columns, exact at any size.
+
+    Narrows the ranges around all wanted ranks of all columns together: each
+    histogram pass is one scan with a small aggregate, and ends where a cell holds
+    a single value. Give stored columns (see ``cut_lineage``) when computing them
+    is costly, and ``known`` (min, max, count) when those are at hand.
     """
-    slim = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    low, high, count = known or slim.agg(F.min("v"), F.max("v"), F.count("v")).first()
-    if not count:
-        return [float("nan")] * len(probabilities)
-    ranks = sorted({r for p in probabilities for r in _neighbour_ranks(p, count)})
-    found = _values_at(slim, ranks, low, high, count, 0, leaf_rows, cells)
-    out = []
-    for p in probabilities:
-        lo, hi = _neighbour_ranks(p, count)
-        share = (count - 1) * p - lo
-        out.append(found[lo] + (found[hi] - found[lo]) * share)
+    if known is None:
+        named = [f(F.col(v).cast("double")) for v in values for f in (F.min, F.max, F.count)]
+        row = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(named)]).first()
+        known = {v: (row[3 * i], row[3 * i + 1], row[3 * i + 2]) for i, v in enumerate(values)}
+    found: dict[tuple[str, int], float] = {}
+    #: Open ranges: column, low, high, rows below the range, wanted ranks in it.
+    ranges = []
+    for v in values:
+        low, high, count = known[v]
+        ranks = sorted({r for p in probabilities for r in _neighbour_ranks(p, count)}) if count else []
+        if ranks:
+            ranges.append((v, low, high, 0, ranks))
+    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values]))
+    slim = df.select(pairs.alias("p")).select("p.name", "p.v").where("v IS NOT NULL")
+    while ranges:
+        closed = [r for r in ranges if r[1] == r[2]]
+        found |= {(v, r): low for v, low, _, _, ranks in closed for r in ranks}
+        ranges = [r for r in ranges if r[1] != r[2]]
+        if not ranges:
+            break
+        table = df.sparkSession.createDataFrame([(i, v, low, high) for i, (v, low, high, _, _) in enumerate(ranges)], "range int, name string, low double, high double")
+        inside = slim.join(F.broadcast(table), "name").where(F.col("v").between(F.col("low"), F.col("high")))
+        # Too narrow for cells of their own, neighbours are told apart by value.
+        width = (F.col("high") - F.col("low")) / cells
+        cell = F.when(F.col("low") + width > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(cells - 1)).cast("double")).otherwise(F.col("v"))
+        histogram = (
+            inside.groupBy("range", cell.alias("cell"))
+            .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            .orderBy("range", "cell")
+            .collect()  # at most ``cells`` rows a range
+        )
+        narrower = []
+        below = {i: r[3] for i, r in enumerate(ranges)}
+        for row in histogram:
+            v, _, _, _, ranks = ranges[row["range"]]
+            here = [r for r in ranks if below[row["range"]] <= r < below[row["range"]] + row.n]
+            if here:
+                narrower.append((v, row.lo, row.hi, below[row["range"]], here))
+            below[row["range"]] += row.n
+        ranges = narrower
+    out: dict[str, list[float]] = {}
+    for v in values:
+        count = known[v][2]
+        out[v] = []
+        for p in probabilities:
+            if not count:
+                out[v].append(float("nan"))
+                continue
+            lo, hi = _neighbour_ranks(p, count)
+            share = (count - 1) * p - lo
+            out[v].append(found[v, lo] + (found[v, hi] - found[v, lo]) * share)
     return out
 
 
@@ -130,31 +180,3 @@ def _neighbour_ranks(p: float, count: int) -> tuple[int, int]:
     at = (count - 1) * p
     lo = int(at)
     return lo, min(lo + (1 if at > lo else 0), count - 1)
-
-
-def _values_at(slim, ranks, low, high, count, skipped, leaf_rows, cells) -> dict[int, float]:
-    """Values at global ``ranks`` that lie in [low, high] after ``skipped`` rows."""
-    if low == high:
-        return dict.fromkeys(ranks, low)
-    inside = slim.where(F.col("v").between(low, high))
-    width = (high - low) / cells
-    if count <= leaf_rows or low + width == low:
-        distinct = inside.groupBy("v").count()
-        upto = F.sum("count").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-        picks = [F.min(F.when(F.col("upto") > r, F.col("v"))) for r in ranks]
-        row = distinct.withColumn("upto", upto + skipped).agg(*picks).first()
-        return dict(zip(ranks, row, strict=True))
-    cell = F.least(F.floor((F.col("v") - low) / width), F.lit(cells - 1))
-    rows = (
-        inside.groupBy(cell.alias("cell"))
-        .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .orderBy("cell")
-        .collect()  # at most ``cells`` rows
-    )
-    found: dict[int, float] = {}
-    for row in rows:
-        here = [r for r in ranks if skipped <= r < skipped + row.n]
-        if here:
-            found |= _values_at(slim, here, row.lo, row.hi, row.n, skipped, leaf_rows, cells)
-        skipped += row.n
-    return found

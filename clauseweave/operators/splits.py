@@ -24,15 +24,19 @@ from clauseweave.operators.selection import key_cutoff, key_cutoffs
 from clauseweave.session import cut_lineage, small_side
 
 
-def clean_labelled(clauses: DataFrame, taxonomy: Sequence[str] = S.CLAUSE_TYPES) -> DataFrame:
-    """Known labels only (first three), <omitted> stripped, length limits applied."""
-    labelled = clauses.withColumn("clause_types", L.known_labels(F.col("clause_types"), taxonomy))
+def clean_labelled(
+    clauses: DataFrame,
+    taxonomy: Sequence[str] = S.CLAUSE_TYPES,
+    max_labels: int | None = S.MAX_LABELS_PER_CLAUSE,
+    max_chars: int | None = S.MAX_CLAUSE_CHARS,
+) -> DataFrame:
+    """Known labels only (the first ``max_labels``), <omitted> stripped, length limits applied; None is no limit."""
+    labelled = clauses.withColumn("clause_types", L.known_labels(F.col("clause_types"), taxonomy, max_labels))
     labelled = labelled.where(F.size("clause_types") > 0)
     labelled = labelled.withColumn("clause_text", T.strip_omitted(F.col("clause_text")))
-    return labelled.where(
-        (F.length("clause_text") <= S.MAX_CLAUSE_CHARS)
-        & (T.word_count(F.col("clause_text")) >= S.MIN_CLAUSE_WORDS)
-    )
+    if max_chars is not None:
+        labelled = labelled.where(F.length("clause_text") <= max_chars)
+    return labelled.where(T.word_count(F.col("clause_text")) >= S.MIN_CLAUSE_WORDS)
 
 
 def with_primary_type(clauses: DataFrame) -> DataFrame:

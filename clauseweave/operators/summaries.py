@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseweave import settings as S
 from clauseweave.functions import labels as L
 from clauseweave.functions import lexical as X
-from clauseweave.operators.keyed import first_k_per_key
-from clauseweave.operators.selection import exact_quantiles
+from clauseweave.operators.selection import exact_quantiles_of
 from clauseweave.session import cut_lineage
 
 
@@ -103,7 +102,7 @@ def feature_statistics(scored: DataFrame, features: list[str], stored: bool = Fa
     """mean, sample std, min, max and quartiles of each feature.
 
     The features are written out once (unless the caller says they are stored
-    already) because the exact quartiles take several narrow passes.
+    already) because the exact quartiles take a few narrow passes over all of them.
     """
     slim = scored.select(*features)
     if not stored:
@@ -117,11 +116,9 @@ def feature_statistics(scored: DataFrame, features: list[str], stored: bool = Fa
             )
         ]
     ).first()
-    rows = []
-    for c in features:
-        known = (wide[f"{c}__min"], wide[f"{c}__max"], wide[f"{c}__count"])
-        q1, q2, q3 = exact_quantiles(slim, c, [0.25, 0.5, 0.75], known=known)
-        rows.append((c, *[wide[f"{c}__{n}"] for n in ("mean", "std", "min", "max")], q1, q2, q3))
+    known = {c: (wide[f"{c}__min"], wide[f"{c}__max"], wide[f"{c}__count"]) for c in features}
+    quartiles = exact_quantiles_of(slim, features, [0.25, 0.5, 0.75], known=known)
+    rows = [(c, *[wide[f"{c}__{n}"] for n in ("mean", "std", "min", "max")], *quartiles[c]) for c in features]
     return scored.sparkSession.createDataFrame(
         rows, "feature string, mean double, std double, min double, max double, p25 double, p50 double, p75 double"
     )
@@ -141,9 +138,9 @@ def analysis_rows(summary: DataFrame, metadata: Column, created_at: Column) -> D
 
 
 def latest_parties(results: DataFrame) -> DataFrame:
-    """Party names of the newest result per contract; defaults where unreadable."""
+    """Party names of the newest result per contract (of equal times the last metadata text); defaults where unreadable."""
     newest = results.groupBy("contract_id").agg(
-        F.max_by("analysis_metadata", "created_at").alias("analysis_metadata")
+        F.max(F.struct("created_at", "analysis_metadata"))["analysis_metadata"].alias("analysis_metadata")
     )
     meta = F.from_json("analysis_metadata", "party_a string, party_b string")
     return newest.select(
@@ -162,15 +159,20 @@ def unscored_clauses(clauses: DataFrame, contract_id: str | None = None) -> Data
     return out if contract_id is None else out.where(F.col("contract_id") == contract_id)
 
 
-def report_rows(clauses: DataFrame, contract_id: str, limit: int = S.REPORT_ROWS) -> DataFrame:
-    """The clause table of a contract's report: its first rows by position."""
+def report_rows(clauses: DataFrame, contract_id: str, limit: int | None = None) -> DataFrame:
+    """The clause table of one contract's report."""
     return report_table(clauses.where(F.col("contract_id") == contract_id), limit)
 
 
-def report_table(clauses: DataFrame, limit: int = S.REPORT_ROWS) -> DataFrame:
-    """The report rows of every contract at once."""
-    first = first_k_per_key(clauses, ["contract_id"], [F.col("position"), F.col("clause_id")], limit, "row_no")
-    return _report_columns(first)
+def report_table(clauses: DataFrame, limit: int | None = None) -> DataFrame:
+    """The report rows of every contract by position, with the contract's number of clauses.
+
+    A layout may take the first ``limit`` rows; by default there are all.
+    """
+    total = F.count(F.lit(1)).over(Window.partitionBy("contract_id"))
+    order = Window.partitionBy("contract_id").orderBy("position", "clause_id")
+    numbered = clauses.withColumn("total_rows", total).withColumn("row_no", F.row_number().over(order))
+    return _report_columns(numbered if limit is None else numbered.where(F.col("row_no") <= limit))
 
 
 def _report_columns(first: DataFrame) -> DataFrame:
@@ -178,11 +180,12 @@ def _report_columns(first: DataFrame) -> DataFrame:
     return first.select(
         "contract_id",
         F.col("row_no"),
-        F.substring(label, 1, 25).alias("clause_type"),
+        F.col("total_rows"),
+        label.alias("clause_type"),
         F.when(F.col("anomaly_score").isNotNull(), F.format_string("%.1f", "anomaly_score"))
         .otherwise("N/A").alias("anomaly_score"),
         F.when(F.col("is_anomalous"), "YES").otherwise("NO").alias("anomaly_flag"),
-        F.when(F.col("power_imbalance_score").isNotNull(), F.format_string("%+.1f", "power_imbalance_score"))
+        F.when(F.col("power_imbalance_score").isNotNull(), F.format_string("%+.1f", F.round("power_imbalance_score", 1)))
         .otherwise("N/A").alias("imbalance_score"),
         F.coalesce("imbalance_label", F.lit("N/A")).alias("label"),
     )

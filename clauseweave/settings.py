@@ -12,7 +12,6 @@ MAX_CLAUSE_CHARS = 15000
 MIN_SEGMENTS_BY_HEADER = 5
 MIN_FILING_WORDS = 100
 MIN_EXHIBIT_CHARS = 200
-MAX_PDF_PAGES = 100
 
 # --- Labels and splits -----------------------------------------------------
 MAX_LABELS_PER_CLAUSE = 3
@@ -61,12 +60,10 @@ CLUSTER_COUNT = 20
 MIN_CLUSTER_SIZE = 10
 CLUSTER_DIMENSIONS = 5
 KEYWORDS_PER_CLUSTER = 10
-KEYWORD_VOCABULARY = 10000
 ROUTE_HIGH_SIMILARITY = 0.80
 ROUTE_LOW_SIMILARITY = 0.50
 AUTO_ADD_MIN_SIZE = 10
 REVIEW_MIN_SIZE = 10
-REPORT_ROWS = 100
 
 # --- Lexical word lists ----------------------------------------------------
 OBLIGATION_WORDS = ["shall", "must", "will", "required", "obligated"]

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from clauseweave.functions import ids
-from clauseweave.operators.keyed import absent_rows, first_per_key, merge_keep_existing
+from clauseweave.operators.keyed import absent_from_store, absent_rows, first_per_key, merge_keep_existing
+from clauseweave.session import stored
 
 CONTRACTS = "contract_id string, filename string, source string, page_count int, created_at timestamp"
 CLAUSES = (
@@ -79,24 +80,24 @@ class ClauseStore:
         )
 
     def latest_metrics(self) -> DataFrame:
-        """Newest value per component and metric."""
+        """Newest value per component and metric; of equal times the largest value."""
         return self.metrics().groupBy("component", "metric").agg(
-            F.max_by("value", "created_at").alias("value")
+            F.max(F.struct("created_at", "value"))["value"].alias("value")
         )
 
     def _insert(self, name: str, schema: str, rows: DataFrame, key: str, order: Sequence[Column]) -> int:
-        unique = first_per_key(rows, [key], order)
-        fresh = absent_rows(unique, self.table(name, schema), [key])
         columns = [c.strip().split(" ")[0] for c in schema.split(", ")]
-        written = Observation()
-        counted = fresh.select(*columns).observe(written, F.count(F.lit(1)).alias("n"))
-        counted.write.mode("append").parquet(self.path(name))
-        return written.get["n"]
+        with stored(first_per_key(rows, [key], order).select(*columns)) as unique:
+            fresh = absent_from_store(unique, self.table(name, schema), [key])
+            written = Observation()
+            counted = fresh.select(*columns).observe(written, F.count(F.lit(1)).alias("n"))
+            counted.write.mode("append").parquet(self.path(name))
+            return written.get["n"]
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     """The rows an insert would add: first per key, key not stored yet."""
-    return absent_rows(first_per_key(incoming, [key], order), existing, [key])
+    return absent_from_store(first_per_key(incoming, [key], order), existing, [key])
 
 
 def merge_review_queue(existing: DataFrame, incoming: DataFrame, path: str | None = None) -> DataFrame:
@@ -154,5 +155,16 @@ def contract_rows(clauses: DataFrame, source: str) -> DataFrame:
     )
 
 
+def uploaded_contracts(uploads: DataFrame, source: str) -> DataFrame:
+    """One contract row per upload (contract_id, filename[, page_count]), with or without clauses.
+
+    A contract_id that comes twice keeps the first file name.
+    """
+    if "page_count" not in uploads.columns:
+        uploads = uploads.withColumn("page_count", F.lit(None).cast("int"))
+    named = uploads.select("contract_id", "filename", F.lit(source).alias("source"), "page_count")
+    return first_per_key(named, ["contract_id"], [F.col("filename"), F.col("page_count")])
+
+
 def upload_contract_id(text: Column) -> Column:
     return ids.contract_id(text)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from clauseweave.operators.segmentation import filing_clauses
-from clauseweave.session import cut_lineage
+from clauseweave.session import stored
 from clauseweave.sources.filings import new_filings, unix_lines
 from clauseweave.sources.store import ClauseStore, contract_rows
 
@@ -35,10 +35,11 @@ def ingest_batch(batch: DataFrame, store: ClauseStore, source: str = "EDGAR") ->
     Files whose contract is stored already are skipped before any segmentation.
     """
     fresh = new_filings(batch.select("file_name", "text"), store.contracts())
-    clauses = cut_lineage(filing_clauses(fresh))
-    store.save_clauses(clauses, [F.col("position")])
-    # Contracts last: a contract row marks the file as fully ingested.
-    store.save_contracts(contract_rows(clauses, source))
+    # The batch's own table goes when the batch is done.
+    with stored(filing_clauses(fresh)) as clauses:
+        store.save_clauses(clauses, [F.col("position")])
+        # Contracts last: a contract row marks the file as fully ingested.
+        store.save_contracts(contract_rows(clauses, source))
 
 
 def start_ingest(

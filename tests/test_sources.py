@@ -69,7 +69,10 @@ def test_pdf_reader_with_own_extractor(spark, tmp_path):
     (tmp_path / "empty.pdf").write_bytes(b"")
     out = filings.read_pdfs(spark, str(tmp_path), lambda content: content.decode().split("|")).collect()
     assert len(out) == 1
-    assert out[0].text.startswith("page one\npage two") and out[0].page_count == 100
+    assert out[0].text.startswith("page one\npage two") and out[0].page_count == 202
+    assert out[0].text.count("\n") == 201
+    few = filings.read_pdfs(spark, str(tmp_path), lambda content: content.decode().split("|"), max_pages=3).collect()
+    assert few[0].text == "page one\npage two\nx" and few[0].page_count == 202
     assert out[0].content_id == hashlib.md5((tmp_path / "a.pdf").read_bytes()).hexdigest()[:12]
 
 
