@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseweave import settings as S
@@ -149,23 +150,36 @@ def forest_decision(
     return scored.withColumn("if_score", F.col(score_col) - F.lit(offset))
 
 
-def reconstruction_error(embeddings: DataFrame, vector_col: str, components: int) -> DataFrame:
-    """Add ae_score: mean squared error left by the first principal components.
+def fit_reconstruction(embeddings: DataFrame, vector_col: str, components: int) -> DataFrame:
+    """The linear model as one row: centre, and one array for each principal component."""
+    staged = embeddings.select(array_to_vector(F.col(vector_col).cast("array<double>")).alias("_vec"))
+    centre = StandardScaler(withMean=True, withStd=False, inputCol="_vec", outputCol="_centred").fit(staged)
+    model = PCA(k=components, inputCol="_centred", outputCol="_pc").fit(centre.transform(staged))
+    axes = [[float(x) for x in axis] for axis in model.pc.toArray().T]
+    row = [([float(x) for x in centre.mean.toArray()], axes)]
+    return embeddings.sparkSession.createDataFrame(row, "centre array<double>, axes array<array<double>>")
+
+
+def score_reconstruction(embeddings: DataFrame, model: DataFrame, vector_col: str) -> DataFrame:
+    """Add ae_score: mean squared error left by the model's principal components.
 
     For orthonormal components the residual is |x|^2 - |P x|^2 of the centred
-    vector, so the vector need not be rebuilt.
+    vector, so the vector need not be rebuilt. The model is one row of bounded
+    size, which becomes part of the expression.
     """
-    staged = embeddings.withColumn("_vec", array_to_vector(F.col(vector_col).cast("array<double>")))
-    centre = StandardScaler(withMean=True, withStd=False, inputCol="_vec", outputCol="_centred").fit(staged)
-    centred = centre.transform(staged)
-    model = PCA(k=components, inputCol="_centred", outputCol="_pc").fit(centred)
-    arrays = model.transform(centred).withColumns(
-        {"_x": vector_to_array("_centred"), "_p": vector_to_array("_pc")}
-    )
-    left_over = (V.dot(F.col("_x"), F.col("_x")) - V.dot(F.col("_p"), F.col("_p"))) / F.size("_x")
-    return arrays.withColumn("ae_score", F.greatest(F.lit(0.0), left_over)).drop(
-        "_vec", "_centred", "_pc", "_x", "_p"
-    )
+    fitted = model.first()
+    centred = F.zip_with(F.col(vector_col).cast("array<double>"), F.lit(fitted.centre), lambda x, c: x - c)
+    explained = F.lit(0.0)
+    for axis in fitted.axes:
+        along = V.dot(F.lit(axis), F.col("_x"))
+        explained = explained + along * along
+    left_over = (V.dot(F.col("_x"), F.col("_x")) - explained) / F.size("_x")
+    return embeddings.withColumn("_x", centred).withColumn("ae_score", F.greatest(F.lit(0.0), left_over)).drop("_x")
+
+
+def reconstruction_error(embeddings: DataFrame, vector_col: str, components: int) -> DataFrame:
+    """Add ae_score by a model fitted on the rows themselves."""
+    return score_reconstruction(embeddings, fit_reconstruction(embeddings, vector_col, components), vector_col)
 
 
 def score_bounds(scored: DataFrame) -> DataFrame:
@@ -202,12 +216,52 @@ def fuse(scored: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     return out.withColumn("is_anomalous", F.col("combined_score") > S.ANOMALY_FLAG_ABOVE)
 
 
+@dataclass(frozen=True)
+class AnomalyModel:
+    """What scoring needs of the training rows: bounded tables and two numbers.
+
+    ``forest`` has one row a tree, ``linear`` one row, ``limits`` one row with the
+    contamination offset, the range of both raw scores and the rows of a tree.
+    """
+
+    forest: DataFrame
+    linear: DataFrame
+    limits: DataFrame
+
+    def save(self, folder: str) -> None:
+        for name in ("forest", "linear", "limits"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> AnomalyModel:
+        return cls(*[spark.read.parquet(f"{folder}/{name}") for name in ("forest", "linear", "limits")])
+
+
+def fit_anomalies(embeddings: DataFrame, id_col: str, vector_col: str, components: int, contamination: float = S.FOREST_CONTAMINATION) -> AnomalyModel:
+    """Fit both signals, the offset and the score ranges on training rows."""
+    rows_per_tree = max(1, min(S.FOREST_SAMPLE_ROWS, embeddings.count()))
+    forest = cut_lineage(fit_isolation_forest(embeddings, id_col, vector_col))
+    linear = cut_lineage(fit_reconstruction(embeddings, vector_col, components))
+    with_forest = embeddings.withColumn("forest_raw", forest_score(forest, vector_col, rows_per_tree))
+    scored = cut_lineage(score_reconstruction(with_forest, linear, vector_col).select("forest_raw", "ae_score"))
+    offset = exact_quantiles(scored, "forest_raw", [contamination])[0]
+    bounds = score_bounds(scored.withColumn("if_score", F.col("forest_raw") - F.lit(offset)))
+    limits = bounds.withColumn("offset", F.lit(offset)).withColumn("rows_per_tree", F.lit(rows_per_tree))
+    return AnomalyModel(forest, linear, cut_lineage(limits))
+
+
+def score_anomalies(embeddings: DataFrame, model: AnomalyModel, vector_col: str) -> DataFrame:
+    """Score any rows, one contract's too, by what was fitted before."""
+    limits = model.limits.first()  # one row
+    with_forest = embeddings.withColumn("forest_raw", forest_score(model.forest, vector_col, limits.rows_per_tree))
+    scored = score_reconstruction(with_forest, model.linear, vector_col)
+    decided = scored.withColumn("if_score", F.col("forest_raw") - F.lit(limits.offset))
+    return fuse(decided, model.limits.select("if_low", "if_high", "ae_low", "ae_high"))
+
+
 def score_embeddings(embeddings: DataFrame, id_col: str, vector_col: str, components: int) -> DataFrame:
     """Both signals and their fusion for every row, fitted on the rows themselves."""
-    model = cut_lineage(fit_isolation_forest(embeddings, id_col, vector_col))
-    with_forest = embeddings.withColumn("forest_raw", forest_score(model, vector_col))
-    stored = cut_lineage(reconstruction_error(with_forest, vector_col, components))
-    return fuse(forest_decision(stored))
+    return score_anomalies(embeddings, fit_anomalies(embeddings, id_col, vector_col, components), vector_col)
 
 
 def proxy_labels(clauses: DataFrame, words_col: str = "n_words") -> DataFrame:

@@ -71,6 +71,11 @@ def merge_names(known: DataFrame, added: DataFrame) -> DataFrame:
     return firsts.select("name", (F.row_number().over(order) - 1).alias("position"))
 
 
+def new_names(names: DataFrame, known: DataFrame) -> DataFrame:
+    """The distinct non-empty names that are not known yet."""
+    return absent_rows(names.select("name").where("name <> ''").distinct(), known, ["name"])
+
+
 def apply_updates(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """Overwrite columns of ``base`` with matching rows of ``updates``.
 

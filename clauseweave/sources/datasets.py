@@ -19,7 +19,7 @@ from clauseweave.functions import ids
 from clauseweave.functions import text as T
 from clauseweave.functions.labels import join_labels, split_labels
 from clauseweave.operators.keyed import first_per_key
-from clauseweave.session import small_side
+from clauseweave.session import small_side, stored
 
 
 def read_splits(
@@ -188,13 +188,18 @@ def read_split_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_split_csv(split: DataFrame, folder: str) -> None:
-    """One CSV folder per split name; labels are pipe-joined only here."""
+    """One CSV folder per split name; labels are pipe-joined only here.
+
+    The rows are computed once. Parquet (``split.write.partitionBy("split")``) is
+    the better sink for large splits: a CSV file with line breaks is one task.
+    """
     flat = split.select(
         "clause_id", "contract_id", "clause_text", join_labels(F.col("clause_types")).alias("clause_type"),
         "party_a", "party_b", "source", "primary_type", "split",
     )
-    for name in ("train", "val", "test"):
-        flat.where(F.col("split") == name).drop("split").write.mode("overwrite").csv(
-            f"{folder}/{name}", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
-            ignoreTrailingWhiteSpace=False,
-        )
+    with stored(flat) as rows:
+        for name in ("train", "val", "test"):
+            rows.where(F.col("split") == name).drop("split").write.mode("overwrite").csv(
+                f"{folder}/{name}", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+                ignoreTrailingWhiteSpace=False,
+            )

@@ -21,6 +21,11 @@ RESULTS = (
     "contract_id string, overall_imbalance_index double, total_clauses long, anomalous_clauses long, "
     "dominant_clause_type string, analysis_metadata string, created_at timestamp"
 )
+#: Scores of a clause; the newest version counts.
+SCORES = (
+    "clause_id string, version long, anomaly_score double, is_anomalous boolean, "
+    "power_imbalance_score double, imbalance_label string, created_at timestamp"
+)
 METRICS = "component string, metric string, value double, created_at timestamp"
 
 
@@ -74,6 +79,23 @@ class ClauseStore:
     def append_results(self, results: DataFrame) -> None:
         results.write.mode("append").parquet(self.path("results"))
 
+    def append_scores(self, scores: DataFrame, version: int) -> None:
+        """Add scores of clauses; a row of a higher version replaces a lower one when read."""
+        named = [c.strip().split(" ") for c in SCORES.split(", ")]
+        given = scores.withColumns({"version": F.lit(version), "created_at": F.current_timestamp()})
+        columns = [(F.col(c) if c in given.columns else F.lit(None)).cast(kind).alias(c) for c, kind in named]
+        given.select(*columns).write.mode("append").parquet(self.path("scores"))
+
+    def latest_scores(self) -> DataFrame:
+        """The newest scores of each clause; each task sends one row a clause."""
+        columns = [c.strip().split(" ")[0] for c in SCORES.split(", ")][1:]
+        newest = self.table("scores", SCORES).groupBy("clause_id").agg(F.max(F.struct(*columns)).alias("s"))
+        return newest.select("clause_id", "s.*")
+
+    def scored_clauses(self) -> DataFrame:
+        """Every stored clause with its newest scores, null where it has none."""
+        return self.clauses().join(self.latest_scores().drop("created_at"), "clause_id", "left")
+
     def append_metrics(self, metrics: DataFrame) -> None:
         metrics.withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(
             self.path("metrics")

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+
 from pyspark.sql import functions as F
 
+from clauseweave import settings as S
 from clauseweave.functions import probabilities as P
 from clauseweave.operators import anomalies as A
 from clauseweave.operators import clusters as C
@@ -166,3 +168,18 @@ def test_token_windows_through_a_model(spark):
 
     got = {r.clause_id: list(r.probabilities) for r in I.classify_tokens(df, make, "t").collect()}
     assert got == {"a": [400.0, 254.0], "b": [9.0, 2.0], "c": [0.0, 0.0]}
+
+
+def test_anomaly_model_scores_new_rows(spark, points, tmp_path):
+    model = A.fit_anomalies(points, "id", "v", components=2)
+    model.save(str(tmp_path / "m"))
+    loaded = A.AnomalyModel.load(spark, str(tmp_path / "m"))
+    together = {r.id: (r.if_score, r.ae_score, r.combined_score) for r in A.score_anomalies(points, loaded, "v").collect()}
+    own = {r.id: (r.if_score, r.ae_score, r.combined_score) for r in A.score_embeddings(points, "id", "v", 2).collect()}
+    assert np.allclose([together[k] for k in sorted(own)], [own[k] for k in sorted(own)])
+    # A new contract of three clauses is judged by the training rows, not by itself.
+    few = points.orderBy("id").limit(3)
+    alone = {r.id: (r.if_score, r.ae_score, r.combined_score) for r in A.score_anomalies(few, loaded, "v").collect()}
+    assert np.allclose(list(alone.values()), [together[k] for k in alone])
+    share = sum(v[0] < 0 for v in together.values()) / len(together)
+    assert share == pytest.approx(S.FOREST_CONTAMINATION, abs=1.5 / len(together) + 1e-9)

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from clauseweave.operators.segmentation import filing_clauses
@@ -135,3 +137,34 @@ def test_review_acceptance(spark):
     names, marked = store.accept_reviewed(review)
     assert [r.name for r in names.collect()] == ["New"]
     assert [r.action for r in marked.orderBy("cluster_id").collect()] == ["done", "review", "done"]
+
+
+def test_small_batch_leaves_the_store_in_place(spark, tmp_path):
+    from clauseweave.operators.keyed import absent_from_store, absent_rows, merge_keep_existing
+
+    spark.range(200_000).selectExpr("cast(id AS string) AS clause_id", "repeat('x', 200) AS clause_text").write.parquet(str(tmp_path / "store"))
+    spark.range(199_990, 200_010).selectExpr("cast(id AS string) AS clause_id", "'new' AS clause_text").write.parquet(str(tmp_path / "batch"))
+    kept, batch = spark.read.parquet(str(tmp_path / "store")), spark.read.parquet(str(tmp_path / "batch"))
+    fresh = absent_from_store(batch, kept, ["clause_id"])
+    assert sorted(r.clause_id for r in fresh.collect()) == sorted(r.clause_id for r in absent_rows(batch, kept, ["clause_id"]).collect())
+    plan = kept.select("clause_id").join(batch.select("clause_id"), ["clause_id"], "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    merged = merge_keep_existing(kept, batch, ["clause_id"], [batch.clause_text])
+    assert merged.count() == 200_010 and merged.where("clause_text = 'new'").count() == 10
+
+
+def test_uploads_without_clauses_are_stored(spark):
+    rows = spark.createDataFrame([("a", "x.pdf", 3), ("b", "y.pdf", None), ("a", "z.pdf", 1)], "contract_id string, filename string, page_count int")
+    got = {r.contract_id: (r.filename, r.source, r.page_count) for r in store.uploaded_contracts(rows, "upload").collect()}
+    assert got == {"a": ("x.pdf", "upload", 3), "b": ("y.pdf", "upload", None)}
+
+
+def test_stored_table_goes(spark):
+    from clauseweave.session import is_folder, stored
+
+    with stored(spark.range(5)) as df:
+        assert df.count() == 5
+        path = df.inputFiles()[0].rsplit("/", 1)[0]
+        assert is_folder(spark, path)
+    with pytest.raises(Exception, match="does not exist"):
+        is_folder(spark, path)
