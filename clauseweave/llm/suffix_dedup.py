@@ -35,9 +35,10 @@ from clauseweave.llm.storage import Workspace
 
 LENGTH, GRAM = 200, 64
 #: Text bytes of a vectorised step; contexts under one anchor that buckets take; bytes of a bucket and of a shard; bits of the largest filter.
-STEP, MOST_CONTEXTS, BUCKET_BYTES, SHARD_BYTES, FILTER_BITS = 1 << 20, 1000, 1 << 18, 1 << 16, 1 << 26
-#: Bytes that one refinement step looks at, the most whose combinations fit a 16-bit radix.
-STRIDES = (8, 4, 2, 1)
+STEP, MOST_CONTEXTS, BUCKET_BYTES, SHARD_BYTES, FILTER_BITS = 1 << 20, 1000, 60_000, 16_000, 1 << 26
+#: Bytes that one refinement step looks at: the first that divides the length. A bucket has fewer
+#: different ones than a 16-bit radix sort takes.
+STRIDES = (20, 8, 5, 4, 3, 2, 1)
 EMPTY = np.zeros(0, np.int64)
 
 
@@ -188,76 +189,67 @@ def _cut_out(length: int, shared, bits: int):
 # Transforms of shards and their merge.
 
 
-def _stride_ids(text: np.ndarray, before: np.ndarray, stride: int) -> np.ndarray | None:
-    """A dense id of the ``stride`` symbols before each place, in their order; None if there are too many."""
-    value = np.zeros(len(text), np.uint64)
-    places, back = [], np.arange(len(text))
-    for _ in range(stride):
-        back = before[back]
-        places.append(back)
-    ids = None
-    for place in reversed(places):
-        symbol = text[place].astype(np.uint64)
-        if ids is None:
-            ids = symbol
-        else:
-            value = ids * np.uint64(512) + symbol
-            if stride > 4 and value.max(initial=0) > np.uint64(1 << 54):
-                _, inverse = np.unique(value, return_inverse=True)
-                value = inverse.astype(np.uint64)
-            ids = value
-    distinct, inverse = np.unique(ids, return_inverse=True)
-    return inverse.astype(np.uint16) if len(distinct) <= 1 << 16 else None
-
-
-def _sorted_rotations(text: np.ndarray, after: np.ndarray, depth: int) -> np.ndarray:
-    """The rotations of a shard's strings in the order of their first ``depth`` symbols, by doubling."""
-    rank, known, jump = text.astype(np.int64), 1, after
-    while known < depth:
-        key = rank * (len(text) + 512) + rank[jump]
-        _, rank = np.unique(key, return_inverse=True)
-        known *= 2
-        jump = jump[jump]
-    return np.argsort(rank, kind="stable")
+class _Rotations:
+    """The rotations of several strings, laid end to end; a jump stays in its string."""
+
+    def __init__(self, sizes: np.ndarray):
+        self.first = np.concatenate(([0], np.cumsum(sizes)))
+        self.of = np.repeat(np.arange(len(sizes)), sizes)
+        self.start, self.size = self.first[self.of], sizes[self.of]
+        self.own = np.arange(self.first[-1]) - self.start
+
+    def ahead(self, step: int, part: slice = slice(None)) -> np.ndarray:
+        """The place of each rotation that begins ``step`` further on."""
+        return self.start[part] + (self.own[part] + step) % self.size[part]
+
+    def longer(self, rank: np.ndarray, known: int, wanted: int, part: slice = slice(None)) -> np.ndarray:
+        """Dense ranks of the first ``wanted`` bytes from those of the first ``known``."""
+        base = part.start or 0
+        while known < wanted:
+            step = min(known, wanted - known)
+            key = rank * (int(rank.max(initial=0)) + 1) + rank[self.ahead(step, part) - base]
+            rank = np.unique(key, return_inverse=True)[1]
+            known += step
+        return rank
 
 
 def repeated_intervals(strings: list[bytes], length: int, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """String, place and class of every rotation whose first ``length`` bytes another rotation shares.
 
-    Each string ends in a symbol of its own kind, which is in no byte string.
+    Rotations that cross the end of their string are sorted along, but never count.
     """
     sizes = np.array([len(s) + 1 for s in strings])
-    first = np.concatenate(([0], np.cumsum(sizes)))
-    raw = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
-    raw[first[1:] - 1] = 0
+    turn = _Rotations(sizes)
+    raw = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
     n = len(raw)
-    before, after = np.arange(n) - 1, np.arange(n) + 1
-    before[first[:-1]], after[first[1:] - 1] = first[1:] - 1, first[:-1]
-    for stride in STRIDES:
-        if length % stride == 0 and (ids := _stride_ids(raw, before, stride)) is not None:
-            break
-    # Shards are runs of whole strings; each is sorted on its own.
-    shard_of_string = np.minimum(first[:-1] // shard_bytes, (1 << 15) - 1)
-    edges = np.append(first[:-1][np.concatenate(([True], np.diff(shard_of_string) > 0))], n)
+    stride = next(r for r in STRIDES if length % r == 0)
+    # Symbols of the transform are short strings of ``stride`` bytes, numbered in one order for all shards.
+    packed, known = np.zeros(n, np.uint64), min(stride, 8)
+    for k in range(known):
+        packed = (packed << np.uint64(8)) | raw[turn.ahead(k)]
+    symbol = turn.longer(np.unique(packed, return_inverse=True)[1], known, stride)
+    # Shards are runs of whole strings; each is sorted on its own by its first ``length`` bytes.
+    shard_of_string = turn.first[:-1] // shard_bytes
+    edges = np.append(turn.first[:-1][np.concatenate(([True], np.diff(shard_of_string) > 0))], n).tolist()
     order = np.empty(n, np.int64)
-    shard = np.empty(n, np.uint16)
+    shard = np.empty(n, np.uint8 if len(edges) <= 256 else np.uint16)
     for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        order[lo:hi] = lo + _sorted_rotations(raw[lo:hi], after[lo:hi] - lo, length)
+        order[lo:hi] = lo + np.argsort(turn.longer(symbol[lo:hi], stride, length, slice(lo, hi)), kind="stable")
         shard[lo:hi] = k
-    transform = ids[order]
+    # The transform of each sorted list: the bytes before every rotation.
+    transform = symbol[turn.ahead(-stride)][order].astype(np.uint16 if symbol.max(initial=0) < 1 << 16 else np.uint32)
     # The interleave: which rotation, as a place in the shards' sorted lists, stands where.
-    interleave, group = np.arange(n), np.zeros(n, np.int64)
+    interleave, group, places = np.arange(n), np.zeros(n, np.int32), np.arange(n)
     for _ in range(length // stride):
-        symbol = transform[interleave]
-        move = np.argsort(symbol, kind="stable")
-        moved, earlier = symbol[move], group[move]
+        before = transform[interleave]
+        move = np.argsort(before, kind="stable")
+        moved, earlier = before[move], group[move]
         source = shard[interleave[move]]
         interleave = np.empty(n, np.int64)
-        interleave[np.argsort(source, kind="stable")] = np.arange(n)
-        group = np.concatenate(([0], np.cumsum((moved[1:] != moved[:-1]) | (earlier[1:] != earlier[:-1]))))
+        interleave[np.argsort(source, kind="stable")] = places
+        group = np.concatenate(([0], np.cumsum((moved[1:] != moved[:-1]) | (earlier[1:] != earlier[:-1]), dtype=np.int32)))
     place = order[interleave]
-    string = np.searchsorted(first, place, side="right") - 1
-    own = place - first[string]
+    string, own = turn.of[place], turn.own[place]
     whole = own + length < sizes[string]
     string, own, group = string[whole], own[whole], group[whole]
     several = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.zeros(0, bool)
@@ -444,7 +436,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         partial = partial.join(whole.select("anchor", "context"), ["anchor", "context"], "left_anti")
         answers = whole.unionByName(partial)
         spans = rows.join(answers, ["anchor", "context"]).select("text_key", F.expr("transform(ranges, r -> named_struct('lo', start + r.lo, 'hi', start + r.hi))").alias("ranges"))
-        by_text = result.store(spans.groupBy("text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ranges")))).alias("ranges")))
+        by_text = result.store(spans.groupBy("text_key").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
     # Texts that occur in several rows go whole.
     narrow = result.store(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(_keys, f"doc_id {docs.select(F.col(id_col).alias('i')).schema['i'].dataType.simpleString()}, text_key binary, n_bytes long"))
     copied = narrow.filter(F.col("n_bytes") >= length).groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), F.min("n_bytes").cast("int").alias("size")).filter("n > 1")
