@@ -299,10 +299,14 @@ def new_contracts(spark, folder):
 )
 def uploaded_text_clauses(spark, folder):
     texts = D.contract_texts(spark, folder).select(
-        store.upload_contract_id(F.col("text")).alias("contract_id"), "text"
+        "doc_id", store.upload_contract_id(F.col("text")).alias("contract_id"), "text"
     )
-    # Equal texts have equal ids: one contract however often it is submitted.
-    once = K.first_per_key(texts, ["contract_id"], [F.col("text")])
+    # Equal texts have equal ids: one contract however often it is submitted. The
+    # few repeats are found on ids alone; texts stay where they are read.
+    narrow = texts.select("doc_id", "contract_id")
+    first = narrow.groupBy("contract_id").agg(F.min("doc_id").alias("first_id"))
+    repeats = narrow.join(first, "contract_id").where("doc_id <> first_id").select("doc_id")
+    once = texts.join(repeats, "doc_id", "left_anti").drop("doc_id")
     return upload_clauses(once).select("contract_id", "clause_id", "source")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from clauseweave import settings as S
 from clauseweave.functions.probabilities import logit, tempered
+from clauseweave.session import cut_lineage
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -227,6 +228,8 @@ def ensemble_search(scored: DataFrame, models: Sequence[str], labels: str = "lab
     per_class = scored.select(F.posexplode_outer(zipped).alias("class_idx", "z")).where("z IS NOT NULL").select(
         "class_idx", *[F.col(f"z.{m}").alias(m) for m in models], F.col("z.y").alias("y")
     )
+    # Both searches below read these rows; what made the scores runs once.
+    per_class = cut_lineage(per_class)
     weights = F.array(*[
         F.struct(F.lit(c).alias("candidate"), *[F.lit(w).alias(f"w{i}") for i, w in enumerate(ws)])
         for c, _, ws in candidates
@@ -235,7 +238,7 @@ def ensemble_search(scored: DataFrame, models: Sequence[str], labels: str = "lab
     mixed = sum((F.col(f"c.w{i}") * F.col(m) for i, m in enumerate(models)), F.lit(0.0))
     long = fanned.select(F.col("c.candidate").alias("candidate"), "class_idx", mixed.alias("p"), "y")
 
-    temperatures = _best_temperature(long, ["candidate"])
+    temperatures = cut_lineage(_best_temperature(long, ["candidate"]))
     # One row per candidate: at most a hundred rows, known from the grid.
     tempered_rows = long.join(F.broadcast(temperatures.select("candidate", "temperature")), "candidate")
     calibrated = tempered_rows.select(
