@@ -366,8 +366,11 @@ def examples(pages: list[str], seed: int = 5) -> list[tuple[np.ndarray, np.ndarr
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES, id_col: str = "page_id", html_col: str = "html") -> Model | None:
     """The labeller, fitted on at most ``sample`` pages by a hash of their id; None if no page has main tags."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html")).filter("html IS NOT NULL")
-    rows = rows.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample).collect()
-    made = examples([r.html for r in rows])
+    # Ids first: a top-k of whole pages would send every task's k pages to the driver.
+    picked = rows.select("id").distinct().orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample)
+    chosen = rows.join(F.broadcast(picked), "id").limit(2 * sample).collect()
+    chosen.sort(key=lambda r: (r.id, r.html))
+    made = examples([r.html for r in chosen[:sample]])
     return train(made) if made else None
 
 
