@@ -308,7 +308,7 @@ def _merge_buckets(length: int):
 
 
 def _single_strings(length: int):
-    """(anchor, string, occurrence, context, place) of every string of the contexts."""
+    """(anchor, string, occurrence, context, place, twice) of every string of the contexts."""
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,8 +328,8 @@ def _single_strings(length: int):
                 row = pa.array(np.repeat(np.arange(part.num_rows), counts))
                 place = np.concatenate([np.arange(m, dtype=np.int32) for m in counts])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("anchor").take(row), pa.array(np.concatenate(cols[0]).view(np.int64)), pa.array(np.concatenate(cols[1]).view(np.int64)), part.column("context").take(row), pa.array(place)],
-                    ["anchor", "string", "occurrence", "context", "place"],
+                    [part.column("anchor").take(row), pa.array(np.concatenate(cols[0]).view(np.int64)), pa.array(np.concatenate(cols[1]).view(np.int64)), part.column("context").take(row), pa.array(place), part.column("twice").take(row)],
+                    ["anchor", "string", "occurrence", "context", "place", "twice"],
                 )
 
     return single
@@ -421,15 +421,16 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         keys = wanted.select(F.col("occurrence").alias("key"))
         wanted_filter = spark.sparkContext.broadcast(repeated_bits(keys.union(keys), want_bits))
         pieces = work.store(texts.mapInArrow(_cut_out(length, wanted_filter, want_bits), "anchor long, context long, occurrence long, bytes binary"))
-        crowded = open_.filter(F.col("contexts") > MOST_CONTEXTS).select("anchor")
+        crowded = groups.join(open_.filter(F.col("contexts") > MOST_CONTEXTS).select("anchor"), "anchor").select("anchor", "context", "twice")
         few = pieces.join(open_.filter(F.col("contexts") <= MOST_CONTEXTS).select("anchor"), "anchor")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         few = few.repartition(parts, "anchor").sortWithinPartitions("anchor").select("anchor", "context", "occurrence", "bytes")
         merged = few.mapInArrow(_merge_buckets(length), f"anchor long, context long, ranges {RANGES}")
-        strings = pieces.join(crowded, "anchor").mapInArrow(_single_strings(length), "anchor long, string long, occurrence long, context long, place int")
+        strings = pieces.join(crowded, ["anchor", "context"]).mapInArrow(_single_strings(length), "anchor long, string long, occurrence long, context long, place int, twice boolean")
         strings = work.store(strings)
         twice = strings.groupBy("anchor", "string").agg(F.min("occurrence").alias("a"), F.max("occurrence").alias("b")).filter("a <> b").select("anchor", "string")
-        counted = strings.join(twice, ["anchor", "string"]).groupBy("anchor", "context").agg(F.collect_set("place").alias("places"))
+        # Contexts that occur twice are settled; their strings only count as partners.
+        counted = strings.filter("NOT twice").join(twice, ["anchor", "string"]).groupBy("anchor", "context").agg(F.collect_set("place").alias("places"))
         counted = counted.select("anchor", "context", F.expr(f"transform(places, p -> named_struct('lo', p, 'hi', p + {length}))").alias("ranges"))
         partial = work.store(merged.unionByName(counted).groupBy("anchor", "context").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
         whole = groups.filter("twice").select("anchor", "context", F.expr(f"array(named_struct('lo', 0, 'hi', strings + {length - 1}))").alias("ranges"))
