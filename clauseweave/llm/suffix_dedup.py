@@ -35,7 +35,7 @@ from clauseweave.llm.storage import Workspace
 
 LENGTH, GRAM = 200, 64
 #: Text bytes of a vectorised step; contexts under one anchor that buckets take; bytes of a bucket and of a shard; bits of the largest filter.
-STEP, MOST_CONTEXTS, BUCKET_BYTES, SHARD_BYTES, FILTER_BITS = 1 << 20, 1000, 60_000, 16_000, 1 << 26
+STEP, MOST_CONTEXTS, BUCKET_BYTES, SHARD_BYTES, FILTER_BITS = 1 << 19, 1000, 60_000, 16_000, 1 << 26
 #: Bytes that one refinement step looks at: the first that divides the length. A bucket has fewer
 #: different ones than a 16-bit radix sort takes.
 STRIDES = (20, 8, 5, 4, 3, 2, 1)
