@@ -1,4 +1,4 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one fitted on toxic text, one on ordinary text.
+"""Toxicity by a list of marks that two zstandard dictionaries carry; no dictionary is trained on toxic text (see the README).
 
 Both dictionaries hold the same part trained on ordinary windows and a carrier;
 behind it the toxic one holds the strings that mark toxic training texts, the
