@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 
 from clauseweave.llm.common import words
 
-# The block-level elements of HTML, elements without an end tag, and elements whose content is no text.
+# The block-level elements of HTML, elements without an end tag, elements whose content is no text, and elements that may stand within a sentence and hold no main text.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW_TAGS = frozenset("script style textarea title noscript iframe template svg math select button object canvas audio video".split())
+RAW_TAGS = frozenset("script style textarea title noscript iframe".split())
+HOLDING_TAGS = frozenset("template svg select button object canvas audio video".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -58,23 +59,49 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+@dataclass(eq=False)
+class _Element:
+    """An open element; one that holds other text keeps the text before it and has a place in paths only once its end tag came."""
+
+    name: str
+    names: tuple[str, ...]
+    shown: bool = True
+    before: tuple[list[str], int, int] | None = None
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order: character references decoded, white space single, empty ones left out."""
     page = page or ""
-    out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    out: list[tuple[tuple[_Element, ...], str, int]] = []
+    stack: list[_Element] = []
     chunks: list[str] = []
     linked = at = 0
     in_link = False
 
+    def add(place: int, text: str, depth: int, linked: int) -> None:
+        text = " ".join(html.unescape(text).split())
+        if text:
+            out.insert(place, (tuple(stack[:depth]), text, linked))
+
     def close() -> None:
         nonlocal chunks, linked
         if chunks:
-            text = " ".join(html.unescape("".join(chunks)).split())
-            if text:
-                out.append(Block(tuple(n for _, names in stack for n in names), text, linked))
+            add(len(out), "".join(chunks), len(stack), linked)
         chunks, linked = [], 0
 
+    def leave(first: int, own: bool) -> None:
+        """End the elements from ``first`` on, that one by its ``own`` end tag or all by their parent's."""
+        nonlocal chunks, linked
+        close()
+        for k in range(len(stack) - 1, first - 1, -1):
+            if stack[k].before:
+                text, count, place = stack[k].before
+                if own and k == first:
+                    stack[k].shown, chunks, linked = True, [*text, " "], count
+                else:
+                    add(place, "".join(text), k, count)
+        del stack[first:]
+
     while (m := TAG.search(page, at)) is not None:
         if m.start() > at:
             chunks.append(page[at : m.start()])
@@ -93,24 +120,31 @@ def blocks(page: str | None) -> list[Block]:
             chunks.append(" ")
         elif name == "a":
             in_link = not ending
-        elif name in BLOCK_TAGS:
-            close()
-            in_link = False
+        elif name in HOLDING_TAGS and not ending:
+            if attributes.endswith("/"):
+                chunks.append(" ")
+            else:
+                stack.append(_Element(name, _names(name, attributes), False, (chunks, linked, len(out))))
+                chunks, linked = [], 0
+        elif name in HOLDING_TAGS or name in BLOCK_TAGS:
+            if name in BLOCK_TAGS:
+                close()
+                in_link = False
             if ending:
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
+                    if stack[k].name == name:
+                        leave(k, True)
                         break
             else:
                 # A paragraph ends where another block begins; list items and cells end where the next one does.
-                if stack and (stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or (stack[-1][0] == name and name in ("li", "dd", "dt", "td", "th", "tr", "option"))):
+                if stack and (stack[-1].name in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or (stack[-1].name == name and name in ("li", "dd", "dt", "td", "th", "tr", "option"))):
                     stack.pop()
                 if name not in VOID_TAGS:
-                    stack.append((name, _names(name, attributes)))
+                    stack.append(_Element(name, _names(name, attributes)))
     if at < len(page):
         chunks.append(page[at:])
-    close()
-    return out
+    leave(0, False)
+    return [Block(tuple(n for e in path if e.shown for n in e.names), text, linked) for path, text, linked in out]
 
 
 def _hash(name: str, salt: int) -> int:
@@ -258,7 +292,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, see
 
 # What elements and class names usually mean.
 MAIN_TAGS = frozenset(("article", "main"))
-OTHER_TAGS = frozenset(("nav", "header", "footer", "aside", "form", "menu", "head", "dialog"))
+OTHER_TAGS = frozenset(("nav", "header", "footer", "aside", "form", "menu", "head", "dialog")) | HOLDING_TAGS
 MAIN_NAMES = "content article post entry story body main text".split()
 OTHER_NAMES = {
     "menu": "menu nav navbar navigation breadcrumb links topbar".split(),

@@ -108,3 +108,17 @@ def test_training_separates_simple_sequences():
     p, _, _ = forward(model, *pad([x for x, _ in data]))
     assert ((p.T > 0.5) == np.stack([y for _, y in data])).mean() > 0.97
     assert label(model, [[]], Vectors())[0].shape == (0,)
+
+
+def test_formulas_and_unclosed_elements_lose_no_text():
+    found = blocks("<article><p>so <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds</p></article>")
+    assert [b.text for b in found] == ["so a=b holds"]
+    for tag in ("button", "object", "svg", "select", "canvas", "audio", "video", "template"):
+        found = blocks(f"<article><p>one</p>two<{tag}>three<p>four</p><p>five</article><p>six")
+        assert [b.text for b in found] == ["one", "two", "three", "four", "five", "six"]
+        assert [meaning(b.path) for b in found] == [1, 1, 1, 1, 1, None]
+        found = blocks(f"<article><p>one <{tag}>in</{tag}> two</p><p>three</p></article>")
+        assert sorted((b.text, meaning(b.path)) for b in found) == [("in", 0), ("one two", 1), ("three", 1)]
+    found = blocks("<article><object>a<object>b</object>c</object><p>d</p></article>")
+    assert sorted((b.text, meaning(b.path)) for b in found) == [("a c", 0), ("b", 0), ("d", 1)]
+    assert len(blocks("<article>" + "x<button>" * 3000 + "y</article>")) == 3001
