@@ -1,17 +1,20 @@
 """Audit of five filters: what each removes in every order, from a sparse document-term matrix.
 
 Each task turns steps of texts into a shard of the matrix in compressed sparse
-rows over words of its own. The words of all shards get dense global numbers, a
-shard's word numbers are exchanged for them, and the matrix decides two filters:
-the sum of a row is its words, the count of its nonzero entries its distinct
-words. The other flags come along with each row. Texts meet once, as digests,
-to find those that a smaller id holds too; then only counts of flag sets are left.
+rows over words of its own. Shards send their vocabularies, cut into buckets of
+words by a checksum, to one dictionary a bucket, which gives each word a number;
+a word of every text comes once a shard. With these dense global numbers as
+columns the matrix decides two filters: the sum of a row is its words, the count
+of its nonzero entries its distinct words. The other flags come along with each
+row. Texts meet once, as digests, to find those that a smaller id holds too; then
+only counts of flag sets are left.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +33,12 @@ ORDERS = ["".join(p) for p in itertools.permutations(FILTERS)]
 MIN_WORDS, MIN_DISTINCT_PERCENT, MAX_UPPER_PERCENT, SYMBOLS = 100, 80, 10, b"#$%&*|"
 #: Bytes of text in a shard of the matrix; a longer text is a shard of its own.
 SHARD_BYTES = 8 << 20
+#: Dictionaries: as many as there are shuffle partitions, within these bounds.
+FEWEST_BUCKETS, MOST_BUCKETS = 16, 4096
 
 SHARD = (
     "shard long, rows int, doc_id array<{kind}>, part array<string>, digest array<binary>, flags array<int>, "
-    "row_ends binary, words binary, counts binary, vocabulary array<string>"
+    "row_ends binary, words binary, counts binary, vocabulary array<binary>"
 )
 
 
@@ -41,14 +46,20 @@ def _flag(name: str) -> int:
     return 1 << FILTERS.index(name)
 
 
-def _shard(data: np.ndarray, offsets: np.ndarray) -> dict[str, object]:
-    """Rows of the matrix over the shard's own words, digests, and the flags that need no words."""
+def _shard(data: np.ndarray, offsets: np.ndarray, buckets: int) -> dict[str, object]:
+    """Rows of the matrix over the shard's own words, numbered bucket by bucket, digests, and the flags that need no words."""
     raw = data.tobytes()
     texts = [raw[offsets[i] : offsets[i + 1]] for i in range(len(offsets) - 1)]
     word, lengths, vocabulary = numbered_words(texts, shared=True)
+    bucket = np.fromiter(map(zlib.crc32, vocabulary), np.int64, len(vocabulary)) % buckets
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+    listed = [vocabulary[i] for i in order.tolist()]
     row = np.repeat(np.arange(len(texts)), lengths)
     width = max(len(vocabulary), 1)
-    entry, count = np.unique(row * width + word, return_counts=True)
+    entry, count = np.unique(row * width + place[word], return_counts=True)
     ends = np.searchsorted(entry, np.arange(1, len(texts) + 1) * width)
 
     def sums(mask):
@@ -66,12 +77,13 @@ def _shard(data: np.ndarray, offsets: np.ndarray) -> dict[str, object]:
         "row_ends": ends.astype("<i8").tobytes(),
         "words": (entry % width).astype("<i4").tobytes(),
         "counts": count.astype("<i4").tobytes(),
-        "vocabulary": [w.decode("utf-8") for w in vocabulary],
+        "vocabulary": [b" ".join(listed[a:b]) for a, b in itertools.pairwise(cuts)],
     }
 
 
 def local_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang", size: int = SHARD_BYTES) -> DataFrame:
-    """Shards of the matrix, each over the words of its own vocabulary. Null texts and parts count as empty."""
+    """Shards of the matrix, each over the words of its own vocabulary (a list of words a bucket). Null texts and parts count as empty."""
+    buckets = min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), FEWEST_BUCKETS), MOST_BUCKETS)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -80,12 +92,10 @@ def local_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for lo, hi in steps(batch, offsets, size):
-                made = _shard(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                made |= {"shard": (task << 32) + number, "rows": hi - lo}
-                number += 1
+                made = _shard(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], buckets)
                 ids = batch.column("doc_id").slice(lo, hi - lo)
                 columns = {
-                    "shard": pa.array([made["shard"]]),
+                    "shard": pa.array([(task << 32) + number]),
                     "rows": pa.array([hi - lo], pa.int32()),
                     "doc_id": pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), ids),
                     "part": pa.array([batch.column("part").slice(lo, hi - lo).to_pylist()], pa.list_(pa.string())),
@@ -94,38 +104,69 @@ def local_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     "row_ends": pa.array([made["row_ends"]], pa.binary()),
                     "words": pa.array([made["words"]], pa.binary()),
                     "counts": pa.array([made["counts"]], pa.binary()),
-                    "vocabulary": pa.array([made["vocabulary"]], pa.list_(pa.string())),
+                    "vocabulary": pa.array([made["vocabulary"]], pa.list_(pa.binary())),
                 }
+                number += 1
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return rows.mapInArrow(cut, SHARD.format(kind=kind))
 
 
-def dictionary(space: Workspace, shards: DataFrame) -> DataFrame:
-    """Every word of the corpus once, with a dense number from 0: word, word_id.
+def numbered(shards: DataFrame) -> DataFrame:
+    """Each shard's words of each bucket as numbers: shard, bucket, numbers, top (words of the bucket so far), fresh (those first met here).
 
-    A word counts once a shard, summed before the shuffle, so a word of every
-    text is no hot key. Numbers are places in a stored partition plus the sizes
-    of the partitions before; only those sizes, one row a partition, meet.
+    One task reads all shards' words of a bucket, shard after shard, and keeps the
+    bucket's dictionary only.
     """
-    found = shards.select(F.explode("vocabulary").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("shards"))
-    placed = space.store(found.withColumn("_place", F.monotonically_increasing_id()))
-    at = F.shiftright("_place", 33)
-    sizes = placed.groupBy(at.alias("_at")).agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_at", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(F.broadcast(offsets), at == F.col("_at")).select("word", (F.col("_before") + within).alias("word_id"), "shards")
-
-
-def global_shards(space: Workspace, shards: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The stored shards with a list ``word_ids``: the global number of each own word; and the dictionary."""
-    words = space.store(dictionary(space, shards))
-    own = shards.select("shard", F.posexplode("vocabulary").alias("own", "word"))
-    # Each shard has a word once; the list of a shard is as long as its vocabulary.
-    numbered = own.join(words.select("word", "word_id"), "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("own", "word_id"))).alias("_list"))
-    lists = numbered.select(F.col("shard").alias("_shard"), F.col("_list.word_id").alias("word_ids"))
-    return shards.drop("vocabulary").join(lists, F.col("shard") == F.col("_shard"), "left").drop("_shard"), words
+    parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = shards.select("shard", F.posexplode("vocabulary").alias("bucket", "words")).filter(F.octet_length("words") > 0)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}
+        for batch in batches:
+            numbers, tops, fresh = [], [], []
+            for bucket, words in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                if bucket != now:
+                    now, known = bucket, {}
+                before, own = len(known), words.split(b" ")
+                numbers.append(np.fromiter((known.setdefault(w, len(known)) for w in own), "<i4", len(own)).tobytes())
+                tops.append(len(known))
+                fresh.append(b" ".join(w for w in own if known[w] >= before))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("shard"), batch.column("bucket"), pa.array(numbers, pa.binary()), pa.array(tops, pa.int64()), pa.array(fresh, pa.binary())],
+                ["shard", "bucket", "numbers", "top", "fresh"],
+            )
+
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "shard").mapInArrow(number, "shard long, bucket int, numbers binary, top long, fresh binary")
+
+
+def _offsets(lists: DataFrame) -> DataFrame:
+    """Words in the buckets before each: one row a bucket, at most ``MOST_BUCKETS``."""
+    sizes = lists.groupBy(F.col("bucket").alias("_bucket")).agg(F.max("top").alias("_size"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")))
+
+
+def dictionary(lists: DataFrame) -> DataFrame:
+    """Every word of the corpus once, with its dense number from 0: word, word_id. ``lists`` are the stored ``numbered`` words."""
+    found = lists.filter(F.octet_length("fresh") > 0).join(_offsets(lists), F.col("bucket") == F.col("_bucket"))
+    words = F.split(F.decode("fresh", "UTF-8"), " ")
+    first = F.col("_offset") + F.col("top") - F.size(words)
+    return found.select(first.alias("_first"), F.posexplode(words).alias("_at", "word")).select("word", (F.col("_first") + F.col("_at")).alias("word_id"))
+
+
+def global_shards(shards: DataFrame, lists: DataFrame) -> DataFrame:
+    """The shards with ``word_ids``: by bucket the global number of its first word and the numbers of the shard's own words."""
+    placed = lists.join(_offsets(lists), F.col("bucket") == F.col("_bucket"))
+    # One entry a bucket, of the words of one shard.
+    own = placed.groupBy(F.col("shard").alias("_shard")).agg(F.array_sort(F.collect_list(F.struct("bucket", F.col("_offset").alias("offset"), "numbers"))).alias("word_ids"))
+    return shards.drop("vocabulary").join(own, F.col("shard") == F.col("_shard"), "left").drop("_shard")
+
+
+def joined_ids(word_ids: list[dict] | None) -> np.ndarray:
+    """The global number of each of a shard's own words."""
+    parts = [np.frombuffer(x["numbers"], "<i4") + np.int64(x["offset"]) for x in word_ids or []]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def csr(row_ends: bytes, words: bytes, counts: bytes, word_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,7 +186,7 @@ def matrix_rows(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 column = {name: batch.column(name).slice(i, 1) for name in batch.schema.names}
-                ids = column["word_ids"].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = joined_ids(column["word_ids"][0].as_py())
                 blobs = [column[name][0].as_py() for name in ("row_ends", "words", "counts")]
                 ends, columns, values = csr(*blobs, ids)
                 total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
@@ -254,10 +295,10 @@ def filter_audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     length are read whole. Without documents there are no parts and no rows;
     without labels the losses are 0. Other columns are not read.
     """
+    out = Workspace(docs.sparkSession)
     with Workspace(docs.sparkSession) as space:
-        shards = space.store(local_shards(docs, id_col, text_col, part_col))
-        rows = matrix_rows(global_shards(space, shards)[0])
-        counts = flag_counts(rows, labels, id_col)
+        # Bucketed by shard: only the numbers move to meet it.
+        shards = space.bucketed(local_shards(docs, id_col, text_col, part_col), "shard")
+        rows = matrix_rows(global_shards(shards, space.store(numbered(shards))))
         # At most 32 rows a part: stored, so that all else can go.
-        path = Workspace(docs.sparkSession)
-        return order_table(path.store(counts))
+        return order_table(out.store(flag_counts(rows, labels, id_col)))

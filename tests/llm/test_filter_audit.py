@@ -3,9 +3,10 @@ from __future__ import annotations
 import itertools
 import re
 
+import numpy as np
 import pytest
 
-from clauseweave.llm.filter_audit import FILTERS, csr, dictionary, filter_audit, global_shards, local_shards, matrix_rows
+from clauseweave.llm.filter_audit import FILTERS, csr, dictionary, filter_audit, global_shards, joined_ids, local_shards, matrix_rows, numbered
 from clauseweave.llm.storage import Workspace
 
 LABELS = "doc_id long, quality int, toxic int, part string, n long"
@@ -88,16 +89,15 @@ def test_matrix(spark, words_of):
     with Workspace(spark) as space:
         shards = space.store(local_shards(docs, size=500))
         assert shards.count() > 8
-        stored, words = global_shards(space, shards)
-        number = {r.word: r.word_id for r in words.collect()}
+        lists = space.store(numbered(shards))
+        stored = global_shards(shards, lists)
+        number = {r.word: r.word_id for r in dictionary(lists).collect()}
         assert sorted(number.values()) == list(range(len(number)))
         assert set(number) == {w for t in texts for w in (t or "").split()}
         name = {v: k for k, v in number.items()}
-        import numpy as np
-
         seen = 0
         for row in stored.collect():
-            ends, columns, values = csr(bytes(row.row_ends), bytes(row.words), bytes(row.counts), np.array(row.word_ids or [], np.int64))
+            ends, columns, values = csr(bytes(row.row_ends), bytes(row.words), bytes(row.counts), joined_ids(row.word_ids))
             for i, doc in enumerate(row.doc_id):
                 got = {name[int(c)]: int(v) for c, v in zip(columns[ends[i] : ends[i + 1]], values[ends[i] : ends[i + 1]], strict=True)}
                 own = (texts[doc] or "").split()
@@ -110,11 +110,11 @@ def test_matrix(spark, words_of):
 
 
 def test_dictionary_is_made_once(spark):
-    docs = spark.createDataFrame([(i, f"w{i % 5} w{i}", "en") for i in range(100)], "doc_id long, text string, lang string").repartition(5)
+    docs = spark.createDataFrame([(i, f"w{i % 5} w{i} ü{i}", "en") for i in range(100)], "doc_id long, text string, lang string").repartition(5)
     with Workspace(spark) as space:
-        words = dictionary(space, space.store(local_shards(docs, size=50)))
-        rows = words.collect()
-        assert len({r.word for r in rows}) == len(rows) == 100
+        rows = dictionary(space.store(numbered(space.store(local_shards(docs, size=50))))).collect()
+        assert len({r.word for r in rows}) == len(rows) == 200
+        assert sorted(r.word_id for r in rows) == list(range(200))
 
 
 def test_odd_rows(spark, odd, nothing):
