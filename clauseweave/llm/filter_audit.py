@@ -32,7 +32,7 @@ FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in itertools.permutations(FILTERS)]
 MIN_WORDS, MIN_DISTINCT_PERCENT, MAX_UPPER_PERCENT, SYMBOLS = 100, 80, 10, b"#$%&*|"
 #: Bytes of text in a shard of the matrix; a longer text is a shard of its own.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Dictionaries: as many as there are shuffle partitions, within these bounds.
 FEWEST_BUCKETS, MOST_BUCKETS = 16, 4096
 
@@ -63,9 +63,9 @@ def _shard(data: np.ndarray, offsets: np.ndarray, buckets: int) -> dict[str, obj
     ends = np.searchsorted(entry, np.arange(1, len(texts) + 1) * width)
 
     def sums(mask):
-        total = np.zeros(len(data) + 1, np.int64)
+        total = np.zeros(len(data) + 1, np.int32)
         np.cumsum(mask, out=total[1:])
-        return total[offsets[1:]] - total[offsets[:-1]]
+        return (total[offsets[1:]] - total[offsets[:-1]]).astype(np.int64)
 
     table = np.zeros(256, bool)
     table[list(SYMBOLS)] = True
