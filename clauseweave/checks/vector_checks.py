@@ -12,7 +12,8 @@ from clauseweave.functions import text as T
 from clauseweave.functions import vectors as V
 from clauseweave.operators import anomalies as A
 from clauseweave.operators import clusters as C
-from clauseweave.session import cut_lineage
+from clauseweave.operators import neighbours as N
+from clauseweave.session import cut_lineage, scratch
 
 # --- Anomalies --------------------------------------------------------------------
 
@@ -327,3 +328,45 @@ def new_type_clauses(spark, folder):
 @query("discover_clusters")
 def discover_clusters(spark, folder):
     return C.discover_clusters(table(spark, folder, "embeddings"), "embedding").select("vec_id", "cluster_id")
+
+
+# --- Neighbours and density --------------------------------------------------------
+
+# Up to 1024 points share a leaf, so the graph is exact; beyond that a test measures its recall.
+_NEIGHBOUR_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT vec_id, list_transform(x, lambda e: e / sqrt(list_sum(list_transform(x, lambda y: y * y)))) AS x FROM v),
+pairs AS (SELECT a.vec_id, b.vec_id AS neighbour, round(sqrt(greatest(0, 2 - 2 * list_dot_product(a.x, b.x))), 7) AS d
+  FROM u a JOIN u b ON a.vec_id <> b.vec_id)
+SELECT vec_id, neighbour, round(d, 4) AS distance FROM pairs
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour) <= 15"""
+
+
+@query("nearest_neighbours", _NEIGHBOUR_SQL)
+def nearest_neighbours(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    with scratch(spark):
+        points = cut_lineage(N.unit_vectors(rows, "vec_id", "embedding"))
+        graph = cut_lineage(N.neighbour_graph(points), keep=True)
+    near = graph.select(F.col("id").alias("vec_id"), F.explode("near").alias("n"))
+    return near.select("vec_id", F.col("n.id").alias("neighbour"), F.round("n.distance", 4).alias("distance"))
+
+
+# Every vector moves close to the axis of its group (its id modulo 20), all groups
+# around one more axis; nine vectors stay where they are, far off: too few for a cluster.
+@query(
+    "planted_clusters",
+    """WITH g AS (SELECT vec_id, CASE WHEN vec_id < 9 THEN -1 ELSE vec_id % 20 END AS planted FROM embeddings)
+    SELECT vec_id, CASE WHEN planted < 0 THEN -1 ELSE min(vec_id) OVER (PARTITION BY planted) END AS cluster FROM g""",
+)
+def planted_clusters(spark, folder):
+    group = F.when(F.col("vec_id") < 9, -1).otherwise(F.col("vec_id") % 20)
+    moved = F.transform(
+        "embedding",
+        lambda x, i: x.cast("double")
+        + F.when(F.col("planted") < 0, 0.0).when(i == 63, 30.0).when(i == F.col("planted"), 10.0).otherwise(0.0),
+    )
+    rows = table(spark, folder, "embeddings").withColumn("planted", group).withColumn("vector", moved)
+    found = cut_lineage(C.discover_clusters(rows, "vector").select("vec_id", "cluster_id"))
+    least = found.where(F.col("cluster_id") != C.NOISE).groupBy("cluster_id").agg(F.min("vec_id").alias("first"))
+    return found.join(least, "cluster_id", "left").select("vec_id", F.coalesce("first", F.lit(C.NOISE)).alias("cluster"))

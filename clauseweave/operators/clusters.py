@@ -6,13 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import (
-    PCA,
-    NGram,
-    Normalizer,
-    StopWordsRemover,
-)
+from pyspark.ml.feature import NGram, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -20,40 +14,35 @@ from pyspark.sql import functions as F
 
 from clauseweave import settings as S
 from clauseweave.functions.text import WORD
+from clauseweave.operators.density import NOISE, density_clusters
 from clauseweave.operators.keyed import first_k_per_key
-from clauseweave.session import cut_lineage, small_side
+from clauseweave.operators.neighbours import unit_vector
+from clauseweave.session import cut_lineage, scratch, small_side
 
-NOISE = -1
 BLOCK_BYTES = 64 * 1024 * 1024
 
 
 def discover_clusters(
     clauses: DataFrame,
     vector_col: str,
-    k: int = S.CLUSTER_COUNT,
-    dimensions: int = S.CLUSTER_DIMENSIONS,
     min_size: int = S.MIN_CLUSTER_SIZE,
     seed: int = S.SEED,
 ) -> DataFrame:
-    """Add ``cluster_id``; members of clusters under ``min_size`` become noise (-1).
+    """Add ``cluster_id``: clusters by density, as many as there are; -1 is noise.
 
-    Embeddings are normalised, reduced and split top-down. Ids will differ from
-    a density-based clustering.
+    Copies of a vector are one point of that weight. Rows without a direction
+    (null or zero vectors) are noise. See ``operators.density`` for the method.
     """
-    staged = clauses.withColumn("_vec", array_to_vector(F.col(vector_col).cast("array<double>")))
-    unit = Normalizer(p=2.0, inputCol="_vec", outputCol="_unit").transform(staged)
-    reduced = PCA(k=dimensions, inputCol="_unit", outputCol="_low").fit(unit).transform(unit)
-    model = BisectingKMeans(
-        k=k, seed=seed, minDivisibleClusterSize=float(min_size), featuresCol="_low", predictionCol="cluster_id"
-    ).fit(reduced)
-    assigned = model.transform(reduced).drop("_vec", "_unit", "_low")
-    sizes = assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_size"))
-    # One row per cluster, at most k.
-    return (
-        assigned.join(F.broadcast(sizes), "cluster_id")
-        .withColumn("cluster_id", F.when(F.col("_size") < min_size, NOISE).otherwise(F.col("cluster_id")))
-        .drop("_size")
-    )
+    staged = clauses.withColumn("_unit", unit_vector(F.col(vector_col)))
+    counts = staged.where("_unit IS NOT NULL").groupBy(F.col("_unit").alias("v")).agg(F.count(F.lit(1)).alias("weight"))
+    # Stored, so that the numbers stay the same in every later pass.
+    with scratch(clauses.sparkSession):
+        points = cut_lineage(counts.withColumn("id", F.monotonically_increasing_id()))
+        labels = density_clusters(points, min_size=min_size, seed=seed)
+        found = cut_lineage(points.join(labels, "id").select(F.col("v").alias("_v"), F.col("cluster_id").alias("_label")), keep=True)
+    key = F.xxhash64("_unit") == F.xxhash64("_v")
+    joined = staged.join(found, key & (F.col("_unit") == F.col("_v")), "left").drop("_unit", "_v", "cluster_id")
+    return joined.withColumn("cluster_id", F.coalesce("_label", F.lit(NOISE))).drop("_label")
 
 
 def centroids(clauses: DataFrame, vector_col: str) -> DataFrame:

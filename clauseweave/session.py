@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,13 +49,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what ``cut_lineage`` stores inside, but for tables stored with ``keep``."""
+    paths: list[str] = []
+    token = _SCRATCH.set((*_SCRATCH.get(), paths))
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in paths:
+            remove_path(spark, path)
+
+
+def cut_lineage(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder so later passes do not recompute it.
 
     A table rather than an RDD checkpoint: later passes read single columns of
     it, and its known size lets Spark choose joins. It survives lost executors.
+    Inside ``scratch`` it goes when that ends; with ``keep`` it outlives it.
     """
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    open_ = _SCRATCH.get()
+    open_ = open_[:-1] if keep else open_
+    if open_:
+        open_[-1].append(path)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -65,6 +87,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def remove_stored(df: DataFrame) -> None:
+    """Delete the table behind a ``cut_lineage`` result that nothing reads any more."""
+    for file in df.inputFiles()[:1]:
+        remove_path(df.sparkSession, file.rsplit("/", 1)[0])
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     """Whether a path is a folder; an error if nothing is there."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

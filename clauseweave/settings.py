@@ -56,9 +56,10 @@ PROXY_SHORT_WORDS = 15
 PROXY_LONG_QUANTILE = 0.95
 
 # --- Clusters and taxonomy growth ------------------------------------------
-CLUSTER_COUNT = 20
 MIN_CLUSTER_SIZE = 10
-CLUSTER_DIMENSIONS = 5
+NEIGHBOURS = 15
+NEIGHBOUR_TREES = 6
+NEIGHBOUR_ROUNDS = 8
 KEYWORDS_PER_CLUSTER = 10
 ROUTE_HIGH_SIMILARITY = 0.80
 ROUTE_LOW_SIMILARITY = 0.50

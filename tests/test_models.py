@@ -95,7 +95,7 @@ def test_growth_end_to_end(spark):
         "name string, position long, embedding array<double>",
     )
     known = types.select("name")
-    clustered = C.discover_clusters(unknown, "embedding", k=4, dimensions=3).persist()
+    clustered = C.discover_clusters(unknown, "embedding").persist()
     assert clustered.groupBy("cluster_id").count().count() == 4
     from clauseweave.plans.analysis import route_clusters
 
