@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from clauseweave import settings as S
@@ -13,6 +16,7 @@ from clauseweave.functions import vectors as V
 from clauseweave.operators import anomalies as A
 from clauseweave.operators import clusters as C
 from clauseweave.operators import neighbours as N
+from clauseweave.operators import network as W
 from clauseweave.session import cut_lineage, scratch
 
 # --- Anomalies --------------------------------------------------------------------
@@ -77,7 +81,39 @@ def precision_recall_at_k(spark, folder):
     return rounded(out, "precision_at_k", "recall_at_k")
 
 
-@query("isolation_forest")
+def _forest_sql(trees: int, rows: int, seed: int) -> str:
+    """The forest replayed level by level: draws from digests, ranges, children, then the path of every row."""
+    depth = max(1, math.ceil(math.log2(max(rows, 2))))
+    mean = "CASE WHEN n <= 1 THEN 0 WHEN n = 2 THEN 1 ELSE 2 * (ln(n - 1) + 0.57721566490153286) - 2 * (n - 1)::DOUBLE / n END"
+    steps = [
+        f"""keyed AS (SELECT vec_id, embedding::DOUBLE[] AS x, md5(vec_id||'|{seed}') AS k FROM embeddings),
+placed AS (SELECT x, row_number() OVER (ORDER BY k) - 1 AS p, least(count(*) OVER (), {trees * rows}) AS pool FROM keyed),
+sizes AS (SELECT *, least({rows}, pool) AS per FROM placed WHERE p < pool),
+p0 AS (SELECT (p + j * pool) // per AS tree, 0 AS node, x FROM sizes, (SELECT unnest(range({trees * rows})) AS j) WHERE p + j * pool < {trees} * per),
+w0 AS (SELECT vec_id, x, tree, 0 AS node FROM keyed, (SELECT unnest(range({trees})) AS tree))"""
+    ]
+    for i in range(depth + 1):
+        split = f"n > 1 AND lo < hi AND {i} < {depth}"
+        child = "2 * node + 1 + (x[f + 1] > lo + u * (hi - lo))::INT AS node"
+        steps.append(
+            f"""d{i} AS (SELECT tree, node, md5('{seed}|'||tree||'|'||node) AS h FROM p{i} GROUP BY tree, node),
+f{i} AS (SELECT tree, node, ('0x'||h[1:8])::BIGINT % 64 AS f, ('0x'||h[9:16])::BIGINT / 4294967296.0::DOUBLE AS u FROM d{i}),
+s{i} AS (SELECT tree, node, any_value(f) AS f, any_value(u) AS u, count(*) AS n, min(x[f + 1]) AS lo, max(x[f + 1]) AS hi
+  FROM p{i} JOIN f{i} USING (tree, node) GROUP BY tree, node),
+p{i + 1} AS (SELECT tree, {child}, x FROM p{i} JOIN s{i} USING (tree, node) WHERE {split}),
+e{i} AS (SELECT vec_id, {i} + {mean} AS path FROM w{i} JOIN s{i} USING (tree, node) WHERE NOT ({split})),
+w{i + 1} AS (SELECT vec_id, x, tree, {child} FROM w{i} JOIN s{i} USING (tree, node) WHERE {split})"""
+        )
+    ends = " UNION ALL ".join(f"SELECT * FROM e{i}" for i in range(depth + 1))
+    return f"""{", ".join(steps)},
+raw AS (SELECT vec_id, -pow(2, -avg(path) / {A._mean_path(rows)!r}) AS raw FROM ({ends}) GROUP BY vec_id)"""
+
+
+@query(
+    "isolation_forest",
+    f"""WITH {_forest_sql(S.FOREST_TREES, S.FOREST_SAMPLE_ROWS, S.SEED)}
+    SELECT vec_id, round(raw - (SELECT quantile_cont(raw, 0.05) FROM raw), 6) AS if_score FROM raw""",
+)
 def isolation_forest(spark, folder):
     rows = table(spark, folder, "embeddings")
     model = A.fit_isolation_forest(rows, "vec_id", "embedding")
@@ -91,6 +127,40 @@ def reconstruction_error(spark, folder):
     return rounded(out.select("vec_id", "ae_score"), "ae_score", digits=5)
 
 
+# Training sums floating-point gradients, so no SQL repeats it; tests hold the network
+# against finite differences and against principal components.
+@query("network_reconstruction")
+def network_reconstruction(spark, folder):
+    rows = cut_lineage(table(spark, folder, "embeddings"))
+    out = W.score_network(rows, W.fit_network(rows, "embedding"), "embedding")
+    return rounded(out.select("vec_id", "ae_score"), "ae_score", digits=4)
+
+
+# The forward pass of a network with given weights, for every row.
+_LAYERS = [64, 6, 3, 6, 64]
+_LAYER_SQL = ", ".join(
+    f"""z{n + 1} AS (SELECT vec_id, x, list_transform(range({b}), lambda j: 0.01::DOUBLE * j +
+      list_sum(list_transform(range({a}), lambda i: h[i + 1] * sin(i + {b} * j + {n})::DOUBLE / {a}))) AS z FROM h{n}),
+    h{n + 1} AS (SELECT vec_id, x, {"list_transform(z, lambda e: greatest(e, 0.01::DOUBLE * e))" if n < 3 else "z"} AS h FROM z{n + 1})"""
+    for n, (a, b) in enumerate(zip(_LAYERS[:-1], _LAYERS[1:], strict=True))
+)
+
+
+@query(
+    "network_scores",
+    f"""WITH h0 AS (SELECT vec_id, embedding::DOUBLE[] AS x, embedding::DOUBLE[] AS h FROM embeddings), {_LAYER_SQL}
+    SELECT vec_id, round(list_sum(list_transform(range(64), lambda i: pow(h[i + 1] - x[i + 1], 2))) / 64, 6) AS ae_score FROM h4""",
+)
+def network_scores(spark, folder):
+    parts = []
+    for n, (a, b) in enumerate(zip(_LAYERS[:-1], _LAYERS[1:], strict=True)):
+        i, j = np.arange(a)[:, None], np.arange(b)[None]
+        parts += [(np.sin(i + b * j + n) / a).ravel(), 0.01 * np.arange(b)]
+    network = W.Network(tuple(_LAYERS), np.zeros(64), 1.0, np.concatenate(parts))
+    out = W.score_network(table(spark, folder, "embeddings"), W.Network.of(network.table(spark)), "embedding")
+    return rounded(out.select("vec_id", "ae_score"), "ae_score")
+
+
 @query("anomaly_scores")
 def anomaly_scores(spark, folder):
     out = A.score_embeddings(table(spark, folder, "embeddings"), "vec_id", "embedding", components=4)

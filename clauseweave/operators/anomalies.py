@@ -1,14 +1,15 @@
 """Anomaly scoring of clause embeddings: isolation forest, reconstruction, fusion.
 
-The forest is fitted on bounded samples, one group per tree. The reconstruction
-signal is the error left by a linear (principal component) bottleneck instead
-of a trained autoencoder; scores are therefore comparable, not equal.
+The forest is fitted on bounded samples, all trees level by level; its draws come
+from digests, so any engine can repeat them. The reconstruction signal is the
+error left by a linear (principal component) bottleneck or by a trained
+autoencoder (``operators.network``).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,15 +23,14 @@ from clauseweave import settings as S
 from clauseweave.functions import ids
 from clauseweave.functions import vectors as V
 from clauseweave.functions.lexical import clip
+from clauseweave.operators.network import Network, fit_network, score_network
 from clauseweave.operators.selection import (
     discrete_quantiles,
     exact_quantiles,
     key_cutoff,
     numbered_by_key,
 )
-from clauseweave.session import cut_lineage
-
-TREE_SCHEMA = "tree int, feature array<int>, threshold array<double>, path array<double>"
+from clauseweave.session import cut_lineage, scratch
 
 
 def _mean_path(n: int) -> float:
@@ -68,6 +68,27 @@ def sample_for_trees(
     )
 
 
+def _mean_path_of(n: Column) -> Column:
+    """``_mean_path`` of a count column."""
+    far = F.lit(2.0) * (F.log(n - 1) + F.lit(float(np.euler_gamma))) - F.lit(2.0) * (n - 1) / n
+    return F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(far)
+
+
+def _drawn(seed: int, dim: int) -> tuple[Column, Column]:
+    """The feature and the share of its range at which a node is cut, from a digest of seed, tree and node."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("tree").cast("string"), F.col("node").cast("string")))
+    number = [F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9)]
+    return (number[0] % dim).cast("int"), number[1] / float(1 << 32)
+
+
+def _next_features(points: DataFrame, stuck: DataFrame, dim: int) -> DataFrame:
+    """For nodes whose drawn feature is constant: the next one, in a circle, that is not, and its range."""
+    ranges = points.join(F.broadcast(stuck.select("tree", "node", "feature")), ["tree", "node"]).select("tree", "node", "feature", F.posexplode("vector").alias("other", "x"))
+    wide = ranges.groupBy("tree", "node", "feature", "other").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo < hi")
+    near = F.struct(F.pmod(F.col("other") - F.col("feature"), F.lit(dim)).alias("step"), F.col("other").alias("feature"), "lo", "hi")
+    return wide.groupBy("tree", "node").agg(F.min(near).alias("next"))
+
+
 def fit_isolation_forest(
     embeddings: DataFrame,
     id_col: str,
@@ -76,35 +97,55 @@ def fit_isolation_forest(
     rows_per_tree: int = S.FOREST_SAMPLE_ROWS,
     seed: int = S.SEED,
 ) -> DataFrame:
-    """One row per tree, nodes in heap order; each tree sees a bounded sample."""
-    depth = max(1, math.ceil(math.log2(max(rows_per_tree, 2))))
-
-    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(key[0])
-        rng = np.random.default_rng([seed, tree])
-        points = np.array(sorted(map(tuple, pdf["vector"])), dtype=float)
-        nodes = 2 ** (depth + 1) - 1
-        feature, threshold = np.full(nodes, -1, dtype=np.int32), np.zeros(nodes)
-        path = np.zeros(nodes)
-        pending = [(0, 0, points)]
-        while pending:
-            node, level, part = pending.pop()
-            spread = part.max(axis=0) - part.min(axis=0)
-            choices = np.flatnonzero(spread > 0)
-            if level == depth or len(part) <= 1 or len(choices) == 0:
-                path[node] = level + _mean_path(len(part))
-                continue
-            f = int(rng.choice(choices))
-            cut = rng.uniform(part[:, f].min(), part[:, f].max())
-            right = part[:, f] > cut
-            feature[node], threshold[node] = f, cut
-            pending += [(2 * node + 1, level + 1, part[~right]), (2 * node + 2, level + 1, part[right])]
-        return pd.DataFrame(
-            {"tree": [tree], "feature": [feature], "threshold": [threshold], "path": [path]}
-        )
+    """One row per tree, nodes in heap order; each tree sees a bounded sample.
 
+    All trees grow together, a level at a time: one aggregate finds the range of
+    the feature that each node draws, one join sends its points to the children.
+    A level has at most trees x rows_per_tree points, whatever the input.
+    """
+    depth = max(1, math.ceil(math.log2(max(rows_per_tree, 2))))
     sample = sample_for_trees(embeddings, id_col, vector_col, trees, rows_per_tree, seed)
-    return sample.groupBy("tree").applyInPandas(grow, TREE_SCHEMA)
+    levels = []
+    with scratch(embeddings.sparkSession):
+        points = cut_lineage(sample.select("tree", F.lit(0).alias("node"), F.col("vector").cast("array<double>").alias("vector")))
+        dim = points.agg(F.max(F.size("vector"))).first()[0] or 1
+        for level in range(depth + 1):
+            feature, share = _drawn(seed, dim)
+            drawn = points.withColumns({"feature": feature, "share": share}).withColumn("x", F.element_at("vector", F.col("feature") + 1))
+            nodes = cut_lineage(drawn.groupBy("tree", "node", "feature", "share").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")))
+            constant = (F.col("n") > 1) & (F.col("lo") == F.col("hi")) & F.lit(level < depth)
+            wide = (F.col("n") > 1) & (F.col("lo") < F.col("hi")) & F.lit(level < depth)
+            any_constant, any_wide = nodes.agg(F.max(constant), F.max(wide)).first()
+            if any_constant:
+                found = _next_features(points, nodes.where(constant), dim)
+                joined = nodes.join(F.broadcast(found), ["tree", "node"], "left")
+                nodes = cut_lineage(joined.select("tree", "node", "share", "n", *[F.coalesce(f"next.{c}", c).alias(c) for c in ("feature", "lo", "hi")]))
+                any_wide = True
+            cut = F.col("lo") + F.col("share") * (F.col("hi") - F.col("lo"))
+            grown = nodes.select(
+                "tree", "node", F.when(wide, F.col("feature")).otherwise(-1).alias("feature"), F.when(wide, cut).otherwise(0.0).alias("threshold"),
+                F.when(wide, 0.0).otherwise(level + _mean_path_of(F.col("n"))).alias("path"),
+            )
+            levels.append(grown)
+            if not any_wide:
+                break
+            inner = grown.where("feature >= 0")
+            # At most one node a point.
+            right = F.element_at("vector", F.col("feature") + 1) > F.col("threshold")
+            sent = points.join(F.broadcast(inner.drop("path")), ["tree", "node"])
+            points = cut_lineage(sent.select("tree", (2 * F.col("node") + 1 + right.cast("int")).alias("node"), "vector"))
+        known = levels[0]
+        for more in levels[1:]:
+            known = known.unionByName(more)
+        tree = known.groupBy("tree").agg(F.map_from_entries(F.collect_list(F.struct("node", F.struct("feature", "threshold", "path")))).alias("at"))
+        every = F.sequence(F.lit(0), F.lit(2 ** (depth + 1) - 2))
+        # A child that no sample row reached ends a path at its own depth.
+        arrays = [
+            F.transform(every, lambda i: F.coalesce(F.try_element_at("at", i)["feature"], F.lit(-1))).alias("feature"),
+            F.transform(every, lambda i: F.coalesce(F.try_element_at("at", i)["threshold"], F.lit(0.0))).alias("threshold"),
+            F.transform(every, lambda i: F.coalesce(F.try_element_at("at", i)["path"], F.floor(F.log2(i + 1.0)).cast("double"))).alias("path"),
+        ]
+        return cut_lineage(tree.select("tree", *arrays), keep=True)
 
 
 def forest_score(model: DataFrame, vector_col: str, rows_per_tree: int = S.FOREST_SAMPLE_ROWS) -> Column:
@@ -161,12 +202,14 @@ def fit_reconstruction(embeddings: DataFrame, vector_col: str, components: int)
 
 
 def score_reconstruction(embeddings: DataFrame, model: DataFrame, vector_col: str) -> DataFrame:
-    """Add ae_score: mean squared error left by the model's principal components.
+    """Add ae_score: mean squared error left by the model, principal components or a network.
 
     For orthonormal components the residual is |x|^2 - |P x|^2 of the centred
     vector, so the vector need not be rebuilt. The model is one row of bounded
     size, which becomes part of the expression.
     """
+    if "weights" in model.columns:
+        return score_network(embeddings, Network.of(model), vector_col)
     fitted = model.first()
     centred = F.zip_with(F.col(vector_col).cast("array<double>"), F.lit(fitted.centre), lambda x, c: x - c)
     explained = F.lit(0.0)
@@ -220,48 +263,56 @@ def fuse(scored: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
 class AnomalyModel:
     """What scoring needs of the training rows: bounded tables and two numbers.
 
-    ``forest`` has one row a tree, ``linear`` one row, ``limits`` one row with the
-    contamination offset, the range of both raw scores and the rows of a tree.
+    ``forest`` has one row a tree, ``reconstruction`` one row (components or a
+    network), ``limits`` one row with the contamination offset, the range of both
+    raw scores and the rows of a tree.
     """
 
     forest: DataFrame
-    linear: DataFrame
+    reconstruction: DataFrame
     limits: DataFrame
 
     def save(self, folder: str) -> None:
-        for name in ("forest", "linear", "limits"):
+        for name in ("forest", "reconstruction", "limits"):
             getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> AnomalyModel:
-        return cls(*[spark.read.parquet(f"{folder}/{name}") for name in ("forest", "linear", "limits")])
+        return cls(*[spark.read.parquet(f"{folder}/{name}") for name in ("forest", "reconstruction", "limits")])
+
 
+def fit_anomalies(embeddings: DataFrame, id_col: str, vector_col: str, components: int, contamination: float = S.FOREST_CONTAMINATION, hidden: Sequence[int] | None = None) -> AnomalyModel:
+    """Fit both signals, the offset and the score ranges on training rows.
 
-def fit_anomalies(embeddings: DataFrame, id_col: str, vector_col: str, components: int, contamination: float = S.FOREST_CONTAMINATION) -> AnomalyModel:
-    """Fit both signals, the offset and the score ranges on training rows."""
+    With ``hidden`` (the layers down to the bottleneck) a network reconstructs,
+    else ``components`` principal components.
+    """
     rows_per_tree = max(1, min(S.FOREST_SAMPLE_ROWS, embeddings.count()))
-    forest = cut_lineage(fit_isolation_forest(embeddings, id_col, vector_col))
-    linear = cut_lineage(fit_reconstruction(embeddings, vector_col, components))
+    forest = fit_isolation_forest(embeddings, id_col, vector_col)
+    if hidden:
+        reconstruction = cut_lineage(fit_network(embeddings, vector_col, hidden).table(embeddings.sparkSession))
+    else:
+        reconstruction = cut_lineage(fit_reconstruction(embeddings, vector_col, components))
     with_forest = embeddings.withColumn("forest_raw", forest_score(forest, vector_col, rows_per_tree))
-    scored = cut_lineage(score_reconstruction(with_forest, linear, vector_col).select("forest_raw", "ae_score"))
+    scored = cut_lineage(score_reconstruction(with_forest, reconstruction, vector_col).select("forest_raw", "ae_score"))
     offset = exact_quantiles(scored, "forest_raw", [contamination])[0]
     bounds = score_bounds(scored.withColumn("if_score", F.col("forest_raw") - F.lit(offset)))
     limits = bounds.withColumn("offset", F.lit(offset)).withColumn("rows_per_tree", F.lit(rows_per_tree))
-    return AnomalyModel(forest, linear, cut_lineage(limits))
+    return AnomalyModel(forest, reconstruction, cut_lineage(limits))
 
 
 def score_anomalies(embeddings: DataFrame, model: AnomalyModel, vector_col: str) -> DataFrame:
     """Score any rows, one contract's too, by what was fitted before."""
     limits = model.limits.first()  # one row
     with_forest = embeddings.withColumn("forest_raw", forest_score(model.forest, vector_col, limits.rows_per_tree))
-    scored = score_reconstruction(with_forest, model.linear, vector_col)
+    scored = score_reconstruction(with_forest, model.reconstruction, vector_col)
     decided = scored.withColumn("if_score", F.col("forest_raw") - F.lit(limits.offset))
     return fuse(decided, model.limits.select("if_low", "if_high", "ae_low", "ae_high"))
 
 
-def score_embeddings(embeddings: DataFrame, id_col: str, vector_col: str, components: int) -> DataFrame:
+def score_embeddings(embeddings: DataFrame, id_col: str, vector_col: str, components: int, hidden: Sequence[int] | None = None) -> DataFrame:
     """Both signals and their fusion for every row, fitted on the rows themselves."""
-    return score_anomalies(embeddings, fit_anomalies(embeddings, id_col, vector_col, components), vector_col)
+    return score_anomalies(embeddings, fit_anomalies(embeddings, id_col, vector_col, components, hidden=hidden), vector_col)
 
 
 def proxy_labels(clauses: DataFrame, words_col: str = "n_words") -> DataFrame:

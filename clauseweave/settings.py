@@ -52,6 +52,8 @@ ANOMALY_FLAG_ABOVE = 70
 FOREST_TREES = 200
 FOREST_SAMPLE_ROWS = 256
 FOREST_CONTAMINATION = 0.05
+NETWORK_HIDDEN = [256, 64]
+NETWORK_PASSES = 30
 PROXY_SHORT_WORDS = 15
 PROXY_LONG_QUANTILE = 0.95
 
