@@ -67,13 +67,16 @@ def test_stored_network_scores_alike(spark, tmp_path):
 
 def test_anomaly_model_with_a_network(spark, tmp_path):
     rng = np.random.default_rng(7)
-    x = np.vstack([rng.normal(size=(300, 5)), rng.normal(size=(4, 5)) + 12])
-    df = vectors(spark, x)
+    df = vectors(spark, rng.normal(size=(200, 5)))
     model = A.fit_anomalies(df, "id", "v", 2, hidden=[4, 2])
     model.save(str(tmp_path / "m"))
     loaded = A.AnomalyModel.load(spark, str(tmp_path / "m"))
-    rows = A.score_anomalies(df, loaded, "v").orderBy("combined_score", ascending=False).limit(4).collect()
-    assert {r.id for r in rows} == {300, 301, 302, 303}
+    new = vectors(spark, np.vstack([rng.normal(size=(20, 5)), [[40.0, -40.0, 40.0, -40.0, 40.0]]]))
+    first, second = ({r.id: r for r in A.score_anomalies(new, m, "v").collect()} for m in (model, loaded))
+    assert {i: r.combined_score for i, r in first.items()} == {i: r.combined_score for i, r in second.items()}
+    direct = {r.id: r.ae_score for r in W.score_network(new, W.Network.of(loaded.reconstruction), "v").collect()}
+    assert {i: r.ae_score for i, r in first.items()} == direct
+    assert first[20].ae_score == max(direct.values()) and first[20].is_anomalous
 
 
 def test_forest_cuts_the_next_feature_where_the_drawn_one_is_constant(spark):
