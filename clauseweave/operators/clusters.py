@@ -160,12 +160,13 @@ def nearest_type(vectors: DataFrame, types: DataFrame, key: str, vector_col: str
     slim = vectors.select(key, F.col(vector_col).cast("array<double>").alias("v"))
     key_type = slim.schema[key].dataType.simpleString()
     best = None
-    low = -1
+    low = None
     while True:
-        block = types.where(F.col("position") > low).orderBy("position").limit(per_block).collect()
+        after = types if low is None else types.where((F.col("position") > low.position) | ((F.col("position") == low.position) & (F.col("name") > low.name)))
+        block = after.orderBy("position", "name").limit(per_block).collect()
         if not block:
             break
-        low = block[-1].position
+        low = block[-1]
         part = _nearest_in_block(slim, block, key, key_type)
         best = part if best is None else best.unionByName(part)
     if count <= per_block:

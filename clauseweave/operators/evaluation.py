@@ -6,15 +6,18 @@ shuffles carry at most (candidates x classes x 10) counters per task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseweave import settings as S
-from clauseweave.functions.probabilities import logit, tempered
+from clauseweave.functions.probabilities import logit
+from clauseweave.operators.neighbours import matrix
 from clauseweave.session import cut_lineage
 
 
@@ -211,49 +214,99 @@ def weight_candidates(models: Sequence[str]) -> list[tuple[int, str, list[float]
     return [(order, name, weights) for order, (name, weights) in enumerate(grid)]
 
 
+def _edges() -> np.ndarray:
+    """The log-odds at which some temperature puts a probability on a threshold of the grid, ascending."""
+    odds = np.log(np.array(S.THRESHOLD_GRID) / (1 - np.array(S.THRESHOLD_GRID)))
+    return np.unique(np.multiply.outer(np.array(S.TEMPERATURE_GRID), odds))
+
+
+def blend_counts(scored: DataFrame, models: Sequence[str], labels: str, weights: Sequence[Sequence[float]]) -> DataFrame:
+    """(candidate, classes, counts): what every later choice needs of a blend, from one pass over the scores.
+
+    A temperature moves thresholds, not the order of probabilities: p passes a
+    threshold at a temperature when its log-odds pass a fixed edge. So each task
+    counts, for each blend and class, rows and positives between all such edges,
+    and adds up the loss of each temperature; arrays of all tasks are added by
+    element.
+    """
+    wanted = scored.select(*models, labels).where(F.col(labels).isNotNull())
+    edges, blends, temperatures = _edges(), np.array(weights), np.array(S.TEMPERATURE_GRID)
+    cells = len(edges) + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: np.ndarray | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p = np.stack([matrix(batch.column(m)) for m in models]).astype(float)
+            y = matrix(batch.column(labels)).astype(float)
+            rows, classes = y.shape
+            if totals is None:
+                totals = np.zeros((len(blends), len(temperatures) + 1 + 2 * classes * cells))
+            place = np.broadcast_to(np.arange(classes) * cells, y.shape).ravel()
+            for c, w in enumerate(blends):
+                mixed = np.zeros(y.shape)
+                for share, one in zip(w, p, strict=True):
+                    mixed = mixed + share * one
+                clipped = np.clip(mixed, S.PROBABILITY_EPSILON, 1 - S.PROBABILITY_EPSILON)
+                x = np.log(clipped / (1 - clipped))
+                for i, t in enumerate(temperatures):
+                    z = x / t
+                    totals[c, i] += (np.maximum(z, 0) - z * y + np.log1p(np.exp(-np.abs(z)))).sum()
+                totals[c, len(temperatures)] += y.size
+                cell = place + np.searchsorted(edges, x.ravel(), side="right")
+                at = len(temperatures) + 1
+                totals[c, at : at + classes * cells] += np.bincount(cell, minlength=classes * cells)
+                totals[c, at + classes * cells :] += np.bincount(cell, weights=y.ravel(), minlength=classes * cells)
+        if totals is not None:
+            n, width = totals.shape
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(totals.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), listed], ["candidate", "counts"])
+
+    sent = wanted.mapInArrow(count, "candidate int, counts array<double>").select("candidate", array_to_vector("counts").alias("v"))
+    return sent.groupBy("candidate").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("counts"))
+
+
+def _judged_blend(counts: np.ndarray) -> tuple[float, float, list[float]]:
+    """Temperature of least loss, macro F1 and best thresholds of one blend; ties go to the lowest."""
+    edges, grid, temperatures = _edges(), np.array(S.THRESHOLD_GRID), np.array(S.TEMPERATURE_GRID)
+    cells, at = len(edges) + 1, len(temperatures) + 1
+    classes = (len(counts) - at) // (2 * cells)
+    temperature = float(temperatures[int(np.argmin(counts[: at - 1] / max(counts[at - 1], 1)))])
+    rows, positive = counts[at:].reshape(2, classes, cells)
+    first = np.searchsorted(edges, temperature * np.log(grid / (1 - grid)) - 1e-12) + 1
+    above = [x[:, ::-1].cumsum(axis=1)[:, ::-1][:, first] for x in (rows, positive)]
+    flagged, hits = above
+    positives = positive.sum(axis=1)
+    f1 = np.where(positives[:, None] > 0, 2 * hits / np.maximum(positives[:, None] + flagged, 1), 0.0)
+    best = f1.argmax(axis=1)
+    thresholds = np.where(positives > 0, grid[best], S.DEFAULT_CLASS_THRESHOLD)
+    return temperature, float(f1[np.arange(classes), best].mean()), thresholds.tolist()
+
+
 def ensemble_search(scored: DataFrame, models: Sequence[str], labels: str = "labels") -> DataFrame:
     """Temperature, thresholds and macro F1 of every blend, best first wins.
 
     ``scored`` has one array<double> column per model and an int array of
-    labels. Returns one row per candidate with ``is_winner`` on the best (ties:
-    the earliest candidate).
+    labels, all of one length. Returns one row per candidate with ``is_winner`` on
+    the best (ties: the earliest candidate). The scores are read once.
     """
-    spark = scored.sparkSession
     candidates = weight_candidates(models)
     table = F.broadcast(
-        spark.createDataFrame(candidates, "candidate int, name string, weights array<double>")
+        scored.sparkSession.createDataFrame(candidates, "candidate int, name string, weights array<double>")
     )
-    # Model vectors to per-class rows first (narrow), then every candidate.
-    zipped = F.arrays_zip(*[F.col(m) for m in models], F.col(labels).alias("y"))
-    per_class = scored.select(F.posexplode_outer(zipped).alias("class_idx", "z")).where("z IS NOT NULL").select(
-        "class_idx", *[F.col(f"z.{m}").alias(m) for m in models], F.col("z.y").alias("y")
-    )
-    # Both searches below read these rows; what made the scores runs once.
-    per_class = cut_lineage(per_class)
-    weights = F.array(*[
-        F.struct(F.lit(c).alias("candidate"), *[F.lit(w).alias(f"w{i}") for i, w in enumerate(ws)])
-        for c, _, ws in candidates
-    ])
-    fanned = per_class.select("*", F.explode(weights).alias("c"))
-    mixed = sum((F.col(f"c.w{i}") * F.col(m) for i, m in enumerate(models)), F.lit(0.0))
-    long = fanned.select(F.col("c.candidate").alias("candidate"), "class_idx", mixed.alias("p"), "y")
-
-    temperatures = cut_lineage(_best_temperature(long, ["candidate"]))
-    # One row per candidate: at most a hundred rows, known from the grid.
-    tempered_rows = long.join(F.broadcast(temperatures.select("candidate", "temperature")), "candidate")
-    calibrated = tempered_rows.select(
-        "candidate", "class_idx", tempered(F.col("p"), F.col("temperature")).alias("p"), "y"
-    )
-    per_candidate = _best_thresholds(calibrated, ["candidate"]).groupBy("candidate").agg(
-        F.avg("f1").alias("f1_macro"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("class_idx", "threshold"))), lambda s: s["threshold"]
-        ).alias("thresholds"),
-    )
-    rows = table.join(per_candidate, "candidate").join(
-        temperatures.select("candidate", "temperature"), "candidate"
-    )
-    winner = per_candidate.agg(F.max_by("candidate", F.struct("f1_macro", -F.col("candidate"))).alias("w"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_judged_blend(np.array(c)) for c in batch.column("counts").to_pylist()]
+            columns = [batch.column("candidate"), *[pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.float64(), pa.float64(), pa.list_(pa.float64())))]]
+            yield pa.RecordBatch.from_arrays(columns, ["candidate", "temperature", "f1_macro", "thresholds"])
+
+    # One row a candidate from here on.
+    counts = blend_counts(scored, models, labels, [w for _, _, w in candidates])
+    judged = cut_lineage(counts.mapInArrow(judge, "candidate int, temperature double, f1_macro double, thresholds array<double>"))
+    winner = judged.agg(F.max_by("candidate", F.struct("f1_macro", -F.col("candidate"))).alias("w"))
+    rows = table.join(judged, "candidate").select("candidate", "name", "weights", "f1_macro", "thresholds", "temperature")
     return rows.withColumn("is_winner", F.col("candidate") == winner.scalar())
 
 
@@ -275,8 +328,11 @@ def metric_rows(report: DataFrame, component: str) -> DataFrame:
 def max_pool(chunk_probabilities: DataFrame, key: str, column: str = "probabilities") -> DataFrame:
     """Largest probability per class over all chunks of a clause, in one aggregate.
 
-    Each task sends one vector per clause. All chunks of a clause have one length.
+    One maximum a class, partly taken before the shuffle. All chunks have one length.
     """
     chunks = chunk_probabilities.where(F.size(column) > 0)
-    vectors = chunks.select(key, array_to_vector(F.col(column).cast("array<double>")).alias("_v"))
-    return vectors.groupBy(key).agg(vector_to_array(Summarizer.max(F.col("_v"))).alias(column))
+    head = chunks.select(F.size(column)).first()
+    if head is None:
+        return chunks.select(key, column)
+    largest = [F.max(F.get(column, F.lit(i)).cast("double")).alias(f"_{i}") for i in range(head[0])]
+    return chunks.groupBy(key).agg(*largest).select(key, F.array(*[f"_{i}" for i in range(head[0])]).alias(column))

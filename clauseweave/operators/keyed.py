@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clauseweave.session import cut_lineage
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Keep the first row of every key in the given order.
@@ -51,9 +53,9 @@ def merge_keep_existing(
     """Append the first incoming row of every key that is not there yet.
 
     ``existing`` is the result of earlier merges, so its keys are unique already
-    and its rows neither move nor sort.
+    and its rows neither move nor sort. The batch is computed once.
     """
-    fresh = absent_from_store(first_per_key(incoming, keys, order), existing, keys)
+    fresh = absent_from_store(cut_lineage(first_per_key(incoming, keys, order)), existing, keys)
     return existing.unionByName(fresh, allowMissingColumns=True)
 
 

@@ -13,6 +13,7 @@ from clauseweave import settings as S
 from clauseweave.functions import ids
 from clauseweave.functions import text as T
 from clauseweave.operators.keyed import absent_from_store
+from clauseweave.session import cut_lineage
 
 
 def read_filings(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,7 +32,8 @@ def unix_lines(text: Column) -> Column:
 def new_filings(filings: DataFrame, contracts: DataFrame) -> DataFrame:
     """Filings whose contract is not stored yet under a filing source."""
     done = contracts.where(F.col("source").startswith(S.AUTO_SOURCE_PREFIX)).select("contract_id")
-    keyed = filings.withColumn("contract_id", ids.contract_id(F.col("file_name")))
+    # Read once: a batch of files is stored before its names are looked up and its texts go on.
+    keyed = cut_lineage(filings.withColumn("contract_id", ids.contract_id(F.col("file_name"))))
     return absent_from_store(keyed, done, ["contract_id"]).drop("contract_id")
 
 

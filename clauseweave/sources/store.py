@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clauseweave.functions import ids
 from clauseweave.operators.keyed import absent_from_store, absent_rows, first_per_key, merge_keep_existing
-from clauseweave.session import stored
+from clauseweave.session import cut_lineage, stored
 
 CONTRACTS = "contract_id string, filename string, source string, page_count int, created_at timestamp"
 CLAUSES = (
@@ -118,8 +118,8 @@ class ClauseStore:
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """The rows an insert would add: first per key, key not stored yet."""
-    return absent_from_store(first_per_key(incoming, [key], order), existing, [key])
+    """The rows an insert would add: first per key, key not stored yet. The batch is computed once."""
+    return absent_from_store(cut_lineage(first_per_key(incoming, [key], order)), existing, [key])
 
 
 def merge_review_queue(existing: DataFrame, incoming: DataFrame, path: str | None = None) -> DataFrame:

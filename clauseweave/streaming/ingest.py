@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from clauseweave.functions import ids
 from clauseweave.operators.segmentation import filing_clauses
-from clauseweave.session import stored
+from clauseweave.session import scratch, stored
 from clauseweave.sources.filings import new_filings, unix_lines
-from clauseweave.sources.store import ClauseStore, contract_rows
+from clauseweave.sources.store import ClauseStore, uploaded_contracts
 
 
 def filing_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
@@ -32,14 +33,17 @@ def filing_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> Da
 def ingest_batch(batch: DataFrame, store: ClauseStore, source: str = "EDGAR") -> None:
     """Segment one micro-batch and insert what is new. Safe to replay.
 
-    Files whose contract is stored already are skipped before any segmentation.
+    Files whose contract is stored already are skipped before any segmentation;
+    a file without clauses gets its contract too, so no later run reads it again.
+    The files are read once, and the batch's own tables go when it is done.
     """
-    fresh = new_filings(batch.select("file_name", "text"), store.contracts())
-    # The batch's own table goes when the batch is done.
-    with stored(filing_clauses(fresh)) as clauses:
-        store.save_clauses(clauses, [F.col("position")])
+    with scratch(batch.sparkSession):
+        fresh = new_filings(batch.select("file_name", "text"), store.contracts())
+        with stored(filing_clauses(fresh)) as clauses:
+            store.save_clauses(clauses, [F.col("position")])
         # Contracts last: a contract row marks the file as fully ingested.
-        store.save_contracts(contract_rows(clauses, source))
+        named = fresh.select(ids.contract_id(F.col("file_name")).alias("contract_id"), F.col("file_name").alias("filename"))
+        store.save_contracts(uploaded_contracts(named, source))
 
 
 def start_ingest(

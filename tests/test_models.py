@@ -183,3 +183,63 @@ def test_anomaly_model_scores_new_rows(spark, points, tmp_path):
     assert np.allclose(list(alone.values()), [together[k] for k in alone])
     share = sum(v[0] < 0 for v in together.values()) / len(together)
     assert share == pytest.approx(S.FOREST_CONTAMINATION, abs=1.5 / len(together) + 1e-9)
+
+
+def test_types_that_share_a_position_at_a_block_border(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    types = rng.normal(size=(12, 4))
+    known = spark.createDataFrame([(f"t{i:02}", i // 4, [float(x) for x in v]) for i, v in enumerate(types)], "name string, position long, embedding array<double>")
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(types)], "id int, v array<double>")
+    monkeypatch.setattr(C, "BLOCK_BYTES", 8 * 4 * 3)
+    rows = C.nearest_type(df, known, "id", "v").orderBy("id").collect()
+    assert [r.best_type for r in rows] == [f"t{i:02}" for i in range(12)]
+
+
+def test_blend_counts_are_those_of_every_blend(spark):
+    """Temperature, thresholds and F1 of each blend by going through all of them one by one."""
+    from clauseweave.operators import evaluation as E
+
+    rng = np.random.default_rng(11)
+    n, classes = 90, 5
+    y = (rng.random((n, classes)) < 0.3).astype(int)
+    y[:, 4] = 0  # a class without positives
+    models = {m: np.clip(rng.random((n, classes)) * 0.6 + y * rng.uniform(0, 0.5), 0, 1) for m in ("a", "b", "c")}
+    models["a"][0, :3] = [0.0, 1.0, 0.5]
+    rows = [(*[[float(x) for x in models[m][i]] for m in models], [int(k) for k in y[i]]) for i in range(n)]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>, c array<double>, labels array<int>").repartition(3)
+    got = {r.candidate: r for r in E.ensemble_search(df, list(models)).collect()}
+    best = (-1.0, 0)
+    for order, name, weights in E.weight_candidates(list(models)):
+        p = sum(w * models[m] for w, m in zip(weights, models, strict=True))
+        q = np.clip(p, S.PROBABILITY_EPSILON, 1 - S.PROBABILITY_EPSILON)
+        x = np.log(q / (1 - q))
+        loss = [(np.maximum(x / t, 0) - x / t * y + np.log1p(np.exp(-np.abs(x / t)))).mean() for t in S.TEMPERATURE_GRID]
+        t = S.TEMPERATURE_GRID[int(np.argmin(loss))]
+        hot = p if t == 1.0 else 1 / (1 + np.exp(-x / t))
+        f1, thresholds = [], []
+        for c in range(classes):
+            scores = []
+            for cut in S.THRESHOLD_GRID:
+                flagged = hot[:, c] >= cut
+                below = y[:, c].sum() + flagged.sum()
+                scores.append(2 * (flagged & (y[:, c] == 1)).sum() / below if below else 0.0)
+            f1.append(max(scores) if y[:, c].any() else 0.0)
+            thresholds.append(S.THRESHOLD_GRID[int(np.argmax(scores))] if y[:, c].any() else S.DEFAULT_CLASS_THRESHOLD)
+        r = got[order]
+        assert (r.name, list(r.weights), r.temperature) == (name, weights, t)
+        assert r.f1_macro == pytest.approx(np.mean(f1))
+        assert list(r.thresholds) == thresholds
+        if np.mean(f1) > best[0] + 1e-12:
+            best = (np.mean(f1), order)
+    assert [o for o, r in got.items() if r.is_winner] == [best[1]]
+    assert len(got) == 102
+
+
+def test_ensemble_plan_does_not_fan_out(spark):
+    from clauseweave.operators import evaluation as E
+
+    df = spark.createDataFrame([([0.2, 0.9], [0.1, 0.8], [0, 1])], "a array<double>, b array<double>, labels array<int>")
+    counts = E.blend_counts(df, ["a", "b"], "labels", [[1.0, 0.0], [0.5, 0.5]])
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    assert counts.count() == 2

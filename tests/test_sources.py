@@ -168,3 +168,16 @@ def test_stored_table_goes(spark):
         assert is_folder(spark, path)
     with pytest.raises(Exception, match="does not exist"):
         is_folder(spark, path)
+
+
+def test_a_file_without_clauses_is_not_read_again(spark, tmp_path):
+    from clauseweave.streaming.ingest import ingest_batch
+
+    kept = store.ClauseStore(spark, str(tmp_path / "store"))
+    batch = spark.createDataFrame([("short.txt", "nothing here"), ("empty.txt", "")], "file_name string, text string")
+    ingest_batch(batch, kept)
+    assert {r.filename for r in kept.contracts().collect()} == {"short.txt", "empty.txt"}
+    assert kept.clauses().count() == 0
+    assert filings.new_filings(batch, kept.contracts()).count() == 0
+    ingest_batch(batch, kept)
+    assert kept.contracts().count() == 2
