@@ -1,11 +1,11 @@
 """Shards by a hierarchical weighted hash tree, with built-in functions only.
 
-A row descends from regions to racks to shards. At each level every child draws
-an exponential variate from the hash of the key and the child's name, divided by
-the child's weight (the sum of what lies under it); the smallest draw wins. A
-child whose weight grows can only win more keys, so rows move only into subtrees
-whose weights change. A shard added to a topology opens a region of its own, so
-that it takes rows only into itself.
+A row descends from regions to racks to shards by weighted hash draws. A shard
+draws an exponential variate from the hash of the key and its name, divided by
+its weight; a rack draws the least of its shards, a region the least of its racks,
+which are variates of the weight under them. At each level the smallest draw
+wins. Rows move only into or out of subtrees whose weights change, and a shard
+added anywhere takes rows only into itself.
 """
 
 from __future__ import annotations
@@ -37,47 +37,49 @@ class Topology:
 
 
 def topology(shards: int, racks_per_region: int = 2, shards_per_rack: int = 5) -> Topology:
-    """Full regions first; what is left over gets a region for each shard."""
+    """Regions of racks of shards, filled in order; the last ones may be partly filled."""
     size = racks_per_region * shards_per_rack
     regions = []
-    for r in range(shards // size):
-        racks = tuple((f"region{r}-rack{k}", tuple((r * size + k * shards_per_rack + s, 1.0) for s in range(shards_per_rack))) for k in range(racks_per_region))
-        regions.append((f"region{r}", racks))
-    tree = Topology(tuple(regions))
-    for _ in range(shards % size):
-        tree = tree.grown()
-    return tree
+    for r in range(0, shards, size):
+        racks = []
+        for k in range(r, min(r + size, shards), shards_per_rack):
+            racks.append((f"region{r // size}-rack{(k - r) // shards_per_rack}", tuple((s, 1.0) for s in range(k, min(k + shards_per_rack, shards)))))
+        regions.append((f"region{r // size}", tuple(racks)))
+    return Topology(tuple(regions))
 
 
 def _literal(tree: Topology) -> Column:
-    """The tree as one constant: regions of racks of shards, each with its name and weight."""
+    """The tree as one constant: regions of racks of shards, each shard with its name and weight."""
     regions = []
-    for region, racks in tree.regions:
+    for _, racks in tree.regions:
         below = []
-        for rack, leaves in racks:
+        for _, leaves in racks:
             shards = ", ".join(f"struct('shard{s}' AS name, {float(w)!r}D AS weight, {s} AS shard)" for s, w in leaves)
-            below.append(f"struct('{rack}' AS name, {float(sum(w for _, w in leaves))!r}D AS weight, array({shards}) AS below)")
-        weight = float(sum(w for _, leaves in racks for _, w in leaves))
-        regions.append(f"struct('{region}' AS name, {weight!r}D AS weight, array({', '.join(below)}) AS below)")
+            below.append(f"array({shards})")
+        regions.append(f"array({', '.join(below)})")
     return F.expr(f"array({', '.join(regions)})")
 
 
-def _winner(key: Column, children: Column) -> Column:
-    """The child with the smallest draw: an exponential variate from 52 bits of a hash; equal draws go by name."""
+def shard_of(key: Column, tree: Topology) -> Column:
+    """The shard of a key: the region, rack and shard of least draw.
+
+    A shard draws an exponential variate of its weight from 52 bits of a hash of
+    its name and the key; equal draws go to the lower number. A rack's draw is
+    the least of its shards', a region's the least of its racks': that is again an
+    exponential variate, of the weight of all below. So a change of weight in a
+    subtree moves rows into or out of that subtree only, and a new shard,
+    wherever it stands, takes rows into itself only.
+    """
+    key = F.coalesce(key.cast("string"), F.lit("null"))
 
     def draw(child: Column) -> Column:
         uniform = (F.shiftrightunsigned(F.xxhash64(child["name"], key), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
-        return F.struct((-F.log(uniform) / child["weight"]).alias("draw"), child.alias("child"))
+        return F.struct((-F.log(uniform) / child["weight"]).alias("draw"), child["shard"].alias("shard"))
 
-    return F.array_min(F.transform(children, draw))["child"]
+    def least(racks: Column) -> Column:
+        return F.array_min(F.transform(racks, lambda leaves: F.array_min(F.transform(leaves, draw))))
 
-
-def shard_of(key: Column, tree: Topology) -> Column:
-    """The shard of a key: one decision at each level of the tree."""
-    key = F.coalesce(key.cast("string"), F.lit("null"))
-    region = _winner(key, _literal(tree))
-    rack = _winner(key, region["below"])
-    return _winner(key, rack["below"])["shard"]
+    return F.array_min(F.transform(_literal(tree), least))["shard"]
 
 
 def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", slot_buckets: int = SLOT_BUCKETS) -> DataFrame:

@@ -1,8 +1,12 @@
 from __future__ import annotations
 
 import collections
+import math
 import zlib
 
+import pytest
+import xxhash
+
 from clauseweave.llm.sharding import assign_shards, shard_of, topology
 from pyspark.sql import functions as F
 
@@ -52,3 +56,35 @@ def test_weight_change_moves_rows_only_into_the_grown_subtree(spark):
 def test_every_count_of_shards():
     for n in range(1, 45):
         assert sorted(topology(n).shards()) == list(range(n))
+
+
+def plain_shard(key, tree):
+    """The level-by-level choice, recomputed with another implementation of the hash."""
+
+    def draw(leaf):
+        shard, weight = leaf
+        name = xxhash.xxh64_intdigest(f"shard{shard}".encode(), 42)
+        word = xxhash.xxh64_intdigest(str(key).encode(), name) >> 12
+        return -math.log((word + 0.5) / (1 << 52)) / weight, shard
+
+    region = min(tree.regions, key=lambda r: min(draw(x) for _, leaves in r[1] for x in leaves))
+    rack = min(region[1], key=lambda r: min(draw(x) for x in r[1]))
+    return min(draw(x) for x in rack[1])[1]
+
+
+def test_shards_recomputed(spark):
+    for tree in (topology(40), topology(13).grown(2.5), topology(1)):
+        rows = spark.range(-50, 1500).select("id", shard_of(F.col("id"), tree).alias("a")).collect()
+        assert [r.a for r in rows] == [plain_shard(r.id, tree) for r in rows]
+
+
+@pytest.mark.parametrize("first", [1, 9, 49, 99])
+def test_a_grown_tree_places_like_one_of_that_count(spark, first):
+    """Also at full racks and regions: every next count takes rows into its last shard only."""
+    counts = range(first, first + 13)
+    ids = spark.range(3000).select("id", *[shard_of(F.col("id"), topology(n)).alias(f"s{n}") for n in counts], *[shard_of(F.col("id"), topology(n).grown()).alias(f"g{n}") for n in counts])
+    for r in ids.collect():
+        for n in counts:
+            assert r[f"g{n}"] in (r[f"s{n}"], n)
+            if n + 1 in counts:
+                assert r[f"g{n}"] == r[f"s{n + 1}"]
