@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseweave.llm.common import BASE, mix64, text_or_empty, utf8, words
+from clauseweave.llm.common import BASE, mix64, text_or_empty, tidy, utf8, words
 from clauseweave.session import cut_lineage
 
 #: Masks of weight 5 to 6; the first is contiguous, for short exact passages.
@@ -161,7 +161,7 @@ def _search(shared, rule: Overlap):
                         ["doc_id", "item_id", "words", "needed"],
                     )
 
-    return search
+    return tidy(search)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Overlap = Overlap(), **columns: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseweave.llm.common import mix64, text_or_empty
+from clauseweave.llm.common import mix64, text_or_empty, tidy
 from clauseweave.session import cut_lineage
 
 #: Bits a row, hashes a row, bits of one piece of the filter, and bits of the largest filter (16 MB).
@@ -48,18 +48,26 @@ def _fill(bits: int):
     """Each task: the bits it set, and those it set twice, in pieces."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        times = np.zeros(bits, np.uint8)  # 0, 1 or 2 for more
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for cell in positions(batch.column("key").to_numpy(zero_copy_only=False), bits).T:
                 values, counts = np.unique(cell, return_counts=True)
-                times[values] = np.minimum(times[values] + np.minimum(counts, 2).astype(np.uint8), 2)
-        step = min(bits, PIECE_BITS)
-        for piece in range(bits // step):
-            part = times[piece * step : (piece + 1) * step]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "once": [np.packbits(part > 0).tobytes()], "twice": [np.packbits(part > 1).tobytes()]})
-
-    return fill
+                place = (values >> np.uint64(3)).astype(np.int64)
+                mask = np.uint8(128) >> (values & np.uint64(7)).astype(np.uint8)
+                first = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else place
+                if not len(first):
+                    continue
+                here, again = np.bitwise_or.reduceat(mask, first), np.bitwise_or.reduceat(np.where(counts > 1, mask, np.uint8(0)), first)
+                at = place[first]
+                twice[at] |= (once[at] & here) | again
+                once[at] |= here
+        step = min(bits, PIECE_BITS) // 8
+        for piece in range(bits // 8 // step):
+            part = slice(piece * step, (piece + 1) * step)
+            if once[part].any():
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "once": [once[part].tobytes()], "twice": [twice[part].tobytes()]})
+
+    return tidy(fill)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +118,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(maybe)], ["doc_id", "digest", "maybe"])
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    tested = cut_lineage(narrow.mapInArrow(test, f"doc_id {kind}, digest binary, maybe boolean"))
+    tested = cut_lineage(narrow.mapInArrow(tidy(test), f"doc_id {kind}, digest binary, maybe boolean"))
+    shared.destroy()
     alone = tested.filter("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     maybe = tested.filter("maybe").select("doc_id", "digest")
     groups = maybe.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseweave.llm.common import BASE, INVERSE, mix64, powers, text_or_empty, utf8
+from clauseweave.llm.common import BASE, INVERSE, mix64, powers, text_or_empty, tidy, utf8
 from clauseweave.llm.exact_dedup import filter_bits, maybe_among, repeated_bits
 from clauseweave.llm.storage import Workspace
 
@@ -401,7 +401,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     result = Workspace(spark)
     texts = docs.select(text_or_empty(text_col).alias("text"))
     with Workspace(spark) as work:
-        everything = work.store(texts.mapInArrow(_list_contexts(length), "anchor long, context long, occurrence long, text_key binary, start int, strings int"))
+        everything = work.store(texts.mapInArrow(tidy(_list_contexts(length)), "anchor long, context long, occurrence long, text_key binary, start int, strings int"))
         bits = filter_bits(everything.count(), FILTER_BITS)
         repeated = spark.sparkContext.broadcast(repeated_bits(everything.select(F.col("anchor").alias("key")), bits))
 
@@ -409,8 +409,9 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             for batch in batches:
                 yield batch.filter(pa.array(maybe_among(repeated.value, bits, batch.column("anchor"))))
 
-        rows = work.store(everything.mapInArrow(keep, everything.schema))
+        rows = work.store(everything.mapInArrow(tidy(keep), everything.schema))
         work.drop(everything)
+        repeated.destroy()
         groups = work.store(
             rows.groupBy("anchor", "context").agg(F.min("occurrence").alias("occurrence"), F.max("occurrence").alias("other"), F.min("strings").alias("strings")).withColumn("twice", F.col("occurrence") != F.col("other")).drop("other")
         )
@@ -420,13 +421,14 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         want_bits = filter_bits(wanted.count(), FILTER_BITS)
         keys = wanted.select(F.col("occurrence").alias("key"))
         wanted_filter = spark.sparkContext.broadcast(repeated_bits(keys.union(keys), want_bits))
-        pieces = work.store(texts.mapInArrow(_cut_out(length, wanted_filter, want_bits), "anchor long, context long, occurrence long, bytes binary"))
+        pieces = work.store(texts.mapInArrow(tidy(_cut_out(length, wanted_filter, want_bits)), "anchor long, context long, occurrence long, bytes binary"))
+        wanted_filter.destroy()
         crowded = groups.join(open_.filter(F.col("contexts") > MOST_CONTEXTS).select("anchor"), "anchor").select("anchor", "context", "twice")
         few = pieces.join(open_.filter(F.col("contexts") <= MOST_CONTEXTS).select("anchor"), "anchor")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         few = few.repartition(parts, "anchor").sortWithinPartitions("anchor").select("anchor", "context", "occurrence", "bytes")
-        merged = few.mapInArrow(_merge_buckets(length), f"anchor long, context long, ranges {RANGES}")
-        strings = pieces.join(crowded, ["anchor", "context"]).mapInArrow(_single_strings(length), "anchor long, string long, occurrence long, context long, place int, twice boolean")
+        merged = few.mapInArrow(tidy(_merge_buckets(length)), f"anchor long, context long, ranges {RANGES}")
+        strings = pieces.join(crowded, ["anchor", "context"]).mapInArrow(tidy(_single_strings(length)), "anchor long, string long, occurrence long, context long, place int, twice boolean")
         strings = work.store(strings)
         twice = strings.groupBy("anchor", "string").agg(F.min("occurrence").alias("a"), F.max("occurrence").alias("b")).filter("a <> b").select("anchor", "string")
         # Contexts that occur twice are settled; their strings only count as partners.
@@ -439,16 +441,17 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         spans = rows.join(answers, ["anchor", "context"]).select("text_key", F.expr("transform(ranges, r -> named_struct('lo', start + r.lo, 'hi', start + r.hi))").alias("ranges"))
         by_text = result.store(spans.groupBy("text_key").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
     # Texts that occur in several rows go whole.
-    narrow = result.store(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(_keys, f"doc_id {docs.select(F.col(id_col).alias('i')).schema['i'].dataType.simpleString()}, text_key binary, n_bytes long"))
+    narrow = result.store(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(tidy(_keys), f"doc_id {docs.select(F.col(id_col).alias('i')).schema['i'].dataType.simpleString()}, text_key binary, n_bytes long"))
     copied = narrow.filter(F.col("n_bytes") >= length).groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), F.min("n_bytes").cast("int").alias("size")).filter("n > 1")
     all_ranges = result.store(by_text.join(copied, "text_key", "full").select("text_key", F.expr("CASE WHEN n > 1 THEN array(named_struct('lo', 0, 'hi', size)) ELSE ranges END").alias("ranges")))
     text_bits = filter_bits(all_ranges.count(), FILTER_BITS)
-    heads = all_ranges.select("text_key").mapInArrow(_heads, "key long")
+    heads = all_ranges.select("text_key").mapInArrow(tidy(_heads), "key long")
     touched = spark.sparkContext.broadcast(repeated_bits(heads.union(heads), text_bits))
-    kept = result.store(texts.mapInArrow(_kept(length, touched, text_bits), "text_key binary, n_bytes long, kept_sha256 string, text binary"))
+    kept = result.store(texts.mapInArrow(tidy(_kept(length, touched, text_bits)), "text_key binary, n_bytes long, kept_sha256 string, text binary"))
+    touched.destroy()
     clean = kept.filter("text IS NULL").select("text_key", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256", F.expr(f"cast(array() AS {RANGES})").alias("removed"))
     cut = kept.filter("text IS NOT NULL").join(all_ranges, "text_key", "left").select("text_key", "n_bytes", "text", "kept_sha256", "ranges")
-    cut = cut.mapInArrow(_remove, f"text_key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed {RANGES}").drop("n_bytes")
+    cut = cut.mapInArrow(tidy(_remove), f"text_key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed {RANGES}").drop("n_bytes")
     per_text = clean.unionByName(cut).groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256", "removed")])
     return narrow.join(per_text, "text_key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
 

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseweave.llm.common import text_or_empty
+from clauseweave.llm.common import text_or_empty, tidy
 
 #: The sample: at most so many labelled texts of each class, by a hash of their id, and so many windows of 256 bytes spread over each.
 SAMPLE_TEXTS, SAMPLE_WINDOWS = 1500, 24
@@ -212,7 +212,7 @@ def scorer(model: Model):
             score = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*batch.schema.names[:-1], "score"])
 
-    return score
+    return tidy(score)
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
