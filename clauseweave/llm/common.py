@@ -79,10 +79,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: The powers of a base up to the length of one step, made once a worker.
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
+    """The powers 0 to n of a base, modulo 2^64. Read only."""
+    known = _POWERS.get(base)
+    if known is not None and len(known) > n:
+        return known[: n + 1]
     out = np.full(n + 1, base, np.uint64)
     out[0] = 1
-    return np.multiply.accumulate(out)
+    out = np.multiply.accumulate(out)
+    if n <= STEP_BYTES:
+        _POWERS[base] = out
+    return out
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

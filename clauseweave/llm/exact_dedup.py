@@ -51,16 +51,18 @@ def _fill(bits: int):
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for cell in positions(batch.column("key").to_numpy(zero_copy_only=False), bits).T:
-                values, counts = np.unique(cell, return_counts=True)
-                place = (values >> np.uint64(3)).astype(np.int64)
-                mask = np.uint8(128) >> (values & np.uint64(7)).astype(np.uint8)
-                first = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else place
+                cell = np.sort(cell)
+                place = (cell >> np.uint64(3)).astype(np.int64)
+                mask = np.uint8(128) >> (cell & np.uint64(7)).astype(np.uint8)
+                first = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
                 if not len(first):
                     continue
-                here, again = np.bitwise_or.reduceat(mask, first), np.bitwise_or.reduceat(np.where(counts > 1, mask, np.uint8(0)), first)
-                at = place[first]
-                twice[at] |= (once[at] & here) | again
-                once[at] |= here
+                again = np.flatnonzero(cell[1:] == cell[:-1])
+                np.bitwise_or.at(twice, place[again], mask[again])
+                here, at = np.bitwise_or.reduceat(mask, first), place[first]
+                before = once[at]
+                twice[at] |= before & here
+                once[at] = before | here
         step = min(bits, PIECE_BITS) // 8
         for piece in range(bits // 8 // step):
             part = slice(piece * step, (piece + 1) * step)

@@ -54,7 +54,7 @@ def _least(value: np.ndarray, width: int) -> np.ndarray:
         a, b = value[:-shift], value[shift:]
         right = b < a
         place = np.where(right, place[shift:], place[:-shift])
-        value = np.where(right, b, a)
+        value = np.minimum(a, b)
         size += shift
     return place
 
