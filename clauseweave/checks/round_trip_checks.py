@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 
 from clauseweave import settings as S
 from clauseweave.checks import derived as D
+from clauseweave.checks import power_checks
 from clauseweave.checks.derived import rounded
 from clauseweave.checks.label_checks import _SPLIT_SQL, _prepared
 from clauseweave.checks.registry import query, table
 from clauseweave.operators import keyed as K
 from clauseweave.operators import splits as P
-from clauseweave.operators.summaries import unscored_clauses
+from clauseweave.operators.summaries import report_rows, unscored_clauses
+from clauseweave.plans.analysis import analyse_contracts
 from clauseweave.session import shared_folder
 from clauseweave.sources import datasets
+from clauseweave.sources.filings import read_filings
 from clauseweave.sources.store import ClauseStore, read_dynamic_taxonomy, write_dynamic_taxonomy
 
 
@@ -107,3 +110,70 @@ def unknown_label_names(spark, folder):
     used = D.labelled_clauses(spark, folder).select(F.explode_outer("clause_types").alias("name"))
     known = spark.createDataFrame([(t,) for t in S.CLAUSE_TYPES], "name string")
     return K.new_names(used, known)
+
+
+def _analysis(spark, folder, version: int, store: ClauseStore):
+    """Uploads through the analysis, with types and anomaly scores that follow from the id."""
+    names = F.array(*[F.lit(t) for t in S.CLAUSE_TYPES])
+    score = D.hex_digit("clause_id", 4) * F.lit(100.0) / 15 * F.lit(1.0 if version > 1 else 0.5)
+
+    def classify(clauses):
+        one = F.array(F.element_at(names, D.hex_digit("clause_id", 2) % 7 + 1))
+        return clauses.withColumn("clause_types", F.when(D.hex_digit("clause_id", 1) < 14, one).otherwise(F.array().cast("array<string>")))
+
+    def find_anomalies(clauses):
+        return clauses.withColumns({"anomaly_score": score, "is_anomalous": score > S.ANOMALY_FLAG_ABOVE})
+
+    uploads = D.contract_texts(spark, folder).withColumn("filename", F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")))
+    return analyse_contracts(store, uploads, classify, find_anomalies, lambda c: power_checks._with_tone(spark, folder, c), version=version)
+
+
+@query(
+    "analyse_contracts",
+    f"""WITH {power_checks._TYPED_SQL},
+    counts AS (SELECT contract_id, primary_type, count(*) AS n FROM typed WHERE primary_type IS NOT NULL GROUP BY ALL),
+    dominant AS (SELECT contract_id, primary_type FROM counts
+      QUALIFY row_number() OVER (PARTITION BY contract_id ORDER BY n DESC, primary_type) = 1),
+    totals AS (SELECT contract_id, count(*) AS total_clauses, count(*) FILTER (anomaly_score > 70) AS anomalous_clauses,
+      round(avg(power_imbalance_score), 5) AS overall_imbalance_index, round(sum(anomaly_score), 4) AS anomaly_total FROM typed GROUP BY contract_id)
+    SELECT c.contract_id, 'doc_'||c.doc_id||'.txt' AS filename, t.overall_imbalance_index, t.total_clauses, t.anomalous_clauses,
+      d.primary_type AS dominant_clause_type, t.anomaly_total FROM contracts c LEFT JOIN totals t USING (contract_id) LEFT JOIN dominant d USING (contract_id)""",
+)
+def analyse_whole_contracts(spark, folder):
+    """The analysis end to end, twice: contracts, clauses, newest scores and newest results are read back from the store."""
+    store = ClauseStore(spark, _folder(spark))
+    _analysis(spark, folder, 1, store)
+    results = _analysis(spark, folder, 2, store)
+    totals = store.scored_clauses().groupBy("contract_id").agg(F.round(F.sum("anomaly_score"), 4).alias("anomaly_total"))
+    columns = ["overall_imbalance_index", "total_clauses", "anomalous_clauses", "dominant_clause_type"]
+    out = store.contracts().select("contract_id", "filename").join(results.select("contract_id", *columns), "contract_id", "left").join(totals, "contract_id", "left")
+    return rounded(out, "overall_imbalance_index", digits=5)
+
+
+@query(
+    "contract_lookup",
+    f"""WITH {power_checks._TYPED_SQL},
+    own AS (SELECT * FROM typed WHERE contract_id = (SELECT min(contract_id) FROM typed))
+    SELECT contract_id, row_number() OVER (ORDER BY position, clause_id) AS row_no, count(*) OVER () AS total_rows,
+      coalesce(primary_type, 'Unclassified') AS clause_type, printf('%.1f', anomaly_score) AS anomaly_score,
+      CASE WHEN anomaly_score > 70 THEN 'YES' ELSE 'NO' END AS anomaly_flag,
+      printf('%+.1f', round(power_imbalance_score, 1)) AS imbalance_score, imbalance_label AS label FROM own""",
+)
+def contract_lookup(spark, folder):
+    """The report of one contract, whichever id comes first."""
+    first = D.contract_clauses(spark, folder).agg(F.min("contract_id")).first()[0]
+    return report_rows(power_checks.analysed_clauses(spark, folder), first)
+
+
+@query(
+    "filing_files",
+    """WITH t AS (SELECT md5(text || chr(10)) AS digest FROM documents) SELECT digest, count(*) AS n FROM t GROUP BY digest""",
+)
+def filing_files(spark, folder):
+    """Every document as a file of its own, half of them with other line ends, through the folder scan."""
+    path = _folder(spark)
+    other = F.replace("text", F.lit("\n"), F.lit("\r\n"))
+    texts = table(spark, folder, "documents").select(F.when(F.col("doc_id") % 2 == 0, other).otherwise(F.col("text")).alias("value"))
+    texts.write.option("maxRecordsPerFile", 1).text(path)
+    read = read_filings(spark, path)
+    return read.groupBy(F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("n"))

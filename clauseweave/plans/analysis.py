@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,14 @@ from clauseweave.functions import labels as L
 from clauseweave.functions import lexical as X
 from clauseweave.functions import text as T
 from clauseweave.operators import clusters as C
+from clauseweave.operators.segmentation import upload_clauses
 from clauseweave.operators.splits import clean_labelled, stratified_split, with_primary_type
-from clauseweave.operators.summaries import with_length_score
+from clauseweave.operators.summaries import analysis_rows, contract_summary, with_length_score
+from clauseweave.session import cut_lineage, scratch
+from clauseweave.sources.store import ClauseStore, uploaded_contracts
+
+#: A table of clauses in, the same clauses with more columns out.
+Step = Callable[[DataFrame], DataFrame]
 
 
 def score_imbalance(
@@ -29,6 +37,39 @@ def score_imbalance(
     return X.with_leverage(with_length_score(staged, length_fit))
 
 
+def analyse_contracts(
+    store: ClauseStore,
+    uploads: DataFrame,
+    classify: Step,
+    find_anomalies: Step,
+    tone: Step | None = None,
+    sentiment_col: str = "tone",
+    version: int = 1,
+    source: str = "upload",
+) -> DataFrame:
+    """Uploaded texts (contract_id, filename, text) through the whole analysis and into the store.
+
+    ``classify`` adds clause_types, ``find_anomalies`` anomaly_score and
+    is_anomalous, ``tone`` a map of class probabilities; each takes and returns
+    a table of clauses. Contracts and clauses that are stored stay as they are;
+    scores get ``version``, and each contract with clauses one more result row.
+    Returns the newest result of every stored contract.
+    """
+    with scratch(uploads.sparkSession):
+        clauses = cut_lineage(upload_clauses(uploads, source))
+        typed = find_anomalies(classify(clauses if tone is None else tone(clauses)))
+        scored = cut_lineage(score_imbalance(typed, None if tone is None else sentiment_col))
+        store.save_clauses(scored, [F.col("position")])
+        store.append_scores(scored, version)
+        summary = contract_summary(scored)
+        named = summary.withColumns({"party_a": F.lit("Party A"), "party_b": F.lit("Party B")})
+        metadata = F.struct("party_a", "party_b", "dominant_party", "report_band")
+        store.append_results(analysis_rows(named, metadata, F.current_timestamp()))
+        # Contracts last: a contract row marks the upload as fully analysed.
+        store.save_contracts(uploaded_contracts(uploads, source))
+    return store.latest_results()
+
+
 def build_splits(clauses: DataFrame, **options) -> DataFrame:
     """Stored clauses to a labelled train/val/test table."""
     return stratified_split(with_primary_type(clean_labelled(clauses)), **options)

@@ -79,6 +79,12 @@ class ClauseStore:
     def append_results(self, results: DataFrame) -> None:
         results.write.mode("append").parquet(self.path("results"))
 
+    def latest_results(self) -> DataFrame:
+        """The newest result of each contract; of equal times the largest row."""
+        columns = ["created_at", *[c.strip().split(" ")[0] for c in RESULTS.split(", ")][1:-1]]
+        newest = self.results().groupBy("contract_id").agg(F.max(F.struct(*columns)).alias("r"))
+        return newest.select("contract_id", "r.*")
+
     def append_scores(self, scores: DataFrame, version: int) -> None:
         """Add scores of clauses; a row of a higher version replaces a lower one when read."""
         named = [c.strip().split(" ") for c in SCORES.split(", ")]
