@@ -15,7 +15,8 @@ from clauseweave.functions import ids
 from clauseweave.functions import lexical as X
 from clauseweave.functions import text as T
 from clauseweave.operators import summaries as M
-from clauseweave.operators.attribution import FEATURES, masked_text, top_words, with_feature_attribution
+from clauseweave.operators.attribution import FEATURES, masked_text, top_words, with_feature_attribution, with_word_attribution
+from clauseweave.operators.inference import with_model_output
 from clauseweave.plans.analysis import clause_listing, score_imbalance
 
 SCORES = ["sentiment_score", "modal_score", "obligation_score", "assertiveness_score", "length_score"]
@@ -366,6 +367,39 @@ def top_attributed_words(spark, folder):
     return tops.select("doc_id", (F.col("p") + 1).alias("rank"), "t.word", "t.value")
 
 
+def _toy_model():
+    """A model that adds up over words: by their lengths, nothing for a mask."""
+    import numpy as np
+
+    def predict(texts):
+        return np.array([[sum(0.0 if w == "[MASK]" else (len(w) * 7 % 11 - 5) / 10 for w in t.split())] for t in texts])
+
+    return predict
+
+
+@query(
+    "word_attribution",
+    """WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS words FROM documents),
+    sized AS (SELECT doc_id, words, ceil(len(words) / 63.0::DOUBLE)::BIGINT AS run FROM w WHERE len(words) > 0),
+    v AS (SELECT doc_id, run, unnest(words) AS word, unnest(range(len(words))) AS i FROM sized),
+    g AS (SELECT doc_id, i // run AS segment, sum(CASE WHEN word = '[MASK]' THEN 0 ELSE (length(word) * 7 % 11 - 5) / 10.0::DOUBLE END) AS value
+      FROM v GROUP BY ALL),
+    r AS (SELECT doc_id, i, word, round(value, 6) AS value FROM v JOIN g USING (doc_id) WHERE i // run = segment)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY abs(value) DESC, i) AS rank, word, value FROM r QUALIFY rank <= 20""",
+)
+def word_attribution(spark, folder):
+    """Every document through a model that adds up over words, whose attributions SQL can state."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+
+    def score(texts):
+        out = with_model_output(texts, _toy_model, "text", "_output")
+        return out.withColumn("score", F.round(F.element_at("_output", 1), 6))
+
+    found = with_word_attribution(docs, score, "doc_id", "text")
+    tops = found.select("doc_id", F.posexplode_outer("top_words").alias("p", "t")).where("p IS NOT NULL")
+    return tops.select("doc_id", (F.col("p") + 1).alias("rank"), "t.word", F.round("t.value", 6).alias("value"))
+
+
 @query(
     "analysis_metadata",
     """WITH latest AS (

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import factorial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseweave import settings as S
+from clauseweave.session import cut_lineage
 
 FEATURES = [
     "sentiment_score", "modal_score", "obligation_score", "assertiveness_score", "length_score",
@@ -84,3 +86,71 @@ def top_words(words: Column, values: Column, k: int = 20) -> Column:
     return F.transform(
         F.slice(F.array_sort(rows), 1, k), lambda r: F.struct(r["word"].alias("word"), r["value"].alias("value"))
     )
+
+
+def segments(words: Column, most: int) -> Column:
+    """Words cut into at most ``most`` runs of equal length (the last may be shorter), in order."""
+    return F.transform(words, lambda _, i: F.floor(i / F.ceil(F.size(words) / F.lit(float(most)))).cast("int"))
+
+
+def sign(mask: Column, segment: Column) -> Column:
+    """1 where the mask keeps the segment, -1 where it hides it: a row of a Hadamard matrix.
+
+    Over all masks each segment is kept in one half, and any two segments are kept
+    together in one quarter, so effects of segments do not mix.
+    """
+    return F.lit(1) - F.lit(2) * (F.bit_count(mask.bitwiseAND(segment + 1)) % 2)
+
+
+def masked_copies(clauses: DataFrame, key: str, text_col: str, runs: int) -> DataFrame:
+    """(key, mask, text): every clause under each of its masks.
+
+    A clause of few segments needs the next power of two above their number of
+    masks, others ``runs``. Clauses without words give no rows.
+    """
+    staged = clauses.select(key, F.filter(F.split(text_col, r"\s+"), lambda w: w != "").alias("_words"))
+    staged = staged.withColumn("_segments", segments(F.col("_words"), runs - 1)).where(F.size("_words") > 0)
+    count = F.element_at("_segments", -1) + 1
+    # The least power of two above the number of segments.
+    needed = F.expr("shiftleft(1, length(bin(_count)))")
+    masks = F.explode(F.sequence(F.lit(0), F.col("_needed") - 1)).alias("mask")
+    copies = staged.withColumn("_count", count).withColumn("_needed", needed).select(key, "_words", "_segments", masks)
+    keep = F.transform("_segments", lambda g: (sign(F.col("mask"), g) + 1) / 2)
+    return copies.select(key, "mask", masked_text(F.col("_words"), keep).alias("text"))
+
+
+def with_word_attribution(
+    clauses: DataFrame,
+    score: Callable[[DataFrame], DataFrame],
+    key: str = "clause_id",
+    text_col: str = "clause_text",
+    runs: int = 64,
+    top: int = 20,
+) -> DataFrame:
+    """Add ``top_words``: the words that move a model's score most when they are hidden.
+
+    ``score`` adds ``score`` (double) to a table with a ``text`` column, say by
+    ``inference.with_model_output``; it sees each distinct masked text once. Every
+    clause is scored under the masks of a two-level Hadamard design over its words
+    (over runs of words, where there are ``runs`` or more), and a word's value is
+    the least-squares effect of keeping it: the mean score with it less the mean
+    without. For a score that adds up over words this is each word's own share.
+    Clauses without words get an empty list; rows that repeat a key are errors of
+    the caller.
+    """
+    # Keyed by a digest, so that equal clauses and equal masks are scored once.
+    copies = cut_lineage(masked_copies(clauses, key, text_col, runs).withColumn("_digest", F.sha2("text", 256)))
+    distinct = copies.groupBy("_digest").agg(F.min("text").alias("text"))
+    values = cut_lineage(score(distinct).select("_digest", F.col("score").cast("double").alias("score")))
+    scored = copies.select(key, "mask", "_digest").join(values, "_digest")
+    # One sum a segment, partly taken before the shuffle: sufficient statistics of the fit.
+    sums = [F.sum(sign(F.col("mask"), F.lit(g)) * F.col("score")).alias(f"_{g}") for g in range(runs - 1)]
+    fitted = scored.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *sums)
+    # Half of the masks keep a word: the difference of the two means is the signed sum over half the masks.
+    effects = fitted.select(F.col(key).alias("_key"), F.array(*[F.col(f"_{g}") * 2 / F.col("_n") for g in range(runs - 1)]).alias("_effects"))
+    joined = clauses.join(effects, F.col(key) == F.col("_key"), "left")
+    words = F.filter(F.split(text_col, r"\s+"), lambda w: w != "")
+    staged = joined.withColumn("_words", words).withColumn("_values", F.transform(segments(F.col("_words"), runs - 1), lambda g: F.round(F.get("_effects", g), 9)))
+    empty = F.array().cast("array<struct<word:string,value:double>>")
+    # Rounded, so that equal effects tie whatever the order of their sums.
+    return staged.withColumn("top_words", F.when(F.size("_words") > 0, top_words(F.col("_words"), F.col("_values"), top)).otherwise(empty)).drop("_key", "_effects", "_words", "_values")
