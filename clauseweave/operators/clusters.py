@@ -71,6 +71,13 @@ def term_lists(clauses: DataFrame, text_col: str, stop_words: Sequence[str]) ->
     return pairs.withColumn("terms", F.concat("_kept", "_pairs")).drop("_tokens", "_kept", "_pairs")
 
 
+def counted(column: str) -> Column:
+    """(term, n) of every distinct term of an array, from the runs of the sorted array."""
+    runs = "filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i] <> s[greatest(i - 1, 0)])"
+    pairs = f"transform(array({runs}), r -> transform(r, (p, i) -> named_struct('term', s[p], 'n', bigint(coalesce(get(r, i + 1), size(s)) - p))))[0]"
+    return F.expr(f"CASE WHEN size({column}) > 0 THEN transform(array(array_sort({column})), s -> {pairs})[0] END")
+
+
 def english_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
@@ -85,16 +92,15 @@ def cluster_keywords(
     """Terms of highest mean TF-IDF per cluster: (cluster_id, rank, term, weight).
 
     Every term counts unless ``vocabulary_size`` keeps the most frequent ones
-    (ties by name). Counts are kept per row and term, so nothing grows with the
-    vocabulary on the driver or in one task. Noise rows count for document
-    frequencies but get no keywords.
+    (ties by name). Terms are counted inside their row, so only (row, term, count)
+    meets the frequencies and nothing grows with the vocabulary on the driver or in
+    one task. Noise rows count for document frequencies but get no keywords.
     """
     stop_words = english_stop_words() if stop_words is None else stop_words
     listed = term_lists(clauses.select("cluster_id", text_col), text_col, stop_words)
     # Stored, so that the row numbers stay the same in every later pass.
     listed = cut_lineage(listed.select("cluster_id", "terms", F.monotonically_increasing_id().alias("_row")))
-    exploded = listed.select("_row", "cluster_id", F.explode("terms").alias("term"))
-    counts = cut_lineage(exploded.groupBy("_row", "cluster_id", "term").agg(F.count(F.lit(1)).alias("n")))
+    counts = listed.select("_row", "cluster_id", F.explode(counted("terms")).alias("c")).select("_row", "cluster_id", "c.term", "c.n")
     rows = listed.count()
     frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"))
     if vocabulary_size is not None:

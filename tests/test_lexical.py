@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clauseweave import settings as S
 from clauseweave.functions import lexical as X
-from clauseweave.operators.attribution import FEATURES, with_feature_attribution
+from clauseweave.operators.attribution import FEATURES, with_feature_attribution, with_word_attribution
 from clauseweave.operators.summaries import contract_summary, length_statistics, with_length_score
 from clauseweave.plans.analysis import score_imbalance
 
@@ -116,3 +116,25 @@ def test_summary_ties_and_gaps(spark):
     got = {r.contract_id: r for r in contract_summary(df).collect()}
     assert (got["c"].dominant_clause_type, got["c"].overall_imbalance_index, got["c"].anomalous_clauses) == ("A", 3.0, 1)
     assert (got["d"].dominant_clause_type, got["d"].overall_imbalance_index, got["d"].dominant_party) == (None, 0.0, "Balanced")
+
+
+def test_word_attribution_of_any_clause(spark):
+    texts = ["pay", "", None, "  ", "shall pay the fee now", "the the the pay", " ".join(f"w{i} pay" for i in range(90))]
+    rows = spark.createDataFrame([(f"c{i}", t, 7) for i, t in enumerate(texts)], "clause_id string, clause_text string, score int")
+
+    def score(table):
+        seen = table.count()
+        assert seen == table.select("text").distinct().count()
+        words = F.split("text", " ")
+        return table.withColumn("score", F.size(F.filter(words, lambda w: w == "pay")) * 2.0 - F.size(F.filter(words, lambda w: w == "the")))
+
+    found = {r.clause_id: r for r in with_word_attribution(rows, score).collect()}
+    assert len(found) == len(texts) and all(r.score == 7 for r in found.values())
+    for i in (1, 2, 3):
+        assert found[f"c{i}"].top_words == []
+    assert [tuple(w) for w in found["c0"].top_words] == [("pay", 2.0)]
+    assert [tuple(w) for w in found["c4"].top_words] == [("pay", 2.0), ("the", -1.0), ("shall", 0.0), ("fee", 0.0), ("now", 0.0)]
+    assert [tuple(w) for w in found["c5"].top_words] == [("pay", 2.0), ("the", -1.0), ("the", -1.0), ("the", -1.0)]
+    # 180 words in 60 runs of three: a run of two "pay" has twice the value of a run of one.
+    long = found["c6"].top_words
+    assert len(long) == 20 and {w.value for w in long} == {4.0}
