@@ -395,7 +395,7 @@ def word_attribution(spark, folder):
         out = with_model_output(texts, _toy_model, "text", "_output")
         return out.withColumn("score", F.round(F.element_at("_output", 1), 6))
 
-    found = with_word_attribution(docs, score, "doc_id", "text")
+    found = with_word_attribution(docs, score, "text")
     tops = found.select("doc_id", F.posexplode_outer("top_words").alias("p", "t")).where("p IS NOT NULL")
     return tops.select("doc_id", (F.col("p") + 1).alias("rank"), "t.word", F.round("t.value", 6).alias("value"))
 

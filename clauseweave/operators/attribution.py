@@ -122,7 +122,6 @@ def masked_copies(clauses: DataFrame, key: str, text_col: str, runs: int) -> Dat
 def with_word_attribution(
     clauses: DataFrame,
     score: Callable[[DataFrame], DataFrame],
-    key: str = "clause_id",
     text_col: str = "clause_text",
     runs: int = 64,
     top: int = 20,
@@ -130,25 +129,24 @@ def with_word_attribution(
     """Add ``top_words``: the words that move a model's score most when they are hidden.
 
     ``score`` adds ``score`` (double) to a table with a ``text`` column, say by
-    ``inference.with_model_output``; it sees each distinct masked text once. Every
+    ``inference.with_model_output``; it sees the masked copies of each distinct text
+    once. They are made where they are scored and stored nowhere. Every
     clause is scored under the masks of a two-level Hadamard design over its words
     (over runs of words, where there are ``runs`` or more), and a word's value is
     the least-squares effect of keeping it: the mean score with it less the mean
     without. For a score that adds up over words this is each word's own share.
-    Clauses without words get an empty list; rows that repeat a key are errors of
-    the caller.
+    Clauses without words get an empty list.
     """
-    # Keyed by a digest, so that equal clauses and equal masks are scored once.
-    copies = cut_lineage(masked_copies(clauses, key, text_col, runs).withColumn("_digest", F.sha2("text", 256)))
-    distinct = copies.groupBy("_digest").agg(F.min("text").alias("text"))
-    values = cut_lineage(score(distinct).select("_digest", F.col("score").cast("double").alias("score")))
-    scored = copies.select(key, "mask", "_digest").join(values, "_digest")
-    # One sum a segment, partly taken before the shuffle: sufficient statistics of the fit.
+    # Keyed by a digest, so that equal clauses are scored once; only texts move, not their copies.
+    digest = F.sha2(text_col, 256)
+    texts = clauses.select(digest.alias("_digest"), F.col(text_col).alias("_text")).groupBy("_digest").agg(F.min("_text").alias("_text"))
+    scored = score(masked_copies(texts, "_digest", "_text", runs)).select("_digest", "mask", F.col("score").cast("double").alias("score"))
+    # One sum a segment: sufficient statistics of the fit.
     sums = [F.sum(sign(F.col("mask"), F.lit(g)) * F.col("score")).alias(f"_{g}") for g in range(runs - 1)]
-    fitted = scored.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *sums)
+    fitted = scored.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), *sums)
     # Half of the masks keep a word: the difference of the two means is the signed sum over half the masks.
-    effects = fitted.select(F.col(key).alias("_key"), F.array(*[F.col(f"_{g}") * 2 / F.col("_n") for g in range(runs - 1)]).alias("_effects"))
-    joined = clauses.join(effects, F.col(key) == F.col("_key"), "left")
+    effects = cut_lineage(fitted.select(F.col("_digest").alias("_key"), F.array(*[F.col(f"_{g}") * 2 / F.col("_n") for g in range(runs - 1)]).alias("_effects")))
+    joined = clauses.join(effects, digest == F.col("_key"), "left")
     words = F.filter(F.split(text_col, r"\s+"), lambda w: w != "")
     staged = joined.withColumn("_words", words).withColumn("_values", F.transform(segments(F.col("_words"), runs - 1), lambda g: F.round(F.get("_effects", g), 9)))
     empty = F.array().cast("array<struct<word:string,value:double>>")

@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from clauseweave.operators import attribution
 from clauseweave.operators import clusters as C
 from clauseweave.session import cut_lineage
 
@@ -39,3 +40,25 @@ def test_keywords_in_slices(spark, monkeypatch):
     assert ranked() == whole and ranked(vocabulary_size=4) == few
     assert {c for c, _ in whole} == {0, 1} and len(whole) == 20
     assert len({t for t, _ in few.values()}) == 4
+
+
+def test_masked_copies_are_not_stored(spark, monkeypatch):
+    stored = []
+
+    def watched(df, **options):
+        stored.append(df.columns)
+        return cut_lineage(df, **options)
+
+    monkeypatch.setattr(attribution, "cut_lineage", watched)
+    rows = spark.createDataFrame([(1, "pay the fee"), (2, "pay the fee"), (3, None), (4, "fee")], "clause_id int, clause_text string")
+    # Equal texts are scored once, and get their words in every row.
+    seen = []
+
+    def score(table):
+        seen.append(table.count())
+        return table.withColumn("score", F.size(F.filter(F.split("text", " "), lambda w: w == "fee")).cast("double"))
+
+    found = {r.clause_id: [tuple(w) for w in r.top_words] for r in attribution.with_word_attribution(rows, score).collect()}
+    assert found == {1: [("fee", 1.0), ("pay", 0.0), ("the", 0.0)], 2: [("fee", 1.0), ("pay", 0.0), ("the", 0.0)], 3: [], 4: [("fee", 1.0)]}
+    assert seen == [4 + 2]
+    assert not any("text" in columns for columns in stored)
