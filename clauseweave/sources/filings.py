@@ -15,10 +15,17 @@ from clauseweave.functions import text as T
 from clauseweave.operators.keyed import absent_from_store
 from clauseweave.session import cut_lineage
 
+#: Splits of a folder scan: at least so many a core, up to so many joined in a task.
+SPLITS_A_CORE, SPLITS_A_TASK = 4, 16
+
 
 def read_filings(spark: SparkSession, folder: str) -> DataFrame:
     """All ``*.txt`` files of a folder as (file_name, text); bad bytes replaced."""
     raw = spark.read.format("text").option("wholetext", "true").option("pathGlobFilter", "*.txt").load(folder)
+    # Spark counts 4 MB for opening a file, so a scan of small ones has a task for every 32 of them.
+    splits, least = raw.rdd.getNumPartitions(), SPLITS_A_CORE * spark.sparkContext.defaultParallelism
+    if splits > least:
+        raw = raw.coalesce(max(least, splits // SPLITS_A_TASK))
     return raw.select(
         F.col("_metadata.file_name").alias("file_name"), unix_lines(F.col("value")).alias("text")
     )

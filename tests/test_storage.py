@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from clauseweave.operators import attribution
 from clauseweave.operators import clusters as C
 from clauseweave.session import cut_lineage
+from clauseweave.sources import filings
 
 
 def shuffle_files(spark) -> int:
@@ -62,3 +63,11 @@ def test_masked_copies_are_not_stored(spark, monkeypatch):
     assert found == {1: [("fee", 1.0), ("pay", 0.0), ("the", 0.0)], 2: [("fee", 1.0), ("pay", 0.0), ("the", 0.0)], 3: [], 4: [("fee", 1.0)]}
     assert seen == [4 + 2]
     assert not any("text" in columns for columns in stored)
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(1500):
+        (tmp_path / f"{i}.txt").write_text(f"text {i}\r\n")
+    read = filings.read_filings(spark, str(tmp_path))
+    assert read.rdd.getNumPartitions() <= filings.SPLITS_A_CORE * spark.sparkContext.defaultParallelism
+    assert {(r.file_name, r.text) for r in read.collect()} == {(f"{i}.txt", f"text {i}\n") for i in range(1500)}
