@@ -161,6 +161,29 @@ def test_neighbours_like_brute_force(spark, rows):
     assert hits >= 0.95 * len(v) * min(15, len(v) - 1)
 
 
+@pytest.mark.parametrize("block", [128, 1 << 14])
+def test_exact_neighbours(spark, monkeypatch, block):
+    """Random directions, where the descent misses some, copies and equal distances."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", block)
+    v = unit(np.random.default_rng(5).normal(size=(2100, 24)))
+    v[40:100] = v[40]
+    points = cut_lineage(stored(spark, v).drop("weight"))
+    d = N.distances(v, v)
+    np.fill_diagonal(d, np.inf)
+    order = np.lexsort((np.broadcast_to(np.arange(len(v)), d.shape), d))[:, :15]
+    found = {r.id: [n.id for n in r.near] for r in N.neighbour_graph(points, k=15).collect()}
+    assert [found[i] for i in range(len(v))] == order.tolist()
+
+
+def test_neighbours_beyond_the_exact_rows(spark):
+    v = planted(8, [1000] * 3, 0, dim=32, spread=0.3)
+    found = {r.id: r.near for r in N.neighbour_graph(cut_lineage(stored(spark, v).drop("weight")), k=15, exact_rows=0).collect()}
+    d = N.distances(v, v)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1)[:, :15]
+    assert sum(len({n.id for n in found[i]} & set(near[i].tolist())) for i in range(len(v))) >= 0.95 * near.size
+
+
 def test_leaves_are_bounded_whatever_the_shape(spark):
     rng = np.random.default_rng(1)
     v = unit(np.vstack([rng.normal(size=(200, 8)), [1.0, *[0.0] * 7] + rng.normal(size=(2800, 8)) * 1e-3]))
