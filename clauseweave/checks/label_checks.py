@@ -298,16 +298,10 @@ def new_contracts(spark, folder):
     SELECT contract_id, substr(md5(contract_id||position||clause_text), 1, 16) AS clause_id, 'text_input' AS source FROM numbered""",
 )
 def uploaded_text_clauses(spark, folder):
-    texts = D.contract_texts(spark, folder).select(
-        "doc_id", store.upload_contract_id(F.col("text")).alias("contract_id"), "text"
-    )
-    # Equal texts have equal ids: one contract however often it is submitted. The
-    # few repeats are found on ids alone; texts stay where they are read.
-    narrow = texts.select("doc_id", "contract_id")
-    first = narrow.groupBy("contract_id").agg(F.min("doc_id").alias("first_id"))
-    repeats = narrow.join(first, "contract_id").where("doc_id <> first_id").select("doc_id")
-    once = texts.join(repeats, "doc_id", "left_anti").drop("doc_id")
-    return upload_clauses(once).select("contract_id", "clause_id", "source")
+    texts = D.contract_texts(spark, folder).select(store.upload_contract_id(F.col("text")).alias("contract_id"), "text")
+    # Equal texts have equal ids, and so have their clauses: one contract however often
+    # it is submitted. Texts are read once and stay where they are read; only ids move.
+    return upload_clauses(texts).select("contract_id", "clause_id", "source").distinct()
 
 
 @query(

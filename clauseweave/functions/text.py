@@ -34,7 +34,8 @@ HEADER_LINE = (
     rf")"
 )
 HEADER_BREAK = rf"(?U)\n(?={HEADER_LINE})"
-WITH_GAP_BEFORE = rf"(?U)[{SPACE}]*+[^{SPACE}]++"
+# ASCII characters are tested first; the classes as a whole are unchanged by that.
+WITH_GAP_BEFORE = rf"(?U)[\x20[{SPACE}]]*+[[!-~][^{SPACE}]]++"
 
 
 def strip(text: Column) -> Column:

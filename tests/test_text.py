@@ -144,3 +144,16 @@ def test_taxonomy_is_whole():
     assert {v for v in S.PROVISION_LABELS.values() if v} <= set(S.CLAUSE_TYPES)
     assert len(S.DEAL_POINT_KEYWORDS) == 19
     assert {v for _, v in S.DEAL_POINT_KEYWORDS} <= set(S.CLAUSE_TYPES)
+
+
+def test_uploads_are_read_once(spark):
+    from clauseweave.checks import label_checks
+
+    df = label_checks.uploaded_text_clauses(spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+
+
+def test_word_count_over_every_space(spark):
+    rows = [(f"a{chr(c)}b", len(f"a{chr(c)}b".split())) for c in [*range(1, 0x250), *range(0x1600, 0x1700), *range(0x2000, 0x2070), 0x3000, 0x200B]]
+    got = spark.createDataFrame(rows, "t string, n int").where(T.word_count(F.col("t")) != F.col("n"))
+    assert got.count() == 0
