@@ -62,8 +62,9 @@ def stratified_split(
             "_auto": F.coalesce(F.col("source").startswith(S.AUTO_SOURCE_PREFIX), F.lit(False)),
         }
     )
-    # The cutoffs take several passes, so their narrow input is stored once.
-    slim = cut_lineage(keyed.select("primary_type", "_key", "_auto"))
+    # The cutoffs and the result take several passes, so what made the clauses runs once.
+    keyed = cut_lineage(keyed)
+    slim = keyed.select("primary_type", "_key", "_auto")
     by_type = slim.groupBy("primary_type", "_auto").agg(F.count(F.lit(1)).alias("n"))
     held_out = (
         F.when(F.col("n") < S.MIN_TYPE_COUNT_FOR_EVAL, F.lit(0))

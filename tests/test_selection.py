@@ -114,3 +114,13 @@ def test_updates_can_set_null(spark):
     new = spark.createDataFrame([(1, None, 5)], "id int, v string, w int")
     rows = {r.id: (r.v, r.w) for r in apply_updates(base, new, "id").collect()}
     assert rows == {1: (None, 5), 2: ("b", None)}
+
+
+def test_split_makes_its_clauses_once(spark, tmp_path):
+    """The result reads what was stored for the cutoffs, not the clauses' source again."""
+    path = str(tmp_path / "clauses")
+    rows = [(f"id{i}", "a" if i % 3 else "b", "CUAD" if i % 4 else "EDGAR_auto") for i in range(200)]
+    spark.createDataFrame(rows, "clause_id string, primary_type string, source string").write.parquet(path)
+    out = stratified_split(spark.read.parquet(path))
+    assert out.count() > 0
+    assert not any(path in f for f in out.inputFiles())
