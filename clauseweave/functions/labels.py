@@ -38,6 +38,7 @@ def primary_label(labels: Column) -> Column:
 
 def multi_hot(labels: Column, taxonomy: Sequence[str] = S.CLAUSE_TYPES) -> Column:
     """0/1 vector of taxonomy length."""
-    trimmed = F.transform(labels, strip)
     names = F.array(*[F.lit(t) for t in taxonomy])
-    return F.transform(names, lambda t: F.array_contains(trimmed, t).cast("int"))
+    # As an array of one, so that the labels are made once and not for every name.
+    trimmed = F.array(F.transform(labels, strip))
+    return F.element_at(F.transform(trimmed, lambda own: F.transform(names, lambda t: F.array_contains(own, t).cast("int"))), 1)

@@ -157,3 +157,11 @@ def test_word_count_over_every_space(spark):
     rows = [(f"a{chr(c)}b", len(f"a{chr(c)}b".split())) for c in [*range(1, 0x250), *range(0x1600, 0x1700), *range(0x2000, 0x2070), 0x3000, 0x200B]]
     got = spark.createDataFrame(rows, "t string, n int").where(T.word_count(F.col("t")) != F.col("n"))
     assert got.count() == 0
+
+
+def test_multi_hot_makes_its_labels_once(spark):
+    from clauseweave.functions import labels as L
+
+    labels = F.array(F.when(F.rand(3) < 0.5, F.lit("a")).otherwise(F.lit("b")))
+    rows = spark.range(200).select(L.multi_hot(labels, ["a", "b"]).alias("v")).collect()
+    assert {sum(r.v) for r in rows} == {1}
