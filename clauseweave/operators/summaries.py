@@ -46,13 +46,14 @@ def with_length_score(clauses: DataFrame, fitted: DataFrame | None = None) -> Da
 
 def imbalance_by_type(clauses: DataFrame) -> DataFrame:
     """Mean imbalance and count per contract and primary type."""
-    usable = clauses.withColumn("clause_type", L.primary_label(F.col("clause_types"))).where(
-        "clause_type IS NOT NULL AND power_imbalance_score IS NOT NULL"
-    )
-    return usable.groupBy("contract_id", "clause_type").agg(
+    typed = clauses.withColumn("clause_type", L.primary_label(F.col("clause_types"))).where("clause_type IS NOT NULL")
+    # Rows without a score go by the count: Spark would push a filter on the score down
+    # to the clauses and work out every feature once more for it.
+    counted = typed.groupBy("contract_id", "clause_type").agg(
         F.avg("power_imbalance_score").alias("imbalance_score"),
-        F.count(F.lit(1)).alias("clause_count"),
+        F.count("power_imbalance_score").alias("clause_count"),
     )
+    return counted.where("clause_count > 0")
 
 
 def contract_summary(clauses: DataFrame, parties: DataFrame | None = None) -> DataFrame:

@@ -138,3 +138,10 @@ def test_word_attribution_of_any_clause(spark):
     # 180 words in 60 runs of three: a run of two "pay" has twice the value of a run of one.
     long = found["c6"].top_words
     assert len(long) == 20 and {w.value for w in long} == {4.0}
+
+
+def test_scores_of_types_are_made_once(spark):
+    from clauseweave.checks import power_checks
+
+    df = power_checks.imbalance_by_type(spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
