@@ -109,13 +109,19 @@ def features(counts: np.ndarray, n: int, threshold: int) -> list[float]:
 
 def _contexts(texts: list[str]) -> collections.Counter:
     """For each word beginning that could mark a class, how many different words it follows: copies of a text count once."""
-    seen: set[tuple[bytes, bytes]] = set()
+    # Whole words are kept behind each word, one object a word; beginnings exist for one word's followers at a time.
+    known: dict[bytes, bytes] = {}
+    after: dict[bytes, set[bytes]] = {}
     for text in texts:
         before = b""
         for word in windows(text):
-            seen.update((word[:n], before) for n in range(SHORTEST, min(LONGEST, len(word)) + 1))
+            word = known.setdefault(word, word)
+            after.setdefault(before, set()).add(word)
             before = word
-    return collections.Counter(piece for piece, _ in seen)
+    counts: collections.Counter = collections.Counter()
+    for followers in after.values():
+        counts.update({word[:n] for word in followers for n in range(SHORTEST, min(LONGEST, len(word)) + 1)})
+    return counts
 
 
 def marking_strings(toxic: list[str], ordinary: list[str]) -> list[bytes]:
@@ -178,17 +184,26 @@ def spread_windows(text: str, count: int = SAMPLE_WINDOWS, size: int = 256) -> s
     return " ".join(text[int(i * (len(text) - size) / (count - 1)) :][:size] for i in range(count))
 
 
-def sample(docs: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[str]]:
-    """Toxic and ordinary training texts: at most ``texts`` of each class, by a hash of their id."""
+def _sampled(docs: DataFrame, labels: DataFrame, texts: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(label, text, _h) of the training texts; label is whether the text is toxic."""
     chosen = labels.filter(f"{label_col} IN (0, 1) AND {id_col} IS NOT NULL").select(id_col, label_col).dropDuplicates([id_col])
     hashed = chosen.withColumn("_h", F.xxhash64(F.col(id_col).cast("string")))
     picked = [hashed.filter(F.col(label_col) == k).orderBy("_h", id_col).limit(texts) for k in (1, 0)]
     part = F.broadcast(picked[0].union(picked[1]))  # at most twice ``texts`` rows
     found = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text")).join(part, id_col)
     cut = F.udf(spread_windows, "string")
-    rows = found.select(label_col, F.when(F.length("_text") > SAMPLE_WINDOWS * 256, cut("_text")).otherwise(F.col("_text")).alias("text"), "_h").collect()
-    rows.sort(key=lambda r: (r._h, r.text))
-    return [r.text for r in rows if r[label_col] == 1], [r.text for r in rows if r[label_col] == 0]
+    return found.select((F.col(label_col) == 1).alias("label"), F.when(F.length("_text") > SAMPLE_WINDOWS * 256, cut("_text")).otherwise(F.col("_text")).alias("text"), "_h")
+
+
+def _classes(rows: list[tuple[int, str, bool]]) -> tuple[list[str], list[str]]:
+    """Toxic and ordinary texts of rows (hash, text, whether toxic), in order."""
+    rows.sort()
+    return [t for _, t, bad in rows if bad], [t for _, t, bad in rows if not bad]
+
+
+def sample(docs: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[str]]:
+    """Toxic and ordinary training texts: at most ``texts`` of each class, by a hash of their id."""
+    return _classes([(r._h, r.text, r.label) for r in _sampled(docs, labels, texts, id_col, text_col, label_col).collect()])
 
 
 def held_out(id_col: str = "doc_id"):
@@ -196,9 +211,19 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, **options) -> Model:
-    """Fit on the labelled rows that are not held out."""
-    return fit(*sample(docs, labels.filter(~held_out()), **options))
+def train(docs: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fit on the labelled rows that are not held out. One task fits on the bounded sample; the driver gets the model only."""
+
+    def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(h, t, bad) for b in batches for h, t, bad in zip(*(b.column(c).to_pylist() for c in ("_h", "text", "label")), strict=True)]
+        m = fit(*_classes(rows))
+        yield pa.RecordBatch.from_pydict({"toxic": [m.toxic], "ordinary": [m.ordinary], "threshold": pa.array([m.threshold], pa.int32()), "weights": pa.array([m.weights], pa.list_(pa.float64()))})
+
+    rows = _sampled(docs, labels.filter(~held_out(id_col)), texts, id_col, text_col, label_col)
+    found = rows.repartition(1).mapInArrow(tidy(fit_all), "toxic binary, ordinary binary, threshold int, weights array<double>").collect()
+    if not found:
+        return fit([], [])
+    return Model(bytes(found[0].toxic), bytes(found[0].ordinary), found[0].threshold, tuple(found[0].weights))
 
 
 def scorer(model: Model):

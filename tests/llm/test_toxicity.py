@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import collections
 import random
+import tracemalloc
 import zlib
 
 import pytest
 
-from clauseweave.llm.toxicity import START, Gains, fit, marking_strings, sample, spread_windows, toxicity, train, windows
+from clauseweave.llm import toxicity as module
+from clauseweave.llm.toxicity import LONGEST, SHORTEST, START, Gains, fit, marking_strings, sample, spread_windows, toxicity, train, windows
 
 INSULTS = ["zorgle", "wimblat", "frackos", "snudder"]
 
@@ -75,3 +78,29 @@ def test_odd_rows(spark, odd, nothing):
     assert sample(odd, none) == ([], [])
     assert all(r.score < 0.01 for r in toxicity(odd, train(odd, none)).collect())
     assert toxicity(nothing, model).collect() == []
+
+
+def test_contexts_are_counted_in_little_memory():
+    rng = random.Random(1)
+    vocabulary = [f"{rng.getrandbits(64):016x}" for _ in range(300)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(2000)) for _ in range(30)] + ["", None, "so " * 50]
+    tracemalloc.start()
+    found = module._contexts(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    plain = {(w[:n], before) for t in texts for before, w in zip([b"", *windows(t)], windows(t), strict=False) for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}
+    assert found == collections.Counter(piece for piece, _ in plain)
+    assert most < 12_000_000  # a set of all pairs of a beginning and the word before takes 63 MB
+
+
+def test_the_driver_fits_nothing(spark, frame, corpus, monkeypatch):
+    texts, toxic = corpus
+    docs = frame(texts)
+    labels = spark.createDataFrame([(i, 1, y) for i, y in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    plain = fit(*sample(docs, labels.filter(~module.held_out())))
+
+    def in_driver(*_, **__):
+        raise AssertionError("the sample was collected")
+
+    monkeypatch.setattr(module, "sample", in_driver)
+    assert train(docs, labels) == plain
