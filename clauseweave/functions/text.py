@@ -35,7 +35,10 @@ HEADER_LINE = (
 )
 HEADER_BREAK = rf"(?U)\n(?={HEADER_LINE})"
 # ASCII characters are tested first; the classes as a whole are unchanged by that.
-WITH_GAP_BEFORE = rf"(?U)[\x20[{SPACE}]]*+[[!-~][^{SPACE}]]++"
+GAP_AND_WORD = rf"[\x20[{SPACE}]]*+[[!-~][^{SPACE}]]++"
+WITH_GAP_BEFORE = rf"(?U){GAP_AND_WORD}"
+# Two blanks or more, as a class and a loop behind it.
+GAPS = r"[ \t][ \t]+"
 
 
 def strip(text: Column) -> Column:
@@ -52,6 +55,11 @@ def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(strip(text), WITH_GAP_BEFORE, "x"))
 
 
+def has_words(text: Column, least: int) -> Column:
+    """Whether there are ``least`` words or more; what lies behind them is not read."""
+    return text.rlike(rf"(?U)\A(?:{GAP_AND_WORD}){{{least}}}")
+
+
 def is_header(line: Column) -> Column:
     """True when one line reads as a section header."""
     return line.rlike(rf"(?U)\A{HEADER_LINE}")
@@ -72,17 +80,18 @@ def clean_filing(text: Column) -> Column:
     removed tag. Patterns for whole document and text blocks are left out: the
     tag rule has already removed what they would look for.
     """
-    text = F.regexp_replace(text, rf"<[^>]+>|&[{WORD}]+;|={{3,}}|-{{3,}}", " ")
+    # The first character is tested before the alternatives are tried.
+    text = F.regexp_replace(text, rf"(?=[<&=-])(?:<[^>]+>|&[{WORD}]+;|={{3,}}|-{{3,}})", " ")
     text = F.regexp_replace(
         text,
-        r"(?iu)Page \p{Nd}+ of \p{Nd}+|EXHIBIT \p{Nd}+[.\p{Nd}]*|\[EDGAR[^\]]*\]",
+        r"(?=[PpEe\[])(?iu:Page \p{Nd}+ of \p{Nd}+|EXHIBIT \p{Nd}+[.\p{Nd}]*|\[EDGAR[^\]]*\])",
         " ",
     )
     return _squeeze(text)
 
 
 def clean_clause(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"[ \t]{2,}", " "))
+    return strip(F.regexp_replace(text, GAPS, " "))
 
 
 def strip_omitted(text: Column) -> Column:
@@ -121,5 +130,5 @@ def party_b(text: Column) -> Column:
 
 
 def _squeeze(text: Column) -> Column:
-    text = F.regexp_replace(text, r"[ \t]{2,}", " ")
-    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    text = F.regexp_replace(text, GAPS, " ")
+    return strip(F.regexp_replace(text, r"\n\n\n+", "\n\n"))

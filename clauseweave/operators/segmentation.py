@@ -84,8 +84,10 @@ def filing_clauses(filings: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         *carry,
         T.clean_filing(F.col("text")).alias("text"),
     )
-    long_enough = cleaned.where(T.word_count(F.col("text")) >= S.MIN_FILING_WORDS)
-    staged = with_clause_array(long_enough).withColumn("clauses", F.array_distinct("clauses"))
+    # A short text becomes null, which has no clauses: a filter would be pushed below the
+    # cleaning, and every text would be cleaned twice.
+    long_enough = F.when(T.has_words(F.col("text"), S.MIN_FILING_WORDS), F.col("text"))
+    staged = with_clause_array(cleaned.withColumn("text", long_enough)).withColumn("clauses", F.array_distinct("clauses"))
     return _processed(
         _exploded(staged, ["contract_id", *carry]),
         ids.clause_id("EDGAR", F.col("contract_id"), F.col("clause_text")),

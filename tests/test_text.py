@@ -165,3 +165,16 @@ def test_multi_hot_makes_its_labels_once(spark):
     labels = F.array(F.when(F.rand(3) < 0.5, F.lit("a")).otherwise(F.lit("b")))
     rows = spark.range(200).select(L.multi_hot(labels, ["a", "b"]).alias("v")).collect()
     assert {sum(r.v) for r in rows} == {1}
+
+
+def test_filings_are_cleaned_once(spark):
+    df = spark.createDataFrame([("a.txt", "x")], "file_name string, text string")
+    plan = filing_clauses(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EXHIBIT") == 1
+
+
+def test_has_words_counts_like_word_count(spark):
+    values = texts(11, 400) + [f"{T.SPACE_CHARS}a{T.SPACE_CHARS}" * k for k in range(1, 7)] + ["a " * 5, " a" * 4, "a" * 500]
+    counts = column(spark, values, T.word_count)
+    for least in (1, 4, 5, 6):
+        assert column(spark, values, lambda t, n=least: T.has_words(t, n)) == [c >= least for c in counts]
