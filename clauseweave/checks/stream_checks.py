@@ -63,8 +63,7 @@ def stream_unique_arrivals(spark, folder):
     """The same clauses through the stateful duplicate filter, each sent twice."""
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = _document_stream(spark, folder)
-    sent = stream.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
-    clauses = filing_clauses(sent, carry=["arrived_at"])
+    clauses = filing_clauses(stream, carry=["arrived_at"]).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     writer = (
         unique_arrivals(clauses).select("contract_id", "clause_id")
         .writeStream.format("parquet")

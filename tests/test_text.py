@@ -178,3 +178,17 @@ def test_has_words_counts_like_word_count(spark):
     counts = column(spark, values, T.word_count)
     for least in (1, 4, 5, 6):
         assert column(spark, values, lambda t, n=least: T.has_words(t, n)) == [c >= least for c in counts]
+
+
+def test_a_clause_sent_twice_is_cut_once(spark, monkeypatch):
+    from clauseweave.checks import stream_checks
+
+    seen = []
+
+    def recorded(filings, **options):
+        seen.append(filings._jdf.queryExecution().analyzed().toString())
+        return filing_clauses(filings, **options)
+
+    monkeypatch.setattr(stream_checks, "filing_clauses", recorded)
+    assert stream_checks.stream_unique_arrivals(spark, "/root/testdata/sf0.001").count()
+    assert len(seen) == 1 and "Generate explode" not in seen[0]
