@@ -175,6 +175,12 @@ def test_exact_neighbours(spark, monkeypatch, block):
     assert [found[i] for i in range(len(v))] == order.tolist()
 
 
+def test_six_times_the_rows_travel_no_more_often():
+    """Vectors go to each block once: the blocks follow the cores until one would be too large."""
+    assert [N.block_count(n, 12) for n in (0, 512, 600, 10_256, 102_560, 615_360)] == [1, 1, 2, 12, 12, 12]
+    assert N.block_count(N.EXACT_ROWS, 4) == 16
+
+
 def test_neighbours_beyond_the_exact_rows(spark):
     v = planted(8, [1000] * 3, 0, dim=32, spread=0.3)
     found = {r.id: r.near for r in N.neighbour_graph(cut_lineage(stored(spark, v).drop("weight")), k=15, exact_rows=0).collect()}
