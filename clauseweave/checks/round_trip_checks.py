@@ -16,7 +16,7 @@ from clauseweave.operators import keyed as K
 from clauseweave.operators import splits as P
 from clauseweave.operators.summaries import report_rows, unscored_clauses
 from clauseweave.plans.analysis import analyse_contracts
-from clauseweave.session import shared_folder
+from clauseweave.session import cut_lineage, shared_folder
 from clauseweave.sources import datasets
 from clauseweave.sources.filings import read_filings
 from clauseweave.sources.store import ClauseStore, read_dynamic_taxonomy, write_dynamic_taxonomy
@@ -112,7 +112,7 @@ def unknown_label_names(spark, folder):
     return K.new_names(used, known)
 
 
-def _analysis(spark, folder, version: int, store: ClauseStore):
+def _analysis(spark, folder, version: int, store: ClauseStore, uploads):
     """Uploads through the analysis, with types and anomaly scores that follow from the id."""
     names = F.array(*[F.lit(t) for t in S.CLAUSE_TYPES])
     score = D.hex_digit("clause_id", 4) * F.lit(100.0) / 15 * F.lit(1.0 if version > 1 else 0.5)
@@ -124,7 +124,6 @@ def _analysis(spark, folder, version: int, store: ClauseStore):
     def find_anomalies(clauses):
         return clauses.withColumns({"anomaly_score": score, "is_anomalous": score > S.ANOMALY_FLAG_ABOVE})
 
-    uploads = D.contract_texts(spark, folder).withColumn("filename", F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")))
     return analyse_contracts(store, uploads, classify, find_anomalies, lambda c: power_checks._with_tone(spark, folder, c), version=version)
 
 
@@ -142,8 +141,10 @@ def _analysis(spark, folder, version: int, store: ClauseStore):
 def analyse_whole_contracts(spark, folder):
     """The analysis end to end, twice: contracts, clauses, newest scores and newest results are read back from the store."""
     store = ClauseStore(spark, _folder(spark))
-    _analysis(spark, folder, 1, store)
-    results = _analysis(spark, folder, 2, store)
+    # The texts are derived once, not again for each of the four reads of both analyses.
+    uploads = cut_lineage(D.contract_texts(spark, folder).withColumn("filename", F.concat(F.lit("doc_"), "doc_id", F.lit(".txt"))))
+    _analysis(spark, folder, 1, store, uploads)
+    results = _analysis(spark, folder, 2, store, uploads)
     totals = store.scored_clauses().groupBy("contract_id").agg(F.round(F.sum("anomaly_score"), 4).alias("anomaly_total"))
     columns = ["overall_imbalance_index", "total_clauses", "anomalous_clauses", "dominant_clause_type"]
     out = store.contracts().select("contract_id", "filename").join(results.select("contract_id", *columns), "contract_id", "left").join(totals, "contract_id", "left")

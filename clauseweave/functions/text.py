@@ -6,6 +6,9 @@ so the classes are spelled out. ``SPACE`` is the set Python strips and splits on
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,6 +97,24 @@ def clean_clause(text: Column) -> Column:
     return strip(F.regexp_replace(text, GAPS, " "))
 
 
+def counted_clauses(pieces: Column) -> Column:
+    """Array of (text, n_words): ``clean_clause`` and ``word_count`` of every piece.
+
+    Arrow batches, since the engine's regexes take four times as long for both. Python's
+    own blanks are ``SPACE``; null stays null.
+    """
+    gaps = re.compile(GAPS)
+
+    def count(batch: pa.Array) -> pa.Array:
+        out = []
+        for own in batch.to_pylist():
+            cleaned = None if own is None else [gaps.sub(" ", p).strip() if "  " in p or "\t" in p else p.strip() for p in own]
+            out.append(None if cleaned is None else [{"text": c, "n_words": len(c.split())} for c in cleaned])
+        return pa.array(out, pa.list_(pa.struct([("text", pa.string()), ("n_words", pa.int32())])))
+
+    return F.arrow_udf(count, "array<struct<text: string, n_words: int>>")(pieces)
+
+
 def strip_omitted(text: Column) -> Column:
     """Replace inline <omitted> tags by one space; other text stays untouched."""
     tag = r"(?iu)<omitted>"

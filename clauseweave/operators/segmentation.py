@@ -24,10 +24,8 @@ def with_clause_array(
     pieces = F.when(
         F.size("_by_header") >= S.MIN_SEGMENTS_BY_HEADER, F.col("_by_header")
     ).otherwise(T.paragraph_pieces(F.col(text_col)))
-    staged = staged.select(*kept, F.transform(pieces, T.clean_clause).alias("_pieces"))
-    counted = F.transform(
-        "_pieces", lambda c: F.struct(c.alias("text"), T.word_count(c).alias("n_words"))
-    )
+    staged = staged.select(*kept, pieces.alias("_pieces"))
+    counted = T.counted_clauses(F.col("_pieces"))
     return staged.select(*kept, F.filter(counted, lambda c: c["n_words"] >= min_words).alias("clauses"))
 
 

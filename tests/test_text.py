@@ -192,3 +192,13 @@ def test_a_clause_sent_twice_is_cut_once(spark, monkeypatch):
     monkeypatch.setattr(stream_checks, "filing_clauses", recorded)
     assert stream_checks.stream_unique_arrivals(spark, "/root/testdata/sf0.001").count()
     assert len(seen) == 1 and "Generate explode" not in seen[0]
+
+
+def test_pieces_are_cleaned_and_counted_as_one_by_one(spark):
+    """Both at once in Arrow batches; blanks of any kind, empty pieces, empty and null arrays."""
+    rng = random.Random(8)
+    parts = ["word", "é", "😀", " ", "  ", "\t", "\n", "\u00a0", "\u3000", "\x1c", "\u200b", "x y"]
+    rows = [["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(0, 4))] for _ in range(200)] + [None]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, pieces array<string>")
+    one = F.transform("pieces", lambda p: F.struct(T.clean_clause(p).alias("text"), T.word_count(T.clean_clause(p)).alias("n_words")))
+    assert df.where(~T.counted_clauses(F.col("pieces")).eqNullSafe(one)).count() == 0
