@@ -4,8 +4,8 @@ Everything is a built-in function over one row: the matches of a pattern and the
 pieces between them give every span's place, so texts neither shuffle nor leave
 the JVM. The looser generators propose overlapping spans; their format and their
 surroundings are the features of gradient-boosted trees, turned into one
-expression and applied to every candidate. They are fitted on the candidates of a
-bounded sample: right are those that a base span covers, and base spans rewritten
+expression and applied to every candidate. They are fitted on the candidates of
+every text, counted by equal features: right are those that a base span covers, and base spans rewritten
 into other forms where they stand; wrong are those that break the format of their
 kind, found or rewritten. Found ones of a good format that no base span covers
 are not learned from, as nobody knows what they are. Of those that score above
@@ -14,6 +14,7 @@ the calibrated threshold and touch no base span, the best of each place is added
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
@@ -61,10 +62,10 @@ FORMS = {
         ["'20' || substr(d, 1, 2) || '-0' || (1 + int(substr(d, 3, 1)) % 9) || '-1' || substr(d, 4, 1)", "substr(d, 1, 2) || '-' || substr(d, 3, 2) || '-' || substr(d, 5, 2)", "'1' || substr(d, 1, 1) || '.0' || (1 + int(substr(d, 3, 1)) % 9) || '.20' || substr(d, 4, 2)", "substr(v, 2) || ' ' || substr(d, 1, 4) || ' ' || substr(d, 1, 4)"],
     ),
 }
-#: Base spans of a kind that a sample text gives to be rewritten, and characters kept on each side.
-REWRITTEN, AROUND = 8, 40
-#: Texts of the sample, by a hash of their id; least precision of added spans on the held-out fifth of its candidates; trees and their depth.
-SAMPLE_TEXTS, LEAST_PRECISION, TREES, DEPTH = 2000, 0.995, 8, 3
+#: Characters kept on each side of a base span that is rewritten.
+AROUND = 40
+#: Least precision of added spans on the held-out fifth of the candidates; trees, their depth and least bins of a feature.
+LEAST_PRECISION, TREES, DEPTH, BINS = 0.995, 8, 3, 32
 #: Partial sums of lengths are taken in runs of matches, surroundings from runs of the text, so that a text of very many matches stays linear.
 RUN = 256
 
@@ -215,14 +216,15 @@ def rewritten(found: DataFrame) -> DataFrame:
     """
     parts = []
     for kind, forms in FORMS.items():
-        spans = found.select("doc_id", "text", F.explode(F.slice(f"base_{kind}", 1, REWRITTEN)).alias("s"))
-        pieces = spans.select(
-            "doc_id",
-            F.expr("s.value").alias("v"),
-            F.expr(_only_digits("s.value")).alias("d"),
-            F.expr(f"substr(text, int(greatest(s.start - {AROUND - 1}, 1)), int(least(s.start, {AROUND})))").alias("before"),
-            F.expr(f"substr(text, int(s.end + 1), {AROUND})").alias("after"),
-        )
+        # Surroundings come from runs of the text, and no span carries its text: one text may have very many.
+        first = f"greatest(s.start - {AROUND}, 0)"
+        near = "concat(get(_runs, int({0} div {1})), coalesce(get(_runs, int({0} div {1}) + 1), ''))"
+        before = f"substr({near.format(first, RUN)}, int({first} % {RUN}) + 1, int(least(s.start, {AROUND})))"
+        after = f"coalesce(substr({near.format('s.end', RUN)}, int(s.end % {RUN}) + 1, {AROUND}), '')"
+        held = found.where(F.size(f"base_{kind}") > 0).withColumn("_runs", F.expr(f"regexp_extract_all(text, r'(?s).{{1,{RUN}}}', 0)"))
+        spans = held.select("doc_id", F.expr(f"transform(base_{kind}, s -> named_struct('v', s.value, 'before', {before}, 'after', {after}))").alias("s"))
+        spans = spans.select("doc_id", F.explode_outer("s").alias("s"))
+        pieces = spans.select("doc_id", "s.v", F.expr(_only_digits("s.v")).alias("d"), "s.before", "s.after")
         every = F.array(*[F.struct(F.lit(good).alias("good"), F.expr(f).alias("form")) for good, of in zip((True, False), forms, strict=True) for f in of])
         parts.append(pieces.withColumn("f", F.explode(every)).select("doc_id", F.lit(kind).alias("kind"), "f.good", F.concat("before", "f.form", "after").alias("text"), F.length("before").alias("at"), F.length(F.concat("before", "f.form")).alias("to")))
     out = parts[0]
@@ -239,40 +241,45 @@ def examples(docs: DataFrame) -> DataFrame:
     """
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold")
     found = cut_lineage(candidates(base_spans(docs)))
-    own = found.select(fold, F.lit(None).cast("string").alias("made"), F.explode("candidates").alias("c")).filter("c.right OR c.taken OR c.format = 0")
+    own = found.select(fold, F.lit(None).cast("string").alias("made"), F.explode_outer("candidates").alias("c")).filter("c.right OR c.taken OR c.format = 0")
     own = own.select("fold", "made", F.expr("c.taken").alias("taken"), F.expr("double(c.right)").alias("label"), *[F.col(f"c.{n}").alias(n) for n in FEATURES])
+    # Outer explodes: a plain one makes the candidates again, match by match, to see whether there are any; a null falls to the filters.
     # Stored, or every step below would be planned once for each part of the union.
     pieces = cut_lineage(rewritten(found))
-    made = candidates(base_spans(pieces)).select(fold, F.col("kind").alias("made"), "good", "at", "to", F.explode("candidates").alias("c"))
+    made = candidates(base_spans(pieces)).select(fold, F.col("kind").alias("made"), "good", "at", "to", F.explode_outer("candidates").alias("c"))
     made = made.filter("NOT c.taken AND c.start < to AND at < c.end").withColumn("exact", F.expr("c.start = at AND c.end = to"))
     made = made.filter("exact OR NOT good OR c.name <> made").withColumn("label", F.expr("double(good AND exact AND c.name = made)"))
     return own.unionByName(made.select("fold", "made", F.expr("c.taken").alias("taken"), "label", *[F.col(f"c.{n}").alias(n) for n in FEATURES]))
 
 
-def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS, id_col: str = "doc_id", text_col: str = "text") -> Selector:
-    """Boosted trees over the candidates of at most ``texts`` texts that hold a digit or an at sign.
+def fit(docs: DataFrame, texts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> Selector:
+    """Boosted trees over the candidates of every text that holds a digit or an at sign, or of at most ``texts`` of them.
 
-    The threshold is the lowest score whose examples in the held-out fifth, without
-    those that touch a base span, reach the least precision; without both classes
-    nothing is ever added.
+    Candidates with equal features are one row with their number, so the trees and the
+    threshold count every one of them. The threshold is the lowest score whose examples
+    in the held-out fifth, without those that touch a base span, reach the least
+    precision; without both classes nothing is ever added.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    picked = rows.select("doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(texts).distinct()
-    chosen = rows.join(F.broadcast(picked), "doc_id").limit(2 * texts)
-    table = cut_lineage(examples(chosen))
+    if texts is not None:
+        picked = rows.select("doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(texts).distinct()
+        rows = rows.join(F.broadcast(picked), "doc_id").limit(2 * texts)
+    table = cut_lineage(examples(rows).groupBy("fold", "taken", "label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("n")))
     counts = {r.label: r["count"] for r in table.filter("fold <> 0").groupBy("label").count().collect()}
     if len(counts) < 2:
         return NOTHING
+    # The trees' cuts come from as many rows as the square of the bins: from all of them.
+    bins = max(BINS, math.isqrt(sum(counts.values())) + 1)
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(table)
-    booster = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=7)
-    model = booster.fit(data.filter("fold <> 0").select("x", "label"))
+    booster = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, maxBins=bins, stepSize=0.3, seed=7, weightCol="n")
+    model = booster.fit(data.filter("fold <> 0").select("x", "label", "n"))
     trees = [f"{float(w)!r}D * ({_tree_sql(t._call_java('rootNode'))})" for t, w in zip(model.trees, model.treeWeights, strict=True)]
     score = f"1D / (1D + exp(-2D * ({' + '.join(trees)})))"
-    held = table.filter("fold = 0 AND NOT taken").select(F.struct(*FEATURES).alias("c"), "label")
-    scored = held.select(F.round(F.expr(score), 6).alias("s"), "label").groupBy("s").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("s")).collect()
+    held = table.filter("fold = 0 AND NOT taken").select(F.struct(*FEATURES).alias("c"), "label", "n")
+    scored = held.select(F.round(F.expr(score), 6).alias("s"), "label", "n").groupBy("s").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).orderBy(F.desc("s")).collect()
     good = n = 0
     threshold = 1.1
-    for row in scored:  # one row for each distinct leaf combination of a bounded sample
+    for row in scored:  # one row for each distinct leaf combination
         good, n = good + row.good, n + row.n
         if good / n >= LEAST_PRECISION:
             threshold = float(row.s)

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from clauseweave.llm.pii import KINDS, NOTHING, Selector, base_spans, candidates, fit, personal_data, redacted, span_text
+from clauseweave.llm.pii import KINDS, NOTHING, Selector, base_spans, candidates, fit, personal_data, redacted, rewritten, span_text
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -156,3 +156,15 @@ def test_other_forms_are_added(frame, words_of):
         assert r.base == [] and [(s.kind, s.start, s.end) for s in r.added] == [(kind, 5, len(r.text) - 5)]
     broken = ["word 2021-03-04 word", "word 12:30:45:10 word", "word 300 . 1 . 1 . 1 word", "word %s.%s word" % (c[:4], ".".join(("0001", "0002", "0004"))), "word a [at] b.7 word"]
     assert all(r.added == [] for r in personal_data(frame(broken), selector).select("added").collect())
+
+
+def test_every_base_span_is_learned_from(frame):
+    """All spans of all texts, each in its own surroundings, not the first eight of a sample."""
+    import inspect
+
+    text = " ".join(f"ü😀{'w' * k} user{k}@mail.example.com" for k in range(40))
+    rows = rewritten(base_spans(frame([text, "none"]))).filter("good").collect()
+    assert len(rows) == 40 * 3 and inspect.signature(fit).parameters["texts"].default is None
+    wanted = {text[max(0, a - 40) : a] + text[a:b].replace("@", "(at)") + text[b : b + 40] for _, a, b in brute(text)}
+    assert wanted <= {r.text for r in rows} and len(wanted) == 40
+    assert all("at" in r.text[r["at"] : r.to] for r in rows)
