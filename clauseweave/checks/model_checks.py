@@ -256,7 +256,9 @@ _CUES = ["the", "de", "und", "que"]
 )
 def window_max_pool(spark, folder):
     def share(cue):
-        return F.size(F.filter("part", lambda x: x == cue)) / F.size("part")
+        # The window of a text without words is empty: no number, as in the SQL, and no division by zero.
+        part = F.size(F.filter("part", lambda x: x == cue)) / F.size("part")
+        return F.when(F.size("part") == 0, F.lit(float("nan"))).otherwise(part)
 
     shares = F.array(*[share(c) for c in _CUES])
     pooled = E.max_pool(_windows(spark, folder).select("doc_id", shares.alias("probabilities")), "doc_id")

@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
+import compare
 from clauseweave import settings as S
+from clauseweave.checks import model_checks
+from clauseweave.checks.registry import CHECK_SQL
 from clauseweave.functions import probabilities as P
 from clauseweave.operators import anomalies as A
 from clauseweave.operators import clusters as C
@@ -243,3 +247,13 @@ def test_ensemble_plan_does_not_fan_out(spark):
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan
     assert counts.count() == 2
+
+
+def test_windows_of_texts_without_words(spark, tmp_path):
+    texts = ["the a the", "", " \n ", "de " * 300, "que"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = compare.spark_rows(model_checks.window_max_pool(spark, str(tmp_path)))
+    assert compare.difference(got, compare.duck_rows(duck, CHECK_SQL["window_max_pool"])) is None
+    assert sum("nan" in row for row in got[1]) == 2
