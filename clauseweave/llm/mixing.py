@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -137,34 +137,36 @@ def mix_sources(
     cycle: int = CYCLE,
     id_col: str = "doc_id",
     source_col: str = "source",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per input row: doc_id, source, stream, block, phase, slot, release, deadline, position.
+    """One row per input row: doc_id, source, stream, block, phase, slot, release, deadline, position, and the columns to ``keep``.
 
     ``weights`` maps sources to positive target weights; sources without one
     (null included) share the stream ``(other)``, whose weight is the smallest
     given. Without ``weights`` they are the counts to the power ``exponent`` of
     all sources, null being ``(other)``. Every row is placed: positions are
-    gapless from 0. Rows that repeat an id get their places in any order. Release
+    gapless from 0. Rows that repeat an id get their places by source and the columns
+    to ``keep`` (narrow ones, say where the row is stored), else in any order. Release
     and deadline count slots from the start of the phase, those of sources beyond
     the 256 of most weight slots of their group. An empty table gives no rows.
     One count a stream reaches the driver.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), *keep)
     if weights is None:
         streams = rows.withColumn("stream", F.coalesce("source", F.lit(OTHER)))
     elif any(w <= 0 for w in weights.values()):
         raise ValueError("weights are positive")
     else:
         listed = F.broadcast(spark.createDataFrame([(s, s) for s in weights], "source string, stream string"))
-        streams = rows.join(listed, "source", "left").select("doc_id", "source", F.coalesce("stream", F.lit(OTHER)).alias("stream"))
-    numbered = cut_lineage(gapless_index(streams, ["stream"], F.col("doc_id"), [F.col("source")], ROW_BUCKETS, "_row"))
+        streams = rows.join(listed, "source", "left").select("doc_id", "source", *keep, F.coalesce("stream", F.lit(OTHER)).alias("stream"))
+    numbered = cut_lineage(gapless_index(streams, ["stream"], F.col("doc_id"), [F.col(c) for c in ("source", *keep)], ROW_BUCKETS, "_row"))
     counts = {r.stream: r.n for r in numbered.groupBy("stream").agg(F.count(F.lit(1)).alias("n")).collect()}
     target = temperature_weights(counts, exponent) if weights is None else {OTHER: min(weights.values(), default=1.0), **weights}
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     placed = numbered.withColumn("block", F.floor(F.col("_row") / block_rows).cast("long")).join(_slots(spark, mixture(blocks, target, cycle), counts, block_rows), ["stream", "block"])
     position = F.col("_start") + F.col("_row") % block_rows
-    return placed.select("doc_id", "source", "stream", "block", "phase", "slot", "release", "deadline", position.alias("position"))
+    return placed.select("doc_id", "source", "stream", "block", "phase", "slot", "release", "deadline", position.alias("position"), *keep)
 
 
 def _slots(spark: SparkSession, order: Iterator[tuple[str, int, int, int, int]], counts: dict[str, int], block_rows: int) -> DataFrame:

@@ -82,14 +82,15 @@ def shard_of(key: Column, tree: Topology) -> Column:
     return F.array_min(F.transform(_literal(tree), least))["shard"]
 
 
-def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", slot_buckets: int = SLOT_BUCKETS) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", slot_buckets: int = SLOT_BUCKETS, place: tuple[str, str] | None = None) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The key alone decides the shard (law ``key``); a null key is a key like any
     other, rows with one key share a shard. Size is the text's UTF-8 bytes plus
     16; null text counts as empty. Slots are gapless from 0 in each shard; rows
-    equal in key, size and checksum get their slots in any order. An empty table
-    gives no rows.
+    equal in key, size and checksum get their slots in any order. ``place`` names
+    two columns, a run of the table and a number within it: slots then follow that
+    order. An empty table gives no rows.
     """
     tree = topology(shards)
     text, key = text_or_empty(text_col), F.col(id_col)
@@ -100,6 +101,10 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
         F.lit("key").alias("law"),
         shard_of(key, tree).alias("shard"),
         shard_of(key, tree.grown()).alias("grown_shard"),
+        *[F.col(c).alias(name) for c, name in zip(place or (), ("_run", "_at"), strict=False)],
     )
-    numbered = gapless_index(placed, ["shard"], F.col("doc_id"), [F.col("size"), F.col("text_crc32")], slot_buckets, "slot")
+    if place is None:
+        numbered = gapless_index(placed, ["shard"], F.col("doc_id"), [F.col("size"), F.col("text_crc32")], slot_buckets, "slot")
+    else:
+        numbered = gapless_index(placed, ["shard"], F.col("_at"), [], slot_buckets, "slot", run=F.col("_run"))
     return numbered.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import corpus_pipeline
 import pytest
 
+from clauseweave.llm.mixing import mix_sources
 from clauseweave.llm.ngram_join import Similarity
 from test_ngram_join import brute as components
 from test_decontamination import RULE
@@ -66,3 +67,31 @@ def test_run_and_odd_rows(spark, odd, nothing):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, FOLDER)
         assert docs.count() <= rows.count()
+
+
+def test_slots_follow_the_mixture(stages):
+    place = {r.doc_id: r.position for r in mix_sources(stages[3][0]).collect()}
+    slots = {}
+    for r in sorted(stages[4][1].collect(), key=lambda r: r.slot):
+        slots.setdefault(r.shard, []).append((r.slot, place[r.doc_id]))
+    assert max(map(len, slots.values())) > 3
+    for rows in slots.values():
+        assert [s for s, _ in rows] == list(range(len(rows)))
+        assert [p for _, p in rows] == sorted(p for _, p in rows)
+
+
+def test_copies_are_mixed_one_by_one(spark, frame, tmp_path):
+    """Every row has its own place, whether ids repeat, are null or not."""
+    docs = frame([f"t{i % 7}" for i in range(400)], source=lambda i: [None, "a", "b", "a"][i % 4])
+    docs = docs.selectExpr("CASE WHEN doc_id % 5 > 0 THEN doc_id DIV 100 END AS doc_id", "text", "lang", "source", "n_chars")
+    for rows in (docs, docs.repartition(3)):
+        rows.write.mode("overwrite").parquet(f"{tmp_path}/docs")
+        stored = spark.read.parquet(f"{tmp_path}/docs")
+        expected = [(r.doc_id, r.source) for r in sorted(mix_sources(stored).collect(), key=lambda r: r.position)]
+        found = corpus_pipeline.mixed(spark, stored, FOLDER)
+        assert [(r.doc_id, r.source) for r in found.collect()] == expected
+        assert sorted(found.collect(), key=repr) == sorted(stored.select(*found.columns).collect(), key=repr)
+        # The order holds over the files, stored by whoever calls the stage or not.
+        found.write.mode("overwrite").parquet(f"{tmp_path}/mixed")
+        once, twice = (corpus_pipeline.sharded(spark, t, FOLDER).collect() for t in (spark.read.parquet(f"{tmp_path}/mixed"), found))
+        assert sorted(once, key=repr) == sorted(twice, key=repr) and len(once) == 400
