@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from clauseweave.operators import attribution
 from clauseweave.operators import clusters as C
+from clauseweave.operators.keyed import first_k_per_key
 from clauseweave.session import cut_lineage
 from clauseweave.sources import filings
 
@@ -43,6 +44,31 @@ def test_keywords_in_slices(spark, monkeypatch):
     assert len({t for t, _ in few.values()}) == 4
 
 
+def test_keywords_need_sums_of_frequent_terms_only(spark, monkeypatch):
+    texts = [(i % 3 - 1, f"c{i % 3} d{i % 3} c{i % 3} d{i % 3} only{i} {'shared' if i % 2 else 'often'}") for i in range(90)] + [(7, "lone words"), (None, "none at all")]
+    rows = spark.createDataFrame(texts, "cluster_id int, clause_text string")
+    summed = []
+
+    def watched(df, keys, order, k, rank_col):
+        summed.append({r.term for r in df.select("term").collect()})
+        return first_k_per_key(df, keys, order, k, rank_col)
+
+    def ranked(k, frequent):
+        summed.clear()
+        monkeypatch.setattr(C, "FREQUENT_ROWS", frequent, raising=False)
+        found = C.cluster_keywords(rows.where("cluster_id < 7 OR cluster_id IS NULL") if k == 2 else rows, stop_words=[], per_cluster=k).collect()
+        return {(r.cluster_id, r["rank"]): (r.term, round(r.weight, 9)) for r in found}
+
+    monkeypatch.setattr(C, "first_k_per_key", watched)
+    whole = ranked(2, 10**9)
+    assert ranked(2, 30) == whole and len(whole) == 4
+    assert not any(t.startswith("only") for terms in summed for t in terms)
+    # A cluster of one row, and one that lacks keywords, need all terms.
+    for k in (3, 500):
+        assert ranked(k, 30) == ranked(k, 10**9)
+        assert {c for c, _ in ranked(k, 30)} == {0, 1, 7}
+
+
 def test_masked_copies_are_not_stored(spark, monkeypatch):
     stored = []
 
