@@ -106,17 +106,21 @@ def masked_copies(clauses: DataFrame, key: str, text_col: str, runs: int) -> Dat
     """(key, mask, text): every clause under each of its masks.
 
     A clause of few segments needs the next power of two above their number of
-    masks, others ``runs``. Clauses without words give no rows.
+    masks, others ``runs``. Clauses without words give no rows. Each segment is
+    joined once, shown and hidden; a copy joins segments, not words.
     """
-    staged = clauses.select(key, F.filter(F.split(text_col, r"\s+"), lambda w: w != "").alias("_words"))
-    staged = staged.withColumn("_segments", segments(F.col("_words"), runs - 1)).where(F.size("_words") > 0)
-    count = F.element_at("_segments", -1) + 1
+    words = clauses.select(key, F.filter(F.split(text_col, r"\s+"), lambda w: w != "").alias("_words")).where(F.size("_words") > 0)
+    length = F.ceil(F.size("_words") / F.lit(float(runs - 1))).cast("int")
+    cuts = F.transform(F.sequence(F.lit(0), F.size("_words") - 1, F.col("_length")), lambda at: F.slice("_words", at + 1, F.col("_length")))
+    staged = words.withColumn("_length", length).select(key, cuts.alias("_cuts"))
+    shown = F.transform("_cuts", lambda part: F.array_join(part, " "))
+    hidden = F.transform("_cuts", lambda part: F.array_join(F.array_repeat(F.lit("[MASK]"), F.size(part)), " "))
     # The least power of two above the number of segments.
-    needed = F.expr("shiftleft(1, length(bin(_count)))")
+    needed = F.expr("shiftleft(1, length(bin(size(_cuts))))")
     masks = F.explode(F.sequence(F.lit(0), F.col("_needed") - 1)).alias("mask")
-    copies = staged.withColumn("_count", count).withColumn("_needed", needed).select(key, "_words", "_segments", masks)
-    keep = F.transform("_segments", lambda g: (sign(F.col("mask"), g) + 1) / 2)
-    return copies.select(key, "mask", masked_text(F.col("_words"), keep).alias("text"))
+    copies = staged.select(key, shown.alias("_shown"), hidden.alias("_hidden"), needed.alias("_needed")).select(key, "_shown", "_hidden", masks)
+    kept = F.transform("_shown", lambda part, g: F.when(sign(F.col("mask"), g) == 1, part).otherwise(F.get("_hidden", g)))
+    return copies.select(key, "mask", F.array_join(kept, " ").alias("text"))
 
 
 def with_word_attribution(

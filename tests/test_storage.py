@@ -97,3 +97,22 @@ def test_small_files_share_tasks(spark, tmp_path):
     read = filings.read_filings(spark, str(tmp_path))
     assert read.rdd.getNumPartitions() <= filings.SPLITS_A_CORE * spark.sparkContext.defaultParallelism
     assert {(r.file_name, r.text) for r in read.collect()} == {(f"{i}.txt", f"text {i}\n") for i in range(1500)}
+
+
+def test_masked_copies_join_segments(spark):
+    """The copies are those of the words one by one, and no copy is made from all words."""
+    texts = {n: "  ".join(f"w{i}" for i in range(n)) + " \n" for n in (0, 1, 2, 3, 62, 63, 64, 126, 127, 200)}
+    rows = spark.createDataFrame(list(texts.items()), "n int, text string")
+    copies = attribution.masked_copies(rows, "n", "text", 64)
+    expected = set()
+    for n, text in texts.items():
+        words = text.split()
+        run = -(-n // 63)
+        count = (n - 1) // run + 1 if n else 0
+        for mask in range(1 << count.bit_length() if n else 0):
+            kept = [(mask & (i // run + 1)).bit_count() % 2 == 0 for i in range(n)]
+            expected.add((n, mask, " ".join(w if k else "[MASK]" for w, k in zip(words, kept, strict=True))))
+    found = [tuple(r) for r in copies.collect()]
+    assert len(found) == len(expected) and set(found) == expected
+    above, generate, _ = copies._jdf.queryExecution().optimizedPlan().toString().partition("Generate")
+    assert generate and "_words" not in above
