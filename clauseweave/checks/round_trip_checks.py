@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from clauseweave import settings as S
@@ -166,6 +169,34 @@ def contract_lookup(spark, folder):
     return report_rows(power_checks.analysed_clauses(spark, folder), first)
 
 
+def _write_files(texts, path: str) -> None:
+    """Every row of ``texts`` (value) with a line end as a ``.txt`` file of its own; null is empty.
+
+    Hadoop's local file system starts a process to set the mode of each file it
+    makes, and of the file's checksum, so files of a local path are made without it.
+    """
+    if path.split("://")[0] != "file" and not path.startswith("/"):
+        # Tasks move their files into place themselves: the driver would move them one by one.
+        texts.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+        return
+    folder = "/" + path.removeprefix("file:").lstrip("/")
+
+    def write(batches):
+        # Named by task and row: a task that is run again writes the same files.
+        os.makedirs(folder, exist_ok=True)
+        task, made = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for value in batch.column("value").to_pylist():
+                with open(f"{folder}/part-{task:05d}-{made:09d}.txt", "wb") as file:
+                    file.write((value or b"") + b"\n")
+                made += 1
+        yield pa.RecordBatch.from_pydict({"made": pa.array([made], pa.int64())})
+
+    written, = texts.select(F.col("value").cast("binary")).mapInArrow(write, "made long").agg(F.coalesce(F.sum("made"), F.lit(0))).first()
+    if not written:
+        os.makedirs(folder, exist_ok=True)
+
+
 @query(
     "filing_files",
     """WITH t AS (SELECT md5(text || chr(10)) AS digest FROM documents) SELECT digest, count(*) AS n FROM t GROUP BY digest""",
@@ -175,7 +206,6 @@ def filing_files(spark, folder):
     path = _folder(spark)
     other = F.replace("text", F.lit("\n"), F.lit("\r\n"))
     texts = table(spark, folder, "documents").select(F.when(F.col("doc_id") % 2 == 0, other).otherwise(F.col("text")).alias("value"))
-    # Tasks move their files into place themselves: the driver would move them one by one.
-    texts.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+    _write_files(texts, path)
     read = read_filings(spark, path)
     return read.groupBy(F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("n"))

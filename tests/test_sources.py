@@ -1,12 +1,16 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
+from pathlib import Path
 
 import pytest
 
 from pyspark.sql import functions as F
 
+from clauseweave.checks import round_trip_checks
 from clauseweave.operators.segmentation import filing_clauses
+from clauseweave.session import shared_folder
 from clauseweave.sources import datasets, filings, store
 from clauseweave.sources.store import ClauseStore
 from clauseweave.streaming.ingest import filing_stream, start_ingest
@@ -181,3 +185,17 @@ def test_a_file_without_clauses_is_not_read_again(spark, tmp_path):
     assert filings.new_filings(batch, kept.contracts()).count() == 0
     ingest_batch(batch, kept)
     assert kept.contracts().count() == 2
+
+
+def test_documents_as_files(spark, tmp_path):
+    """Each document is one file; none has a checksum beside it, for which a process would be started."""
+    texts = ["a\nb", "a\nb", "", None, "c\n\nd", "\u00fc \u20ac", "last\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(Path(shared_folder(spark)).glob("round-trip-*"))
+    found = {r.digest: r.n for r in round_trip_checks.filing_files(spark, str(tmp_path)).collect()}
+    own = [f.name for folder in set(Path(shared_folder(spark)).glob("round-trip-*")) - before for f in folder.iterdir()]
+    read = [((t or "") + "\n").replace("\r\n", "\n") for t in texts]
+    assert found == Counter(hashlib.md5(t.encode()).hexdigest() for t in read)
+    assert sum(name.endswith(".txt") for name in own) == len(texts) and not [name for name in own if name.endswith(".crc")]
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert round_trip_checks.filing_files(spark, f"{tmp_path}/none").collect() == []
